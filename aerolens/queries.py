@@ -119,13 +119,10 @@ def q_read_incident_csv(spark, sf_dir):
                                  ignoreTrailingWhiteSpace="false").select(*cols)
 
 
-@register("load_questions", f"""WITH {S.CONVQ} SELECT question_id, question, CAST(NULL AS VARCHAR) AS date_from,
-  CAST(NULL AS VARCHAR) AS date_to, CAST(NULL AS VARCHAR) AS phase FROM questions""")
+@register("load_questions", f"""WITH {S.CONVQ} SELECT question_id, question, date_from, date_to, phase FROM questions""")
 def q_load_questions(spark, sf_dir):
     """The user turns of ``conversations`` as a question table."""
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where(F.col("role") == "user")
-    return src.load_questions(c.select((F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("question_id"),
-                                       F.col("text").alias("question")))
+    return src.load_questions(fixtures.conversation_questions(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ normalisation

@@ -163,21 +163,39 @@ FROM documents"""
 
 
 def conversation_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions from the user turns of ``conversations`` (the F-D volume test)."""
+    """Questions from the user turns of ``conversations`` (the F-D volume test).
+
+    Date bounds and a phase are derived from the conversation and turn numbers
+    so that every branch of the question parser is exercised.
+    """
     c = _read(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    cid, turn = F.col("conv_id"), F.col("turn")
+    day0 = F.lit("2024-01-01").cast("date")
     return c.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("question_id"),
+        (cid * 1000 + turn).cast("string").alias("question_id"),
         F.col("text").alias("question"),
-        F.lit(None).cast("string").alias("date_from"),
-        F.lit(None).cast("string").alias("date_to"),
-        F.lit(None).cast("string").alias("phase"),
+        F.when((cid % 4 == 1) | (cid % 4 == 2), F.date_add(day0, (cid % 28).cast("int")).cast("string"))
+        .alias("date_from"),
+        F.when((cid % 4 == 1) | (cid % 4 == 3), F.date_add(F.lit("2024-02-01").cast("date"), turn.cast("int"))
+               .cast("string")).alias("date_to"),
+        F.when(cid % 5 == 1, "(any)").when(cid % 5 == 2, "Parked").when(cid % 5 == 3, "Final Approach")
+        .when(cid % 5 == 4, "Taxi").alias("phase"),
     )
 
 
-CONVERSATION_QUESTIONS_SQL = """SELECT CAST(conv_id * 1000 + turn AS VARCHAR) AS question_id, text AS question
+CONVERSATION_QUESTIONS_SQL = """SELECT CAST(conv_id * 1000 + turn AS VARCHAR) AS question_id, text AS question,
+  CASE WHEN conv_id % 4 IN (1, 2) THEN CAST(DATE '2024-01-01' + CAST(conv_id % 28 AS INT) AS VARCHAR) END AS date_from,
+  CASE WHEN conv_id % 4 IN (1, 3) THEN CAST(DATE '2024-02-01' + CAST(turn AS INT) AS VARCHAR) END AS date_to,
+  CASE conv_id % 5 WHEN 1 THEN '(any)' WHEN 2 THEN 'Parked' WHEN 3 THEN 'Final Approach' WHEN 4 THEN 'Taxi' END AS phase
 FROM conversations WHERE role = 'user'"""
 
 
+def vectors_with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-B joined to the narratives of ``documents`` on ``vec_id = doc_id`` (Discover by sweep)."""
+    t = incident_texts(spark, sf_dir).select("doc_id", "synopsis", "primary_problem", "full_narrative")
+    return incident_vectors(spark, sf_dir).join(t, F.col("vec_id") == F.col("doc_id"), "left").drop("doc_id")
+
+
 def incidents_with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-A joined to the narratives of ``documents`` on ``l_partkey = doc_id`` (Discover input)."""
     t = incident_texts(spark, sf_dir).select("doc_id", "synopsis", "primary_problem", "full_narrative")
