@@ -207,7 +207,9 @@ def association_rules(itemsets: DataFrame, metric: str = "lift", min_threshold:
     big = itemsets.where(F.col("size") >= 2)
     masks = F.sequence(F.lit(1), F.pow(F.lit(2), F.col("size")).cast("int") - 2)
     splits = big.select("itemset", "count", F.col("support").alias("support"), F.explode(masks).alias("mask"))
-    pick = lambda bit: F.filter("itemset", lambda x, i: F.shiftright(F.col("mask"), i).bitwiseAND(1) == bit)
+    def pick(bit):
+        return F.filter("itemset", lambda x, i: (F.col("mask").bitwiseAND(F.pow(F.lit(2), i).cast("long")) != 0)
+                        == F.lit(bit == 1))
     splits = splits.select("itemset", "count", "support", pick(1).alias("antecedents"), pick(0).alias("consequents"))
     a = lookup.select(F.col("key").alias("a_key"), F.col("support").alias("antecedent_support"))
     c = lookup.select(F.col("key").alias("c_key"), F.col("support").alias("consequent_support"))
