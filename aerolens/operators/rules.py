@@ -9,6 +9,7 @@ For many attributes (2^k grouping sets) MLlib's FPGrowth is used instead.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.numeric import fmt_fixed
@@ -70,18 +71,20 @@ def mine_risk_rules(df: DataFrame, settings: Settings = DEFAULT, attrs=None) ->
     attrs = list(attrs or settings.drivers)
     flag = _flag(df, settings)
     d = canonical_drivers(df.select(*[c for c in attrs if c in df.columns], flag.alias("_flag")), attrs)
-    total, elev = _totals(d, F.col("_flag"))
     schema_cols = [*attrs, "context", "context_text", "rows", "n", "support", "confidence", "lift",
                    "uplift", "baseline"]
+    full = (1 << len(attrs)) - 1
+    # One scan: the cube's all-rolled-up cell is the grand total. The cells are
+    # post-aggregation (one per value combination and grouping set), so they
+    # are kept once and read twice instead of scanning the source again.
+    cells = (d.cube(*attrs).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("_flag").cast("long")).alias("n"),
+                                F.grouping_id().alias("_gid"))
+             .persist(StorageLevel.MEMORY_AND_DISK))
+    tot = cells.where(F.col("_gid") == full).select("rows", "n").first()
+    total, elev = (int(tot["rows"]), int(tot["n"] or 0)) if tot else (0, 0)
     if total == 0 or elev == 0:
         return d.sparkSession.createDataFrame([], _rules_schema(attrs)).select(*schema_cols)
-    full = (1 << len(attrs)) - 1
-    cells = (
-        d.cube(*attrs)
-        .agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("_flag").cast("long")).alias("n"),
-             F.grouping_id().alias("_gid"))
-        .where((F.col("_gid") != full) & ((F.col("n") / F.lit(total)) >= F.lit(settings.min_support)))
-    )
+    cells = cells.where((F.col("_gid") != full) & ((F.col("n") / F.lit(total)) >= F.lit(settings.min_support)))
     base = elev / total
     support = F.col("n") / F.lit(total)
     ant = F.col("rows") / F.lit(total)
@@ -158,9 +161,15 @@ def frequent_itemsets(df: DataFrame, attrs, min_support: float = DEFAULT.min_sup
     cols = attrs + ([target] if target else [])
     d = canonical_drivers(df, attrs).select(*attrs, *([F.coalesce(F.col(target), F.lit(False)).alias(target)]
                                                       if target else []))
-    total = d.count()
     if method == "auto":
         method = "cube" if len(cols) <= CUBE_MAX_ATTRS else "fpgrowth"
+    if method == "cube":
+        cells = d.cube(*cols).agg(F.count(F.lit(1)).alias("count"), F.grouping_id().alias("_gid")) \
+            .persist(StorageLevel.MEMORY_AND_DISK)
+        tot = cells.where(F.col("_gid") == (1 << len(cols)) - 1).select("count").first()
+        total = int(tot["count"]) if tot else 0
+    else:
+        total = d.count()
     if total == 0:
         from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
         return d.sparkSession.createDataFrame([], StructType([
@@ -176,7 +185,6 @@ def frequent_itemsets(df: DataFrame, attrs, min_support: float = DEFAULT.min_sup
         fi = model.freqItemsets
         return fi.select(F.array_sort("items").alias("itemset"), F.size("items").alias("size"),
                          F.col("freq").alias("count"), (F.col("freq") / F.lit(total)).alias("support"))
-    cells = d.cube(*cols).agg(F.count(F.lit(1)).alias("count"))
     if target:
         cells = cells.where(F.col(target).isNull() | F.col(target))
     toks = [F.when(F.col(a).isNotNull(), F.concat(F.lit(a + "_"), F.col(a))) for a in attrs]

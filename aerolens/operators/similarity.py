@@ -68,7 +68,11 @@ def similarity_topk(incidents: DataFrame, questions: DataFrame, k: int, id_col:
         bq = spark.sparkContext.broadcast((ids, (mat / norms[:, None]).T.copy()))
 
         def score_batches(batches: Iterator[pd.DataFrame], bq=bq) -> Iterator[pd.DataFrame]:
+            # Running candidates of this partition: after each Arrow batch only
+            # the rows scoring >= the k-th best so far (ties kept) survive, so
+            # a partition emits about k rows per question, never all pairs.
             qids, qt = bq.value
+            held = [None] * len(qids)
             for pdf in batches:
                 if pdf.empty:
                     continue
@@ -76,21 +80,27 @@ def similarity_topk(incidents: DataFrame, questions: DataFrame, k: int, id_col:
                 vn = np.linalg.norm(vecs, axis=1)
                 vn[vn == 0] = np.nan
                 sims = np.round((vecs @ qt) / vn[:, None], digits)
-                take = min(k, len(pdf))
-                for j, qid in enumerate(qids):
+                meta = pdf[keep]
+                for j in range(len(qids)):
                     s = sims[:, j]
                     ok = ~np.isnan(s)
                     if score_min is not None:
                         ok &= s >= score_min
                     if not ok.any():
                         continue
-                    sv = np.where(ok, s, -np.inf)
-                    kth = np.partition(sv, len(sv) - take)[len(sv) - take]
-                    sel = np.nonzero(ok & (sv >= kth))[0]
-                    part = pdf.iloc[sel][keep].copy()
-                    part.insert(0, "score", s[sel])
-                    part.insert(0, "question_id", qid)
-                    yield part
+                    part = meta.iloc[np.nonzero(ok)[0]].copy()
+                    part.insert(0, "score", s[ok])
+                    prev = held[j]
+                    cur = part if prev is None else pd.concat([prev, part], ignore_index=True)
+                    if len(cur) > k:
+                        kth = np.partition(cur["score"].to_numpy(), len(cur) - k)[len(cur) - k]
+                        cur = cur[cur["score"].to_numpy() >= kth]
+                    held[j] = cur
+            for j, qid in enumerate(qids):
+                if held[j] is not None and len(held[j]):
+                    out = held[j].reset_index(drop=True)
+                    out.insert(0, "question_id", qid)
+                    yield out[["question_id", "score", *keep]]
 
         results.append(src.mapInPandas(score_batches, out_schema))
     if not results:

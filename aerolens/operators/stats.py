@@ -62,53 +62,107 @@ def facet_strings(counts: DataFrame, group_cols=()) -> DataFrame:
 
 
 def exact_quantile(df: DataFrame, col: str, q: float = 0.5, settings: Settings = DEFAULT) -> float | None:
-    """G2 (global form): the exact q-quantile with linear interpolation (NumPy's
-    default; the median averages the two middle values). Nulls and NaN ignored.
+    """G2 (global form): the exact q-quantile of one column; see ``exact_quantiles``."""
+    return exact_quantiles(df, [col], q, settings)[col]
 
-    Distributed selection: an approximate quantile brackets the wanted rank,
-    one aggregate counts the rows below and inside the bracket, and only the
-    bracket is narrowed again. Only a band of at most ``max_collect_rows``
-    values, never the column, reaches the driver.
+
+def exact_quantiles(df: DataFrame, cols, q: float = 0.5, settings: Settings = DEFAULT) -> dict:
+    """Exact q-quantiles of several columns with linear interpolation (NumPy's
+    default; the median averages the two middle values). Nulls and NaN ignored;
+    a column without values gives None.
+
+    Distributed selection, all columns in the same passes: one count; then per
+    round one approximate-quantile pass brackets each wanted rank and one
+    aggregate counts the rows below and inside each bracket; finally only the
+    brackets (at most ``max_collect_rows`` values per column, never a column)
+    are gathered to pick the exact order statistics.
     """
-    v = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    n = v.count()
-    if n == 0:
-        return None
-    pos = q * (n - 1)
-    lo, hi = math.floor(pos), math.ceil(pos)
-    a = _kth(v, lo, n, settings.max_collect_rows)
-    b = a if hi == lo else _kth(v, hi, n, settings.max_collect_rows)
-    if q == 0.5 and hi != lo:
-        return (a + b) / 2.0
-    t = pos - lo
-    return a + (b - a) * t if t < 0.5 else b - (b - a) * (1 - t)
-
-
-def _kth(v: DataFrame, k: int, n: int, max_collect: int) -> float:
-    """0-based k-th smallest value of column ``v`` with ``n`` rows."""
-    cur, kk, cur_n, narrowed = v, k, n, False
-    while cur_n > max_collect or not narrowed:
-        if cur_n <= 1:
+    cols = list(cols)
+    base = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in cols])
+    counts = base.agg(*[F.count(c).alias(c) for c in cols]).first()
+    state = {}
+    for c in cols:
+        n = int(counts[c])
+        if n == 0:
+            continue
+        pos = q * (n - 1)
+        state[c] = {"n": n, "pos": pos, "ks": sorted({math.floor(pos), math.ceil(pos)}), "lo": None, "hi": None,
+                    "below": 0, "band": n, "done": False}
+    cap = settings.max_collect_rows
+
+    def in_band(c):
+        st = state[c]
+        cond = F.col(c).isNotNull()
+        if st["lo"] is not None:
+            cond = cond & (F.col(c) >= F.lit(st["lo"])) & (F.col(c) <= F.lit(st["hi"]))
+        return cond
+
+    first = True
+    while True:
+        active = [c for c, st in state.items() if not st["done"] and (first or st["band"] > cap)]
+        first = False
+        if not active:
             break
-        eps = min(0.01, max(1e-4, max_collect / (8.0 * cur_n)))
-        qa = max(0.0, kk / cur_n - 2 * eps)
-        qb = min(1.0, kk / cur_n + 2 * eps)
-        lo_v, hi_v = cur.approxQuantile("v", [qa, qb], eps)
-        r = cur.agg(F.sum((F.col("v") < lo_v).cast("long")).alias("below"),
-                    F.sum(((F.col("v") >= lo_v) & (F.col("v") <= hi_v)).cast("long")).alias("band")).first()
-        below, band = int(r["below"] or 0), int(r["band"] or 0)
-        if not (below <= kk < below + band):  # bracket missed: fall back to the whole range
-            lo_v, hi_v = cur.agg(F.min("v"), F.max("v")).first()
-            below, band = 0, cur_n
-        if lo_v == hi_v:
-            return float(lo_v)
-        narrowed = True
-        if band >= cur_n:
-            break
-        cur = cur.where((F.col("v") >= lo_v) & (F.col("v") <= hi_v))
-        kk, cur_n = kk - below, band
-    vals = sorted(r[0] for r in cur.collect())
-    return float(vals[kk])
+        probs, slots = [], {}
+        for c in active:
+            st = state[c]
+            eps = min(0.25, min(0.01, max(1e-4, cap / (8.0 * st["band"]))) * st.get("widen", 1))
+            st["eps"] = eps
+            k_lo, k_hi = st["ks"][0] - st["below"], st["ks"][-1] - st["below"]
+            slots[c] = (len(probs), len(probs) + 1)
+            probs += [max(0.0, k_lo / st["band"] - 2 * eps), min(1.0, (k_hi + 1) / st["band"] + 2 * eps)]
+        masked = base.select(*[F.when(in_band(c), F.col(c)).alias(c) for c in active])
+        eps = min(state[c]["eps"] for c in active)
+        qv = masked.approxQuantile(active, probs, eps)
+        aggs = []
+        for c, vals in zip(active, qv):
+            lo_v, hi_v = vals[slots[c][0]], vals[slots[c][1]]
+            state[c]["cand"] = (lo_v, hi_v)
+            aggs += [F.sum((in_band(c) & (F.col(c) < F.lit(lo_v))).cast("long")).alias(f"{c}__b"),
+                     F.sum((in_band(c) & (F.col(c) >= F.lit(lo_v)) & (F.col(c) <= F.lit(hi_v))).cast("long"))
+                     .alias(f"{c}__n")]
+        r = base.agg(*aggs).first()
+        for c in active:
+            st = state[c]
+            lo_v, hi_v = st["cand"]
+            below, band = int(r[f"{c}__b"] or 0), int(r[f"{c}__n"] or 0)
+            if not (st["below"] + below <= st["ks"][0] and st["ks"][-1] < st["below"] + below + band):
+                # Bracket missed (the approximation's error bound): widen and retry;
+                # a band already small enough is gathered as it is.
+                st["widen"] = st.get("widen", 1) * 4
+                st["done"] = st["band"] <= cap
+                continue
+            if lo_v == hi_v:
+                st["value"] = {k: float(lo_v) for k in st["ks"]}
+                st["done"] = True
+                continue
+            st["lo"], st["hi"], st["below"], st["band"] = lo_v, hi_v, st["below"] + below, band
+    # Gather the remaining bands in one job and pick the order statistics.
+    need = [c for c, st in state.items() if "value" not in st]
+    if need:
+        parts = [base.where(in_band(c)).select(F.lit(c).alias("_c"), F.col(c).alias("_v")) for c in need]
+        u = parts[0]
+        for p_ in parts[1:]:
+            u = u.unionByName(p_)
+        got: dict = {c: [] for c in need}
+        for row in u.collect():
+            got[row["_c"]].append(row["_v"])
+        for c in need:
+            vals = sorted(got[c])
+            st = state[c]
+            st["value"] = {k: float(vals[k - st["below"]]) for k in st["ks"]}
+    out = {c: None for c in cols}
+    for c, st in state.items():
+        lo_k, hi_k = math.floor(st["pos"]), math.ceil(st["pos"])
+        a, b = st["value"][lo_k], st["value"][hi_k]
+        if lo_k == hi_k:
+            out[c] = a
+        elif q == 0.5:
+            out[c] = (a + b) / 2.0
+        else:
+            t = st["pos"] - lo_k
+            out[c] = a + (b - a) * t if t < 0.5 else b - (b - a) * (1 - t)
+    return out
 
 
 def group_median(df: DataFrame, col: str, group_cols) -> DataFrame:
