@@ -98,7 +98,7 @@ def exact_quantiles(df: DataFrame, cols, q: float = 0.5, settings: Settings = DE
         return cond
 
     first = True
-    while True:
+    for _round in range(32):
         active = [c for c, st in state.items() if not st["done"] and (first or st["band"] > cap)]
         first = False
         if not active:
@@ -136,8 +136,13 @@ def exact_quantiles(df: DataFrame, cols, q: float = 0.5, settings: Settings = DE
                 st["value"] = {k: float(lo_v) for k in st["ks"]}
                 st["done"] = True
                 continue
+            # A band that no longer halves is held up by repeated values: stop
+            # narrowing; its distinct values are few and are gathered with counts.
+            stalled = band > st["band"] // 2
             st["lo"], st["hi"], st["below"], st["band"] = lo_v, hi_v, st["below"] + below, band
-    # Gather the remaining bands in one job and pick the order statistics.
+            st["done"] = stalled
+    # Gather the remaining bands in one job as (value, count) pairs and pick the
+    # order statistics by running counts.
     need = [c for c, st in state.items() if "value" not in st]
     if need:
         parts = [base.where(in_band(c)).select(F.lit(c).alias("_c"), F.col(c).alias("_v")) for c in need]
@@ -145,12 +150,19 @@ def exact_quantiles(df: DataFrame, cols, q: float = 0.5, settings: Settings = DE
         for p_ in parts[1:]:
             u = u.unionByName(p_)
         got: dict = {c: [] for c in need}
-        for row in u.collect():
-            got[row["_c"]].append(row["_v"])
+        for row in u.groupBy("_c", "_v").count().collect():
+            got[row["_c"]].append((row["_v"], row["count"]))
         for c in need:
-            vals = sorted(got[c])
             st = state[c]
-            st["value"] = {k: float(vals[k - st["below"]]) for k in st["ks"]}
+            runs = sorted(got[c])
+            st["value"] = {}
+            for k in st["ks"]:
+                acc, want = 0, k - st["below"]
+                for v, cnt in runs:
+                    acc += cnt
+                    if want < acc:
+                        st["value"][k] = float(v)
+                        break
     out = {c: None for c in cols}
     for c, st in state.items():
         lo_k, hi_k = math.floor(st["pos"]), math.ceil(st["pos"])
