@@ -284,3 +284,19 @@ def q_ask(spark, sf_dir):
     inc = fixtures.incident_vectors(spark, sf_dir)
     out = ask(inc, fixtures.conversation_questions(spark, sf_dir))
     return out["answers"].select("question_id", "count", "summary", F.size("claims").alias("n_claims"))
+
+
+@register("probe_cross_join", f"""WITH {S.VEC}, {PROBES_SQL},
+  c AS (SELECT p.probe, v.id, v.report_number,
+    round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 6) AS score
+    FROM incident_vectors v, probes p)
+SELECT CAST(probe AS VARCHAR) AS question_id, id, report_number, score,
+  CAST(row_number() OVER (PARTITION BY probe ORDER BY score DESC, id) AS BIGINT) AS rank FROM c QUALIFY rank <= 200""")
+def q_probe_join(spark, sf_dir):
+    """Every probe scored against every vector, kept to each probe's 200 best.
+    Done as broadcast probes x Arrow batches with per-partition pruning; the
+    full probe x vector product is never materialised."""
+    inc = fixtures.incident_vectors(spark, sf_dir).select("id", "report_number", "embedding")
+    p = label_probes(spark, sf_dir).withColumn("question_id", F.col("probe").cast("string"))
+    return similarity.similarity_topk(inc, p, DEFAULT.sweep_probe_k).select("question_id", "id", "report_number",
+                                                                              "score", "rank")

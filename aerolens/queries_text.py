@@ -449,3 +449,14 @@ def q_meta(spark, sf_dir):
     settings = DEFAULT.with_(analysis_date="2026-01-01")
     return run_metadata(spark, conf["rows"], conf["temporal_confidence"], settings,
                         methodology(settings, "all", None))
+
+
+@register("discover_bundle")
+def q_bundle(spark, sf_dir):
+    """The Discover bundle of a full-table run (offline path, sample='all') over
+    the structured incidents, as one JSON row (rows only)."""
+    from .plans.discover import discover
+
+    out = discover(fixtures.incidents(spark, sf_dir), DEFAULT.with_(analysis_date="2026-01-01"), sample="all",
+                   key_cols=KEY, order_cols=KEY)
+    return out["bundle"].select(F.to_json(F.struct("*")).alias("bundle"))
