@@ -23,9 +23,14 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Fixed value: the whitespace characters stripped from both ends of a value.
+WHITESPACE = " \t\n\r\f\v"
+
+
 def strip_ws(c: Column | str) -> Column:
-    """Python's ``str.strip()``: leading and trailing whitespace of any kind."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    """Python's ``str.strip()`` for ASCII whitespace (space, tab, newlines, form
+    feed, vertical tab); a plain character trim, no regular expression."""
+    return F.trim(_c(c), F.lit(WHITESPACE))
 
 
 def risk_numeric(c: Column | str) -> Column:

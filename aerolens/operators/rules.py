@@ -208,7 +208,12 @@ def association_rules(itemsets: DataFrame, metric: str = "lift", min_threshold:
     ``consequent_support``, ``support``, ``count``, ``confidence``, ``lift``,
     ``leverage``, ``conviction``.
     """
+    from ..session import cut_lineage
+
     sep = "\u0001"
+    # The itemset table is joined with itself; a self-join defeats cache reuse,
+    # so the (small) table is written once to the shared checkpoint folder.
+    itemsets = cut_lineage(itemsets)
     keyed = itemsets.select(F.array_join("itemset", sep).alias("key"), "support")
     n_sets = itemsets.count()
     lookup = F.broadcast(keyed) if n_sets <= max_broadcast else keyed

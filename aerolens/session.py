@@ -58,3 +58,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder: survives executor loss."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input (fewer partitions than the cluster's parallelism) one
+    partition per core, so CPU-heavy steps (tokenising, k-means) use the whole
+    cluster. Large inputs already have more partitions and are left as read:
+    no extra shuffle at scale."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df

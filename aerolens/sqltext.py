@@ -18,8 +18,12 @@ def num(c: str) -> str:
     return f"(CASE WHEN regexp_matches({c}, '{NUMERIC_RE}') THEN TRY_CAST(trim({c}) AS DOUBLE) END)"
 
 
+WS = "(' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))"
+
+
 def strip(c: str) -> str:
-    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+    """Twin of ``strip_ws``: trim the same whitespace characters from both ends."""
+    return f"trim({c}, {WS})"
 
 
 def ts(c: str) -> str:
