@@ -61,12 +61,14 @@ def facet_strings(counts: DataFrame, group_cols=()) -> DataFrame:
     return out
 
 
-def exact_quantile(df: DataFrame, col: str, q: float = 0.5, settings: Settings = DEFAULT) -> float | None:
+def exact_quantile(df: DataFrame, col: str, q: float = 0.5, settings: Settings = DEFAULT,
+                   materialize: bool = True) -> float | None:
     """G2 (global form): the exact q-quantile of one column; see ``exact_quantiles``."""
-    return exact_quantiles(df, [col], q, settings)[col]
+    return exact_quantiles(df, [col], q, settings, materialize)[col]
 
 
-def exact_quantiles(df: DataFrame, cols, q: float = 0.5, settings: Settings = DEFAULT) -> dict:
+def exact_quantiles(df: DataFrame, cols, q: float = 0.5, settings: Settings = DEFAULT,
+                    materialize: bool = True) -> dict:
     """Exact q-quantiles of several columns with linear interpolation (NumPy's
     default; the median averages the two middle values). Nulls and NaN ignored;
     a column without values gives None.
@@ -79,6 +81,12 @@ def exact_quantiles(df: DataFrame, cols, q: float = 0.5, settings: Settings = DE
     """
     cols = list(cols)
     base = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in cols])
+    if materialize:
+        # Four or more passes follow: write the projected columns once (shared
+        # checkpoint folder) rather than recomputing the source for each pass.
+        from ..session import cut_lineage
+
+        base = cut_lineage(base)
     counts = base.agg(*[F.count(c).alias(c) for c in cols]).first()
     state = {}
     for c in cols:
