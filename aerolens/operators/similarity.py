@@ -2,8 +2,8 @@
 
 Exact cosine top-k. The question (or probe) vectors are broadcast in chunks of
 a checked size; every Arrow batch of the corpus is multiplied by the chunk in
-NumPy and only the batch's own candidates (scores >= the batch's k-th best,
-ties included) leave the task. A window ``row_number() <= k`` per question,
+NumPy and a running per-question top-k (ties included) is kept per partition,
+vectorised over all questions; only those candidates leave the task. A window ``row_number() <= k`` per question,
 with Spark's partial group limit before the shuffle, merges the candidates.
 The corpus is scanned once per chunk; no (question x incident) table exists.
 """
@@ -68,39 +68,54 @@ def similarity_topk(incidents: DataFrame, questions: DataFrame, k: int, id_col:
         bq = spark.sparkContext.broadcast((ids, (mat / norms[:, None]).T.copy()))
 
         def score_batches(batches: Iterator[pd.DataFrame], bq=bq) -> Iterator[pd.DataFrame]:
-            # Running candidates of this partition: after each Arrow batch only
-            # the rows scoring >= the k-th best so far (ties kept) survive, so
-            # a partition emits about k rows per question, never all pairs.
+            # Running candidates of this partition, for all questions at once, as
+            # parallel arrays (question index, score, row number). After each
+            # Arrow batch only those scoring >= their question's k-th best so
+            # far survive (ties kept): a partition emits about k rows per
+            # question, never all pairs.
             qids, qt = bq.value
-            held = [None] * len(qids)
+            q_idx = np.empty(0, dtype=np.int64)
+            q_score = np.empty(0)
+            r_idx = np.empty(0, dtype=np.int64)
+            frames = []
+            offset = 0
             for pdf in batches:
                 if pdf.empty:
                     continue
                 vecs = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col].to_numpy()])
                 vn = np.linalg.norm(vecs, axis=1)
                 vn[vn == 0] = np.nan
-                sims = np.round((vecs @ qt) / vn[:, None], digits)
-                meta = pdf[keep]
-                for j in range(len(qids)):
-                    s = sims[:, j]
-                    ok = ~np.isnan(s)
-                    if score_min is not None:
-                        ok &= s >= score_min
-                    if not ok.any():
-                        continue
-                    part = meta.iloc[np.nonzero(ok)[0]].copy()
-                    part.insert(0, "score", s[ok])
-                    prev = held[j]
-                    cur = part if prev is None else pd.concat([prev, part], ignore_index=True)
-                    if len(cur) > k:
-                        kth = np.partition(cur["score"].to_numpy(), len(cur) - k)[len(cur) - k]
-                        cur = cur[cur["score"].to_numpy() >= kth]
-                    held[j] = cur
-            for j, qid in enumerate(qids):
-                if held[j] is not None and len(held[j]):
-                    out = held[j].reset_index(drop=True)
-                    out.insert(0, "question_id", qid)
-                    yield out[["question_id", "score", *keep]]
+                sims = np.round((vecs @ qt) / vn[:, None], digits)  # rows x questions
+                ok = ~np.isnan(sims)
+                if score_min is not None:
+                    ok &= sims >= score_min
+                if len(pdf) > k:
+                    kth = -np.partition(-np.where(ok, sims, -np.inf), k - 1, axis=0)[k - 1]
+                    ok &= sims >= kth[None, :]
+                r, c = np.nonzero(ok)
+                if len(r):
+                    used = np.unique(r)
+                    frames.append(pdf[keep].iloc[used].set_axis(used + offset))
+                    q_idx = np.concatenate([q_idx, c])
+                    q_score = np.concatenate([q_score, sims[r, c]])
+                    r_idx = np.concatenate([r_idx, r + offset])
+                    order = np.lexsort((-q_score, q_idx))
+                    q_idx, q_score, r_idx = q_idx[order], q_score[order], r_idx[order]
+                    pos = np.arange(len(q_idx)) - np.searchsorted(q_idx, q_idx, side="left")
+                    kth_of = np.full(len(qids), -np.inf)
+                    at_k = pos == k - 1
+                    kth_of[q_idx[at_k]] = q_score[at_k]
+                    live = q_score >= kth_of[q_idx]
+                    q_idx, q_score, r_idx = q_idx[live], q_score[live], r_idx[live]
+                offset += len(pdf)
+            if len(q_idx) == 0:
+                return
+            meta = pd.concat(frames)
+            meta = meta[~meta.index.duplicated()]
+            out = meta.loc[r_idx].reset_index(drop=True)
+            out.insert(0, "score", q_score)
+            out.insert(0, "question_id", np.asarray(qids, dtype=object)[q_idx])
+            yield out[["question_id", "score", *keep]]
 
         results.append(src.mapInPandas(score_batches, out_schema))
     if not results:

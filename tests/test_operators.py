@@ -259,3 +259,22 @@ def test_entry_smoke(spark):
     df = e.entry(spark)
     assert df.count() >= 0 and "context_text" in df.columns
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_topk_many_batches_and_ties(spark):
+    e = spark.read.parquet(f"{SF001}/embeddings.parquet").select("vec_id", "embedding")
+    # every vector twice under two ids: exact score ties at every rank
+    inc = e.select(F.concat(F.lit("a"), F.col("vec_id").cast("string")).alias("id"), "embedding").unionByName(
+        e.select(F.concat(F.lit("b"), F.col("vec_id").cast("string")).alias("id"), "embedding")).repartition(3)
+    q = e.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").cast("string").alias("question_id"), "embedding")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = similarity.similarity_topk(inc, q, 9, keep_cols=["id"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    vecs = [(r.id, np.array(r.embedding, dtype=np.float64)) for r in inc.collect()]
+    for qr in q.collect():
+        qv = np.array(qr.embedding, dtype=np.float64)
+        sc = sorted((-round(float(v @ qv / np.linalg.norm(v) / np.linalg.norm(qv)), 6), i) for i, v in vecs)
+        have = [r.id for r in sorted((r for r in got if r.question_id == qr.question_id), key=lambda r: r.rank)]
+        assert have == [i for _, i in sc[:9]]
