@@ -46,11 +46,6 @@ def baseline(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
              F.when(F.col("rows") > 0, F.col("elevated") / F.col("rows")).otherwise(F.lit(0.0)).alias("baseline"))
 
 
-def _totals(df: DataFrame, flag) -> tuple[int, int]:
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(flag.cast("long")).alias("e")).first()
-    return int(row["n"]), int(row["e"] or 0)
-
-
 def _context_cols(attrs):
     order = sorted(attrs, key=lambda a: a + "_")  # token order: the sorted one-hot names
     present = [F.when(F.col(a).isNotNull(), F.struct(F.lit(a).alias("key"), F.col(a).alias("value"))) for a in order]

@@ -30,6 +30,9 @@ KEY_NAMES = list(fixtures.SRC_KEY)
 def register(key: str, sql: str | None = None):
     def deco(fn):
         def run(spark, sf_dir, _fn=fn):
+            # The engine reads and prints times in UTC (SURVEY: session zone UTC).
+            if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
+                spark.conf.set("spark.sql.session.timeZone", "UTC")
             return flat(_fn(spark, sf_dir))
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
@@ -299,11 +302,8 @@ RULES_SQL = f"""WITH d AS (SELECT {S.driver('flight_phase')} AS flight_phase, {S
     rows, n, support, confidence, confidence / base AS lift, confidence / base AS uplift, base AS baseline
   FROM m WHERE confidence / base >= 1.0"""
 
-ORACLE_RULES_CTE = RULES_SQL.replace("WITH d AS", "d AS", 1)
-
-
 def _rules_sql(select: str) -> str:
-    return f"{NORM}, r AS (SELECT * FROM ({RULES_SQL.replace('WITH d AS', 'WITH d AS', 1)})) {select}"
+    return f"{NORM}, r AS (SELECT * FROM ({RULES_SQL})) {select}"
 
 
 ORACLE["canonical_context_key"] = ORACLE["canonical_context_key"].replace("{RULES}", RULES_SQL)
