@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprint as fp
+from . import fingerprint as fp, pii
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,56 @@ def op1_fingerprints(spark, sf_dir):
                     F.array_join("sketch", ",").alias("fingerprint"),
                     F.array_join("edited_sketch", ",").alias("edited_fingerprint"), "near_edited", "near_next",
                     fp.distinct_shingles(F.col("sketch")).alias("n_shingles_est"))
+
+
+# ---------------------------------------------------------------- 9: personal data
+
+_DIG = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN_SQL = (f"list_sum(list_transform(range(1, length({_DIG}) + 1), lambda j: CASE WHEN j % 2 = 1 THEN substr(reverse({_DIG}), j, 1)::INT "
+             f"WHEN substr(reverse({_DIG}), j, 1)::INT > 4 THEN 2 * substr(reverse({_DIG}), j, 1)::INT - 9 "
+             f"ELSE 2 * substr(reverse({_DIG}), j, 1)::INT END)) % 10 = 0")
+_IBAN_MOVED = "substr(replace(v, ' ', ''), 5) || substr(replace(v, ' ', ''), 1, 4)"
+_MOD97_SQL = (f"list_reduce(list_transform(string_split(array_to_string(list_transform(string_split({_IBAN_MOVED}, ''), "
+              f"lambda c: CASE WHEN c BETWEEN 'A' AND 'Z' THEN (ascii(c) - 55)::VARCHAR ELSE c END), ''), ''), lambda c: c::INT), "
+              f"lambda a, d: (a * 10 + d) % 97) = 1")
+
+
+def _pii_check_sql(k) -> str:
+    count = f"length({_DIG}) BETWEEN {k.digits[0]} AND {k.digits[1]}"
+    return {"none": "true", "octets": rf"regexp_matches(v, '^{pii.OCTET}(?:\.{pii.OCTET}){{3}}$')", "digits": count,
+            "luhn": f"CASE WHEN {count} THEN {_LUHN_SQL} ELSE false END", "mod97": _MOD97_SQL}[k.check]
+
+
+def _pii_sql() -> str:
+    parts = []
+    for n, k in enumerate(pii.KINDS):
+        parts.append(f"""k{n} AS (SELECT rid, {n} AS kn, '{k.name}' AS kind, {str(k.base).lower()} AS base, m[i] AS v,
+    (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::BIGINT AS s,
+    least({k.score} + CASE WHEN regexp_matches(lower(right(p[i], {pii.BEFORE}) || ' ' || left(p[i+1], {pii.AFTER})), '{k.context}')
+      THEN {pii.CONTEXT_BONUS} ELSE 0.0 END, 1.0)::DOUBLE AS score
+  FROM (SELECT rid, m, p, unnest(range(1, len(m) + 1)) AS i FROM (SELECT rid, regexp_extract_all(t, '{k.plain}') AS m,
+    string_split_regex(t, '{k.plain}') AS p FROM d))),
+c{n} AS (SELECT rid, kn, kind, base, s, s + length(v) AS e FROM k{n} WHERE ({_pii_check_sql(k)}) AND (base OR score >= {pii.THRESHOLD}))""")
+    every = " UNION ALL ".join(f"SELECT * FROM c{n}" for n in range(len(pii.KINDS)))
+    counts = ", ".join(f"count(*) FILTER (kind = '{k.name}') AS n_{k.name}" for k in pii.KINDS if k.base)
+    zero = ", ".join(f"coalesce(n_{k.name}, 0)::BIGINT AS n_{k.name}" for k in pii.KINDS if k.base)
+    listed = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY kn, s)"
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+{', '.join(parts)},
+g AS (SELECT rid, {counts}, {listed} FILTER (base) AS b, {listed} AS a FROM ({every}) GROUP BY rid)
+SELECT doc_id, {zero}, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans FROM d LEFT JOIN g USING (rid)"""
+
+
+@register("op9_pii", _pii_sql())
+def op9_pii(spark, sf_dir):
+    d = pii.find_spans(documents(spark, sf_dir).select("doc_id", "text"))
+    base = [k.name for k in pii.KINDS if k.base]
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def of(*names):
+        return F.filter("spans", lambda s: s["kind"].isin(*names))
+    counts = [F.size(of(n)).cast("bigint").alias(f"n_{n}") for n in base]
+    return d.select("doc_id", *counts, F.sha2(listed(of(*base)), 256).alias("base_sha256"),
+                    listed(F.col("spans")).alias("spans"))
