@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprint as fp, pii
+from . import fingerprint as fp, mixing, pii
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,30 @@ def op9_pii(spark, sf_dir):
     counts = [F.size(of(n)).cast("bigint").alias(f"n_{n}") for n in base]
     return d.select("doc_id", *counts, F.sha2(listed(of(*base)), 256).alias("base_sha256"),
                     listed(F.col("spans")).alias("spans"))
+
+
+# ---------------------------------------------------------------- 4: mixing sources
+
+
+@register("op4_mixing", rf"""
+WITH d AS (SELECT doc_id, source, len({WORDS_SQL.format('text')})::BIGINT AS size,
+    md5('{mixing.SEED}:' || doc_id) AS u FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+w AS (SELECT *, CASE (k - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, {mixing.MAX_REPEATS} * source_size AS cap FROM s),
+o AS (SELECT *, cap::DOUBLE / w AS ratio, {mixing.SHARE} * (SELECT sum(source_size) FROM s)::DOUBLE AS total,
+    coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS caps_before,
+    sum(w) OVER (ORDER BY cap::DOUBLE / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS weight_left FROM w),
+p AS (SELECT *, ratio <= (total - caps_before) / weight_left AS capped FROM o),
+l AS (SELECT total - coalesce(sum(cap) FILTER (capped), 0)::DOUBLE AS rest, sum(w) FILTER (NOT capped) AS weight FROM p GROUP BY total),
+t AS (SELECT source, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE rest / weight::DOUBLE * w END AS target FROM p, l),
+q AS (SELECT *, least(source_size, floor(target))::BIGINT AS q0, (floor(target) - least(source_size, floor(target)))::BIGINT AS q1 FROM t),
+r AS (SELECT d.*, source_size, target, q0, q1, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id, size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size, source_size, target,
+  (greatest(0, least(size, q0 - before)) + greatest(0, least(size, q1 - before)))::BIGINT AS taken FROM r""")
+def op4_mixing(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
+    rows = mixing.prepare(docs, F.col("doc_id"), F.col("text"), F.array("source")).select("doc_id", "source", "_mix")
+    mix = mixing.plan_mix(rows)
+    found = mixing.taken(rows, mix).alias("d").join(mix.sources.alias("s"), F.expr("d.source <=> s.source"), "left")
+    return found.select("doc_id", F.col("_mix.size").alias("size"), "source_size", "target", "taken")
