@@ -39,3 +39,54 @@ def fold(doc_id: Column, mod: int) -> Column:
 def hex_fraction(digest: Column) -> Column:
     """The first 13 hex digits of a digest as a number in [0, 1)."""
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(float(1 << 52))
+
+
+#: Texts handed to a Python worker at once, and those it works on at once, in bytes.
+ARROW_BATCH_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the bytes (not only the rows) that Spark sends to Python at once, unless the session does."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str(2**31 - 1)) or 2**31 - 1) >= 2**31 - 1:
+        spark.conf.set(key, str(ARROW_BATCH_BYTES))
+
+
+def map_texts(docs: DataFrame, text_col: str, fields: str, factory: Callable[[], Callable]) -> DataFrame:
+    """``docs`` with the columns ``fields`` (a DDL string), computed from its texts in Python.
+
+    ``factory()`` runs once a task and gives a function from a list of texts (null: empty) to one
+    list of values per new column. It is called with blocks of at most ``BLOCK_BYTES`` of text (or
+    one longer text), so memory does not follow the batch size. New columns replace old ones of
+    the same name.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    spark = docs.sparkSession
+    bound_batches(spark)
+    new = StructType.fromDDL(fields)
+    docs = docs.drop(*[f.name for f in new.fields if f.name != text_col])
+    types = [f.type for f in to_arrow_schema(new)]
+    names = [f.name for f in new.fields]
+    at, block = docs.columns.index(text_col), BLOCK_BYTES
+
+    def work(batches):
+        fn = factory()
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary())
+            start, held = 0, 0
+            for i in range(batch.num_rows + 1):
+                size = len(texts[i].as_py() or b"") if i < batch.num_rows else 0
+                if i == batch.num_rows or (held and held + size > block):
+                    if i > start:
+                        some = [(t or b"").decode("utf-8", "replace") for t in texts[start:i].to_pylist()]
+                        cols = [pa.array(v, t) for v, t in zip(fn(some), types)]
+                        rows = batch.slice(start, i - start)
+                        yield pa.RecordBatch.from_arrays([*rows.columns, *cols], names=[*rows.schema.names, *names])
+                    start, held = i, 0
+                held += size
+
+    return docs.mapInArrow(work, StructType([*docs.schema.fields, *new.fields]))

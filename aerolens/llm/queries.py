@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprint as fp, mixing, pii
+from . import bpe, fingerprint as fp, mixing, pii
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,20 @@ def op4_mixing(spark, sf_dir):
     mix = mixing.plan_mix(rows)
     found = mixing.taken(rows, mix).alias("d").join(mix.sources.alias("s"), F.expr("d.source <=> s.source"), "left")
     return found.select("doc_id", F.col("_mix.size").alias("size"), "source_size", "target", "taken")
+
+
+# ---------------------------------------------------------------- 7: BPE
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register("op7_bpe")
+def op7_bpe(spark, sf_dir):
+    d = bpe.encode_texts(documents(spark, sf_dir).select("doc_id", "text"), vocabulary_path())
+    return d.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                    F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                    F.sha2("decoded", 256).alias("decoded_sha256"))
