@@ -36,8 +36,9 @@ LONG = 1 << 20
 @dataclass(frozen=True)
 class Vocabulary:
     token_bytes: list[bytes]
-    #: (left id, right id) -> (rank, merged id)
-    merges: dict[tuple[int, int], tuple[int, int]]
+    #: (left id, right id) -> rank, and the id that each rank's merge gives
+    merges: dict[tuple[int, int], int]
+    results: list[int]
     byte_ids: list[int]
     special: dict[str, int]
 
@@ -68,55 +69,52 @@ def load_vocabulary(path: str) -> Vocabulary:
             token_bytes[i] = bytes(letters[c] for c in token)
     for token, i in special.items():
         token_bytes[i] = token.encode()
-    merges = {}
+    merges, results = {}, []
     for rank, pair in enumerate(spec["model"]["merges"]):
         a, b = pair.split(" ") if isinstance(pair, str) else pair
-        merges.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
+        merges.setdefault((ids[a], ids[b]), rank)
+        results.append(ids[a + b])
     by_byte = {b: ids[c] for c, b in letters.items()}
-    return Vocabulary(token_bytes, merges, [by_byte[b] for b in range(256)], special)
-
-
-def merge_short(ids: list[int], merges: dict) -> list[int]:
-    """Apply the merges, lowest rank first, by scanning: fine for a word."""
-    while len(ids) > 1:
-        best = None
-        for pair in zip(ids, ids[1:]):
-            found = merges.get(pair)
-            if found is not None and (best is None or found[0] < best[0]):
-                best, which = found, pair
-        if best is None:
+    return Vocabulary(token_bytes, merges, results, [by_byte[b] for b in range(256)], special)
+
+
+def merge_short(ids: list[int], merges: dict, results: list[int]) -> list[int]:
+    """Apply the merges, lowest rank first and leftmost first, on a list: fine for a word."""
+    none, get = len(results), merges.get
+    ranks = [get(p, none) for p in zip(ids, ids[1:])]
+    while ranks:
+        rank = min(ranks)
+        if rank == none:
             break
-        out, i, n = [], 0, len(ids)
-        while i < n:
-            if i + 1 < n and ids[i] == which[0] and ids[i + 1] == which[1]:
-                out.append(best[1])
-                i += 2
-            else:
-                out.append(ids[i])
-                i += 1
-        ids = out
+        i = ranks.index(rank)
+        ids[i:i + 2] = [results[rank]]
+        del ranks[i]
+        if i < len(ranks):
+            ranks[i] = get((ids[i], ids[i + 1]), none)
+        if i:
+            ranks[i - 1] = get((ids[i - 1], ids[i]), none)
     return ids
 
 
-def merge_long(ids: list[int], merges: dict) -> list[int]:
+def merge_long(ids: list[int], merges: dict, results: list[int]) -> list[int]:
     """The same with a heap over a linked list: n log n for very long fragments."""
     n = len(ids)
     after, before, ids = list(range(1, n + 1)), list(range(-1, n - 1)), list(ids)
-    heap = [(merges[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in merges]
+    heap = [(merges[p], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in merges]
     heapq.heapify(heap)
     while heap:
         _, i, pair = heapq.heappop(heap)
         j = after[i]
         if ids[i] != pair[0] or j >= n or ids[j] != pair[1]:
             continue
-        ids[i], ids[j] = merges[pair][1], -1
+        ids[i], ids[j] = results[merges[pair]], -1
         after[i] = k = after[j]
         if k < n:
             before[k] = i
             if (p := (ids[i], ids[k])) in merges:
-                heapq.heappush(heap, (merges[p][0], i, p))
+                heapq.heappush(heap, (merges[p], i, p))
         if (h := before[i]) >= 0 and (p := (ids[h], ids[i])) in merges:
-            heapq.heappush(heap, (merges[p][0], h, p))
+            heapq.heappush(heap, (merges[p], h, p))
     return [x for x in ids if x >= 0]
 
 
@@ -142,7 +140,7 @@ class Encoder(dict):
         ids = self.known.get(raw)
         if ids is None:
             start = [self.v.byte_ids[b] for b in raw]
-            ids = (merge_short if len(raw) <= 64 else merge_long)(start, self.v.merges)
+            ids = (merge_short if len(raw) <= 64 else merge_long)(start, self.v.merges, self.v.results)
             if len(self.known) >= MEMO:
                 self.known.clear()
             self.known[raw] = ids
