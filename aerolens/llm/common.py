@@ -90,3 +90,11 @@ def map_texts(docs: DataFrame, text_col: str, fields: str, factory: Callable[[],
                 held += size
 
     return docs.mapInArrow(work, StructType([*docs.schema.fields, *new.fields]))
+
+
+def bounded_sample(rows: DataFrame, key: Column, n: int) -> DataFrame:
+    """At most ``n`` distinct keys' rows, the same ones whenever the rows are the same: those
+    whose keys hash lowest. Only ``n`` hashes are ordered; nothing else is moved."""
+    rank = F.xxhash64(F.lit("sample"), key)
+    edge = rows.select(rank.alias("r")).distinct().orderBy("r").limit(n).agg(F.max("r")).first()[0]
+    return rows.where(rank <= F.lit(edge)) if edge is not None else rows.limit(0)

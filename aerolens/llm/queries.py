@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprint as fp, mixing, pii
-from .common import documents
+from . import bpe, fingerprint as fp, langid, mixing, pii, vafile
+from .common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -157,3 +157,34 @@ def op7_bpe(spark, sf_dir):
     return d.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
                     F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                     F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+# ---------------------------------------------------------------- 2: language
+
+
+@register("op2_langid")
+def op2_langid(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = langid.train(docs.where(~held_out))
+    d = langid.label(docs.select("doc_id", "text"), model)
+    spans = F.transform("lang_spans", lambda s: F.concat_ws(":", s["lang"], s["start"].cast("string"), s["end"].cast("string")))
+    return d.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"),
+                    F.array_join(spans, ",").alias("spans"))
+
+
+# ---------------------------------------------------------------- 10: exact top-k
+
+
+@register("op10_topk", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+FROM p QUALIFY rank <= 10""")
+def op10_topk(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    found = vafile.top_k(rows, "vec_id", vafile.scaled(F.col("embedding")), F.col("id") % 100 == 0)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
