@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprint as fp, langid, mixing, pii, vafile
+from . import bpe, fingerprint as fp, langid, mixing, pii, quality, toxicity, vafile
 from .common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +188,29 @@ def op10_topk(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     found = vafile.top_k(rows, "vec_id", vafile.scaled(F.col("embedding")), F.col("id") % 100 == 0)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+
+
+# ---------------------------------------------------------------- 3, 6: classifiers
+
+
+def texts_and_labels(spark, sf_dir, mod: int, held: int):
+    """Documents (doc_id, text), the labels to learn from, and the condition for what is held out."""
+    held_out = fold(F.col("doc_id"), mod) == held
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return documents(spark, sf_dir).select("doc_id", "text"), labels.where(~held_out), held_out
+
+
+@register("op3_quality")
+def op3_quality(spark, sf_dir):
+    docs, labels, held_out = texts_and_labels(spark, sf_dir, 3, 1)
+    net = quality.train(docs, labels, "doc_id", "text", "quality")
+    d = quality.score(docs, net, out="score")
+    return d.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@register("op6_toxicity")
+def op6_toxicity(spark, sf_dir):
+    docs, labels, held_out = texts_and_labels(spark, sf_dir, 4, 2)
+    model = toxicity.train(docs, labels, "doc_id", "text", "toxic")
+    d = toxicity.score(docs, model, out="score")
+    return d.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
