@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprint as fp, langid, mixing, pii, quality, toxicity, vafile
-from .common import documents, fold
+from . import bpe, fingerprint as fp, langid, minhash, mixing, pii, quality, toxicity, vafile
+from .common import LOWER, UPPER, documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -214,3 +214,22 @@ def op6_toxicity(spark, sf_dir):
     model = toxicity.train(docs, labels, "doc_id", "text", "toxic")
     d = toxicity.score(docs, model, out="score")
     return d.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+# ---------------------------------------------------------------- 5: near duplicates
+
+
+@register("op5_near_duplicates", rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM d),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb
+    FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r(id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id WHERE r.c < e.b),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, c AS component_id, c = doc_id AS kept FROM s JOIN m ON id = doc_id""")
+def op5_near_duplicates(spark, sf_dir):
+    d = minhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), width=2, percent=80)
+    return d.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
