@@ -239,8 +239,8 @@ def op5_near_duplicates(spark, sf_dir):
 
 
 @register("op8_suffix_dedup", f"""
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
-w AS (SELECT doc_id, p, substr(x, 2 * p + 1, {2 * suffix_dedup.LENGTH}) AS s
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS x, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, p, x[p + 1 : p + {suffix_dedup.LENGTH}] AS s
     FROM (SELECT doc_id, x, unnest(range(0, n - {suffix_dedup.LENGTH - 1})) AS p FROM d)),
 f AS (SELECT s, min((doc_id, p)) AS lead FROM w GROUP BY s HAVING count(*) > 1),
 l AS (SELECT w.doc_id, w.p FROM w JOIN f USING (s) WHERE (w.doc_id, w.p) > f.lead),
@@ -250,9 +250,9 @@ r AS (SELECT doc_id, k, min(p) AS a, max(p) + {suffix_dedup.LENGTH} AS b FROM g
 c AS (SELECT r.doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY r.doc_id ORDER BY a), 0) AS z,
     lead(a) OVER (PARTITION BY r.doc_id ORDER BY a) IS NULL AS is_last, n, x FROM r JOIN d USING (doc_id)),
 t AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans,
-    string_agg(substr(x, 2 * z + 1, 2 * (a - z)) || CASE WHEN is_last THEN substr(x, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS y FROM c GROUP BY doc_id)
+    string_agg(hex(x[z + 1 : a]) || CASE WHEN is_last THEN hex(x[b + 1 : n]) ELSE '' END, '' ORDER BY a) AS y FROM c GROUP BY doc_id)
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
-  sha256(unhex(coalesce(y, x))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)""")
+  sha256(unhex(coalesce(y, hex(x)))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)""")
 def op8_suffix_dedup(spark, sf_dir):
     d = suffix_dedup.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])

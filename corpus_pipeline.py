@@ -1,16 +1,78 @@
 """A training-corpus pipeline built from the operators of ``aerolens.llm``.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
-kept; its result is written as Parquet and read again for the next stage.
+kept; its result is written as Parquet and read again as the next one's docs.
+All stages but the last return the columns of ``documents`` (and whatever
+further columns the table has).
+
+1. ``language``: texts without any letter, and texts of which no language holds
+   ``LEAST_SHARE`` of the letters, are rejected.
+2. ``near_duplicates``: one document of each group of near-duplicates stays,
+   the one with the smallest id (rows that repeat that id: the smallest text).
+3. ``personal_data``: confirmed spans are replaced by their kind; the row's
+   ``n_chars`` follows the new text.
+4. ``mixing``: documents are taken to the target weights of their sources. A row
+   is returned as many times as the mix takes its words, rounded, so documents
+   that it does not take go and those it repeats come twice.
+5. ``tokens``: every document with the ids of its text.
+
+Defined results: nulls and empty texts are treated as each operator says: a
+document without text is rejected by the first stage. Empty tables pass through
+all stages. Columns of the table that the stages do not know are carried along,
+whatever their names; the last stage adds ``n_tokens`` and ``token_ids``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from aerolens.llm import bpe, langid, minhash, mixing, pii
+from aerolens.llm.queries import vocabulary_path
 from aerolens.session import scratch_path
 
-STAGES: list = []
+#: A document is rejected if its main language holds less than this share of its letters.
+LEAST_SHARE = 0.4
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = langid.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    labelled = langid.label(docs, model, lang_col="_lang_pred", score_col="_lang_score", spans_col="_lang_spans")
+    return labelled.where((F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_lang_score") >= LEAST_SHARE)).select(*_plain(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(docs.select("doc_id", "text"))
+    kept = found.where("kept").groupBy(F.col("id").alias("_kept_id")).agg(F.count("*").alias("_rows"))
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")))
+    single = rows.where("_rows = 1").select(*_plain(docs))
+    first = F.row_number().over(Window.partitionBy("_kept_id").orderBy(*[F.col(c).asc_nulls_last() for c in ("text", "source", "lang", "n_chars")]))
+    repeated = rows.where("_rows > 1").withColumn("_first", first).where("_first = 1").select(*_plain(docs))
+    return single.unionByName(repeated)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    masked = docs.withColumn("text", pii.mask(F.col("text")))
+    return masked.withColumn("n_chars", F.coalesce(F.length("text").cast(dict(docs.dtypes)["n_chars"]), F.col("n_chars"))).select(*_plain(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = mixing.prepare(docs, F.col("doc_id"), F.col("text"), F.array("source"))
+    found = mixing.taken(rows, mixing.plan_mix(rows), out="_taken")
+    copies = F.round(F.col("_taken") / F.col("_mix.size")).cast("int")
+    return found.where(F.col("_mix.size") > 0).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*_plain(docs))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode_texts(docs.drop("token_ids", "n_tokens"), vocabulary_path(), ids_col="token_ids", decoded_col=None)
+    return encoded.withColumn("n_tokens", F.size("token_ids").cast("bigint"))
+
+
+def _plain(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("personal_data", personal_data),
+          ("mixing", mix_sources), ("tokens", tokens)]
 
 #: The language stage is a trained model, which SQL cannot express.
 ORACLE_SQL = None
