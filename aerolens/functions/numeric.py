@@ -43,6 +43,12 @@ def py_round(c: Column | str, digits: int) -> Column:
     an error-free product ``x * 10^(d+1) = p + err``.
     """
     x = (F.col(c) if isinstance(c, str) else c).cast("double")
+    # The argument is bound once: it is mentioned some twenty times, and nested
+    # copies of it would exceed the size of a generated method.
+    return F.element_at(F.transform(F.array(x), lambda v: _py_round(v, digits)), 1)
+
+
+def _py_round(x: Column, digits: int) -> Column:
     ax = F.abs(x)
     text = ax.cast("string")
     frac = F.substring_index(text, ".", -1)

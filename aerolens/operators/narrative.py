@@ -8,6 +8,7 @@ from ..functions.numeric import py_float_str
 from . import rules as R
 from . import stats
 
+# The texts of summaries and claims here and in ``compose_answer``.
 NO_MATCH = "No matching incidents were found for the specified criteria."
 
 
@@ -33,13 +34,14 @@ def strong_narratives(general_rules: DataFrame, n: int = 5) -> DataFrame:
 
 
 def compose_answer(rows: DataFrame, questions: DataFrame, group_col: str = "question_id",
-                   order_col: str = "rank") -> DataFrame:
+                   order_col: str = "rank", closest_claim: bool = True) -> DataFrame:
     """Per question a summary and claims with citations.
 
     ``rows`` are a question's ranked, filtered incidents (normalised columns).
     Claims: top cause, top phase, risk distribution (citing the first five
     report numbers) and the three closest misses (citing their reports). A
-    question without rows gets the fixed text and no claims.
+    question without rows gets the fixed text and no claims. ``closest_claim`` is
+    False where the corpus has no miss distances: there is no fourth claim then.
     """
     q = group_col
     facets = stats.facet_strings(stats.facet_counts(rows, group_cols=[q]), [q])
@@ -68,7 +70,7 @@ def compose_answer(rows: DataFrame, questions: DataFrame, group_col: str = "ques
         F.lit("' ("), tcn, F.lit(" cases). The most common flight phase is '"), tp, F.lit("' ("), tpn,
         F.lit(" cases). Risk score distribution: "), risk, F.lit(". Representative reports: "), exs, F.lit("."))
     claim = lambda text, cites: F.struct(text.alias("text"), cites.alias("citations"))
-    claims = F.array(
+    claims = [
         claim(F.concat(F.lit("Most common cause category is '"), tc, F.lit("' ("), tcn, F.lit("/"), t,
                        F.lit(" incidents).")), F.col("ex_reports")),
         claim(F.concat(F.lit("Most common flight phase is '"), tp, F.lit("' ("), tpn, F.lit("/"), t,
@@ -77,7 +79,8 @@ def compose_answer(rows: DataFrame, questions: DataFrame, group_col: str = "ques
         claim(F.concat(F.lit("Smallest recorded miss_distance values in this subset indicate notable proximity "
                              "events: "), F.array_join(F.transform("_near", lambda x: x["t"]), "; ")),
               F.transform("_near", lambda x: x["c"])),
-    )
+    ]
+    claims = F.array(*claims[:4 if closest_claim else 3])
     empty = total == 0
     return a.select(
         q, total.alias("count"),

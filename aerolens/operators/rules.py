@@ -9,11 +9,11 @@ For many attributes (2^k grouping sets) MLlib's FPGrowth is used instead.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.numeric import fmt_fixed
 from ..functions.risk import elevated, pretty_token, risk_phrase
+from ..session import materialise
 from ..settings import DEFAULT, Settings
 from .normalise import canonical_drivers
 
@@ -71,10 +71,9 @@ def mine_risk_rules(df: DataFrame, settings: Settings = DEFAULT, attrs=None) ->
     full = (1 << len(attrs)) - 1
     # One scan: the cube's all-rolled-up cell is the grand total. The cells are
     # post-aggregation (one per value combination and grouping set), so they
-    # are kept once and read twice instead of scanning the source again.
-    cells = (d.cube(*attrs).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("_flag").cast("long")).alias("n"),
-                                F.grouping_id().alias("_gid"))
-             .persist(StorageLevel.MEMORY_AND_DISK))
+    # are written once and read twice instead of scanning the source again.
+    cells = materialise(d.cube(*attrs).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("_flag").cast("long")).alias("n"),
+                                           F.grouping_id().alias("_gid")), "rule-cells")
     tot = cells.where(F.col("_gid") == full).select("rows", "n").first()
     total, elev = (int(tot["rows"]), int(tot["n"] or 0)) if tot else (0, 0)
     if total == 0 or elev == 0:
@@ -159,8 +158,7 @@ def frequent_itemsets(df: DataFrame, attrs, min_support: float = DEFAULT.min_sup
     if method == "auto":
         method = "cube" if len(cols) <= CUBE_MAX_ATTRS else "fpgrowth"
     if method == "cube":
-        cells = d.cube(*cols).agg(F.count(F.lit(1)).alias("count"), F.grouping_id().alias("_gid")) \
-            .persist(StorageLevel.MEMORY_AND_DISK)
+        cells = materialise(d.cube(*cols).agg(F.count(F.lit(1)).alias("count"), F.grouping_id().alias("_gid")), "itemset-cells")
         tot = cells.where(F.col("_gid") == (1 << len(cols)) - 1).select("count").first()
         total = int(tot["count"]) if tot else 0
     else:
@@ -176,8 +174,11 @@ def frequent_itemsets(df: DataFrame, attrs, min_support: float = DEFAULT.min_sup
         toks = [F.concat(F.lit(a + "_"), F.col(a)) for a in attrs] + ([F.when(F.col(target), F.lit(target))]
                                                                       if target else [])
         items = d.select(F.array_compact(F.array(*toks)).alias("items"))
-        model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0).fit(items)
-        fi = model.freqItemsets
+        # MLlib rounds the least count up from a float product, which can lose sets exactly at
+        # the threshold: ask for one row less and filter as the cube does.
+        least = max(0.0, min_support - 1.0 / total)
+        fi = FPGrowth(itemsCol="items", minSupport=least, minConfidence=1.0).fit(items).freqItemsets
+        fi = fi.where((F.col("freq") / F.lit(total)) >= F.lit(min_support))
         return fi.select(F.array_sort("items").alias("itemset"), F.size("items").alias("size"),
                          F.col("freq").alias("count"), (F.col("freq") / F.lit(total)).alias("support"))
     if target:
@@ -192,26 +193,19 @@ def frequent_itemsets(df: DataFrame, attrs, min_support: float = DEFAULT.min_sup
                     (F.col("count") / F.lit(total)).alias("support")))
 
 
-def association_rules(itemsets: DataFrame, metric: str = "lift", min_threshold: float = 1.0,
-                      max_broadcast: int = 100_000) -> DataFrame:
+def association_rules(itemsets: DataFrame, metric: str = "lift", min_threshold: float = 1.0) -> DataFrame:
     """Every rule A -> C with A, C non-empty, A u C a frequent itemset.
 
     The subsets of an itemset are enumerated by bit masks; their supports come
-    from an equi-join on the sorted token key (J6). The itemset table is small
-    (at most 2^k / min_support rows); it is broadcast only after that is checked.
+    from an equi-join on the sorted token key (J6), whose strategy Spark picks by size.
     Columns: ``antecedents``, ``consequents``, ``antecedent_support``,
     ``consequent_support``, ``support``, ``count``, ``confidence``, ``lift``,
     ``leverage``, ``conviction``.
     """
-    from ..session import cut_lineage
-
     sep = "\u0001"
-    # The itemset table is joined with itself; a self-join defeats cache reuse,
-    # so the (small) table is written once to the shared checkpoint folder.
-    itemsets = cut_lineage(itemsets)
-    keyed = itemsets.select(F.array_join("itemset", sep).alias("key"), "support")
-    n_sets = itemsets.count()
-    lookup = F.broadcast(keyed) if n_sets <= max_broadcast else keyed
+    # The itemset table is joined with itself: written once to the shared folder.
+    itemsets = materialise(itemsets, "itemsets")
+    lookup = itemsets.select(F.array_join("itemset", sep).alias("key"), "support")
     big = itemsets.where(F.col("size") >= 2)
     masks = F.sequence(F.lit(1), F.pow(F.lit(2), F.col("size")).cast("int") - 2)
     splits = big.select("itemset", "count", F.col("support").alias("support"), F.explode(masks).alias("mask"))

@@ -1,40 +1,80 @@
 """Similarity search, probes and the sweep sample.
 
-Exact cosine top-k. The question (or probe) vectors are broadcast in chunks of
-a checked size; every Arrow batch of the corpus is multiplied by the chunk in
-NumPy and a running per-question top-k (ties included) is kept per partition,
-vectorised over all questions; only those candidates leave the task. A window ``row_number() <= k`` per question,
-with Spark's partial group limit before the shuffle, merges the candidates.
-The corpus is scanned once per chunk; no (question x incident) table exists.
+Exact cosine top-k. Question (or probe) vectors are taken in blocks of
+``Settings.question_block`` rows; a block is sent to the tasks, where every Arrow
+batch of the corpus is multiplied by it in NumPy and a running per-question
+top-k (ties included) is kept per partition. Only (question, id, score) leave
+Python; a first ranking per (question, salt) and a second per question merge
+the candidates, and the incidents' columns are joined back to the k survivors.
+No (question x incident) table exists.
 """
 
 from __future__ import annotations
 
+from itertools import islice
 from typing import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from ..session import materialise
 from ..settings import DEFAULT, Settings
 
-
-def _question_chunks(questions: DataFrame, q_id: str, q_vec: str, max_rows: int):
-    n = questions.count()
-    if n == 0:
-        return []
-    if n <= max_rows:
-        yield [(r[0], r[1]) for r in questions.select(F.col(q_id).cast("string"), q_vec).collect()]
-        return
-    # More questions than one broadcast may hold: split by a stable hash into
-    # chunks of about max_rows and run one pass per chunk.
-    parts = -(-n // max_rows)
-    keyed = questions.withColumn("_chunk", F.pmod(F.xxhash64(F.col(q_id).cast("string")), F.lit(parts)))
-    for p in range(parts):
-        rows = keyed.where(F.col("_chunk") == p).select(F.col(q_id).cast("string"), q_vec).collect()
-        if rows:
-            yield [(r[0], r[1]) for r in rows]
+#: Sub-keys per question of the first ranking.
+SALTS = 64
+#: Corpus rows multiplied at once.
+ROWS = 4096
+
+
+def _scores(src: DataFrame, ids: list, questions: np.ndarray, k: int, settings: Settings) -> DataFrame:
+    """(question_id, id, raw): each partition's candidates for one block of questions.
+    ``src``: (id, vector) with vectors of the questions' width."""
+    norms = np.linalg.norm(questions, axis=1)
+    norms[norms == 0] = np.nan
+    block = src.sparkSession.sparkContext.broadcast((questions / norms[:, None]).T.copy())
+    width, digits, score_min = questions.shape[1], settings.rank_digits, settings.score_min
+    id_type = src.schema[0].dataType
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qt = block.value
+        n_q = qt.shape[1]
+        q_idx, q_score, found = np.empty(0, np.int64), np.empty(0), None
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                v = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+                vn = np.linalg.norm(v, axis=1)
+                vn[vn == 0] = np.nan
+                sims = np.round((v @ qt) / vn[:, None], digits)  # rows x questions
+                ok = ~np.isnan(sims)
+                if score_min is not None:
+                    ok &= sims >= score_min
+                if len(v) > k:
+                    kth = -np.partition(-np.where(ok, sims, -np.inf), k - 1, axis=0)[k - 1]
+                    ok &= sims >= kth[None, :]
+                r, c = np.nonzero(ok)
+                if not len(r):
+                    continue
+                q_idx, q_score = np.concatenate([q_idx, c]), np.concatenate([q_score, sims[r, c]])
+                new = part.column(0).take(pa.array(r))
+                found = new if found is None else pa.concat_arrays([found, new])
+                order = np.lexsort((-q_score, q_idx))
+                q_idx, q_score = q_idx[order], q_score[order]
+                pos = np.arange(len(q_idx)) - np.searchsorted(q_idx, q_idx, side="left")
+                kth_of = np.full(n_q, -np.inf)
+                at_k = pos == k - 1
+                kth_of[q_idx[at_k]] = q_score[at_k]
+                live = q_score >= kth_of[q_idx]
+                q_idx, q_score, found = q_idx[live], q_score[live], found.take(pa.array(order[live]))
+        if found is not None:
+            names = pa.array(ids, pa.string()).take(pa.array(q_idx))
+            yield pa.RecordBatch.from_arrays([names, found, pa.array(q_score)], names=["question_id", "id", "raw"])
+
+    out = materialise(src.mapInArrow(work, f"question_id string, id {id_type.simpleString()}, raw double"), "similarity")
+    block.unpersist()
+    return out
 
 
 def similarity_topk(incidents: DataFrame, questions: DataFrame, k: int, id_col: str = "id",
@@ -42,89 +82,38 @@ def similarity_topk(incidents: DataFrame, questions: DataFrame, k: int, id_col:
                     settings: Settings = DEFAULT, keep_cols: list[str] | None = None) -> DataFrame:
     """T1 (+J4): the k incidents most similar (cosine) to each question.
 
-    Scores are rounded to ``settings.score_digits`` and ranked by score
-    descending, then ``id_col`` ascending. ``settings.score_min`` (off by
-    default) drops weaker matches before ranking. Columns: ``question_id``,
-    ``rank``, ``score`` and ``keep_cols`` (default: every incident column except
-    the vector).
+    Ranked by score at ``settings.rank_digits`` digits, descending, then ``id_col``
+    ascending (``id_col`` is unique); shown with ``settings.score_digits``.
+    ``settings.score_min`` (off by default) drops weaker matches before ranking.
+    A vector that is null, holds a null or has not the questions' width takes no
+    part. Columns: ``question_id``, ``rank``, ``score`` and ``keep_cols`` (default:
+    every incident column except the vector). The result is written, so plans
+    built on it do not score again.
     """
     spark = incidents.sparkSession
     keep = keep_cols if keep_cols is not None else [c for c in incidents.columns if c != vec_col]
     if id_col not in keep:
-        keep = [id_col] + keep
-    src = incidents.select(*keep, vec_col)
-    in_schema = src.schema
-    out_schema = StructType([StructField("question_id", StringType(), False),
-                             StructField("score", DoubleType(), False)]
-                            + [in_schema[c] for c in keep])
-    digits = settings.score_digits
-    score_min = settings.score_min
-    results = []
-    for chunk in _question_chunks(questions, q_id, q_vec, settings.max_broadcast_questions):
-        ids = [c[0] for c in chunk]
-        mat = np.asarray([np.asarray(c[1], dtype=np.float64) for c in chunk])
-        norms = np.linalg.norm(mat, axis=1)
-        norms[norms == 0] = np.nan
-        bq = spark.sparkContext.broadcast((ids, (mat / norms[:, None]).T.copy()))
-
-        def score_batches(batches: Iterator[pd.DataFrame], bq=bq) -> Iterator[pd.DataFrame]:
-            # Running candidates of this partition, for all questions at once, as
-            # parallel arrays (question index, score, row number). After each
-            # Arrow batch only those scoring >= their question's k-th best so
-            # far survive (ties kept): a partition emits about k rows per
-            # question, never all pairs.
-            qids, qt = bq.value
-            q_idx = np.empty(0, dtype=np.int64)
-            q_score = np.empty(0)
-            r_idx = np.empty(0, dtype=np.int64)
-            frames = []
-            offset = 0
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                vecs = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col].to_numpy()])
-                vn = np.linalg.norm(vecs, axis=1)
-                vn[vn == 0] = np.nan
-                sims = np.round((vecs @ qt) / vn[:, None], digits)  # rows x questions
-                ok = ~np.isnan(sims)
-                if score_min is not None:
-                    ok &= sims >= score_min
-                if len(pdf) > k:
-                    kth = -np.partition(-np.where(ok, sims, -np.inf), k - 1, axis=0)[k - 1]
-                    ok &= sims >= kth[None, :]
-                r, c = np.nonzero(ok)
-                if len(r):
-                    used = np.unique(r)
-                    frames.append(pdf[keep].iloc[used].set_axis(used + offset))
-                    q_idx = np.concatenate([q_idx, c])
-                    q_score = np.concatenate([q_score, sims[r, c]])
-                    r_idx = np.concatenate([r_idx, r + offset])
-                    order = np.lexsort((-q_score, q_idx))
-                    q_idx, q_score, r_idx = q_idx[order], q_score[order], r_idx[order]
-                    pos = np.arange(len(q_idx)) - np.searchsorted(q_idx, q_idx, side="left")
-                    kth_of = np.full(len(qids), -np.inf)
-                    at_k = pos == k - 1
-                    kth_of[q_idx[at_k]] = q_score[at_k]
-                    live = q_score >= kth_of[q_idx]
-                    q_idx, q_score, r_idx = q_idx[live], q_score[live], r_idx[live]
-                offset += len(pdf)
-            if len(q_idx) == 0:
-                return
-            meta = pd.concat(frames)
-            meta = meta[~meta.index.duplicated()]
-            out = meta.loc[r_idx].reset_index(drop=True)
-            out.insert(0, "score", q_score)
-            out.insert(0, "question_id", np.asarray(qids, dtype=object)[q_idx])
-            yield out[["question_id", "score", *keep]]
-
-        results.append(src.mapInPandas(score_batches, out_schema))
-    if not results:
-        return spark.createDataFrame([], out_schema.add("rank", "int"))
-    cands = results[0]
-    for r in results[1:]:
-        cands = cands.unionByName(r)
-    w = Window.partitionBy("question_id").orderBy(F.desc("score"), F.asc(id_col))
-    return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        keep = [id_col, *keep]
+
+    def usable(vec, width):
+        return (F.size(vec) == width) & ~F.exists(vec, lambda x: x.isNull())
+
+    asked = questions.select(F.col(q_id).cast("string").alias("question_id"), F.col(q_vec).alias("v"))
+    width = asked.agg(F.max(F.size("v"))).first()[0] or 0
+    src = incidents.select(F.col(id_col).alias("id"), F.col(vec_col)).where(usable(vec_col, width))
+    rows, cands = asked.where(usable("v", width)).toLocalIterator(), None  # one block at a time is held
+    while block := list(islice(rows, settings.question_block)):
+        part = _scores(src, [r[0] for r in block], np.asarray([r[1] for r in block], dtype=np.float64), k, settings)
+        cands = part if cands is None else cands.unionByName(part)
+    if cands is None:
+        cands = src.select(F.lit("").alias("question_id"), "id", F.lit(0.0).alias("raw")).limit(0)
+    best = [F.desc("raw"), F.asc("id")]
+    salted = Window.partitionBy("question_id", F.pmod(F.xxhash64("id"), F.lit(SALTS))).orderBy(*best)
+    first = cands.withColumn("_r", F.row_number().over(salted)).where(F.col("_r") <= k)
+    top = first.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(*best))).where(F.col("rank") <= k)
+    top = materialise(top.select("question_id", F.col("id").alias("_id"), "raw", "rank"), "topk")
+    out = top.join(incidents.select(*keep), F.col("_id") == F.col(id_col))
+    return materialise(out.select("question_id", F.round("raw", settings.score_digits).alias("score"), *keep, "rank"), "ranked")
 
 
 def random_probes(spark: SparkSession, n: int, dim: int, seed: int = DEFAULT.seed) -> DataFrame:
@@ -172,13 +161,24 @@ def sweep(incidents: DataFrame, probes: DataFrame, settings: Settings = DEFAULT,
     return first.orderBy("probe", "rank").limit(settings.sweep_target_max)
 
 
-def embed(df: DataFrame, text_col: str, dim: int, out_col: str = "embedding", fn=None,
-          model=None) -> DataFrame:
-    """Text to a unit vector of width ``dim``.
+def fit_embedder(corpus: DataFrame, text_col: str, dim: int):
+    """Hashed term frequencies -> IDF -> L2 norm, fitted on the corpus's texts. One model embeds the
+    corpus and the questions, so their vectors can be compared."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import HashingTF, IDF, Normalizer
+
+    from ..functions.text import tokens
+
+    stages = [HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim), IDF(inputCol="_tf", outputCol="_idf"),
+              Normalizer(inputCol="_idf", outputCol="_vec", p=2.0)]
+    return Pipeline(stages=stages).fit(corpus.select(tokens(text_col).alias("_tok")))
+
 
-    Default: hashed term frequencies -> IDF fitted on ``df`` (or the given
-    fitted ``model``) -> L2 norm, all MLlib on the JVM. ``fn`` (a function from
-    a list of texts to a list of vectors, e.g. a local model) runs in an
+def embed(df: DataFrame, text_col: str, dim: int | None = None, out_col: str = "embedding", fn=None, model=None) -> DataFrame:
+    """Text to a unit vector.
+
+    ``model`` is what ``fit_embedder`` gave for the corpus (all MLlib on the JVM). ``fn`` (a
+    function from a list of texts to a list of vectors, e.g. a local model) runs in an
     iterator pandas UDF so it is set up once per task, not per row.
     """
     if fn is not None:
@@ -190,16 +190,11 @@ def embed(df: DataFrame, text_col: str, dim: int, out_col: str = "embedding", fn
                 yield pd.Series([list(map(float, v)) for v in fn(s.fillna("").tolist())])
 
         return df.withColumn(out_col, _embed(F.col(text_col)))
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import HashingTF, IDF, Normalizer
+    if model is None:
+        raise ValueError("embed needs the model that embedded the corpus (fit_embedder) or a function")
     from pyspark.ml.functions import vector_to_array
 
     from ..functions.text import tokens
 
-    tok = df.withColumn("_tok", tokens(text_col))
-    if model is None:
-        model = Pipeline(stages=[HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim),
-                                 IDF(inputCol="_tf", outputCol="_idf"),
-                                 Normalizer(inputCol="_idf", outputCol="_vec", p=2.0)]).fit(tok)
-    return (model.transform(tok).withColumn(out_col, vector_to_array("_vec", "float32"))
+    return (model.transform(df.withColumn("_tok", tokens(text_col))).withColumn(out_col, vector_to_array("_vec", "float32"))
             .drop("_tok", "_tf", "_idf", "_vec"))

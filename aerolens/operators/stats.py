@@ -11,6 +11,7 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import materialise
 from ..settings import DEFAULT, Settings
 
 FACETS = (("cause_category", 10), ("flight_phase", 10), ("risk_level", None))
@@ -35,12 +36,21 @@ def facet_counts(df: DataFrame, specs=FACETS, group_cols=(), fill: str = "NA") -
                       for c, _ in present])
     counts = (df.select(*g, F.inline(pairs)).groupBy(*g, "facet", "value").agg(F.count(F.lit(1)).alias("n")))
     w = Window.partitionBy(*g, "facet").orderBy(F.desc("n"), F.asc("value"))
-    ranked = counts.withColumn("rank", F.row_number().over(w))
-    limit = F.lit(None).cast("int")
+
+    def ranked(facets, lim):
+        # A condition on the rank alone lets Spark keep the best ``lim`` of each task before the shuffle.
+        part = counts.where(F.col("facet").isin(*facets)).withColumn("rank", F.row_number().over(w))
+        return part if lim is None else part.where(F.col("rank") <= lim)
+
+    by_limit: dict = {}
     for c, lim in present:
-        if lim is not None:
-            limit = F.when(F.col("facet") == c, F.lit(lim)).otherwise(limit)
-    return ranked.where(limit.isNull() | (F.col("rank") <= limit))
+        by_limit.setdefault(lim, []).append(c)
+    if len(by_limit) > 1:
+        counts = materialise(counts, "facets")  # post-aggregation, read once per limit
+    out = [ranked(facets, lim) for lim, facets in by_limit.items()]
+    for part in out[1:]:
+        out[0] = out[0].unionByName(part)
+    return out[0]
 
 
 def facet_strings(counts: DataFrame, group_cols=()) -> DataFrame:
@@ -67,120 +77,69 @@ def exact_quantile(df: DataFrame, col: str, q: float = 0.5, settings: Settings =
     return exact_quantiles(df, [col], q, settings, materialize)[col]
 
 
+#: Parts into which each round of ``exact_quantiles`` cuts a value range.
+QUANTILE_PARTS = 2048
+_HUGE = 1.7976931348623157e308
+
+
 def exact_quantiles(df: DataFrame, cols, q: float = 0.5, settings: Settings = DEFAULT,
                     materialize: bool = True) -> dict:
     """Exact q-quantiles of several columns with linear interpolation (NumPy's
     default; the median averages the two middle values). Nulls and NaN ignored;
     a column without values gives None.
 
-    Distributed selection, all columns in the same passes: one count; then per
-    round one approximate-quantile pass brackets each wanted rank and one
-    aggregate counts the rows below and inside each bracket; finally only the
-    brackets (at most ``max_collect_rows`` values per column, never a column)
-    are gathered to pick the exact order statistics.
+    Distributed selection, all columns in the same passes: each round cuts the
+    range that holds a wanted rank into ``QUANTILE_PARTS`` equal parts, counts the
+    rows of each part with its least and greatest value, and goes on with the part
+    that holds the rank, until that part holds one value. Only those counts reach
+    the driver, a fixed number a round however many rows or ties there are.
     """
     cols = list(cols)
     base = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in cols])
     if materialize:
-        # Four or more passes follow: write the projected columns once (shared
-        # checkpoint folder) rather than recomputing the source for each pass.
-        from ..session import cut_lineage
-
-        base = cut_lineage(base)
-    counts = base.agg(*[F.count(c).alias(c) for c in cols]).first()
-    state = {}
-    for c in cols:
-        n = int(counts[c])
-        if n == 0:
-            continue
-        pos = q * (n - 1)
-        state[c] = {"n": n, "pos": pos, "ks": sorted({math.floor(pos), math.ceil(pos)}), "lo": None, "hi": None,
-                    "below": 0, "band": n, "done": False}
-    cap = settings.max_collect_rows
-
-    def in_band(c):
-        st = state[c]
-        cond = F.col(c).isNotNull()
-        if st["lo"] is not None:
-            cond = cond & (F.col(c) >= F.lit(st["lo"])) & (F.col(c) <= F.lit(st["hi"]))
-        return cond
-
-    first = True
-    for _round in range(32):
-        active = [c for c, st in state.items() if not st["done"] and (first or st["band"] > cap)]
-        first = False
-        if not active:
+        # Several passes follow: write the projected columns once.
+        base = materialise(base, "quantiles")
+    # Infinities take part as the greatest finite numbers.
+    base = base.select(*[F.when(F.col(c).isNotNull(), F.greatest(F.lit(-_HUGE), F.least(F.lit(_HUGE), F.col(c)))).alias(c) for c in cols])
+    ends = base.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(cols)
+                      for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    wanted = {}  # (column, rank) -> [lo, hi, rows below lo]
+    for i, c in enumerate(cols):
+        pos = q * (ends[f"n{i}"] - 1)
+        for k in {math.floor(pos), math.ceil(pos)} if ends[f"n{i}"] else ():
+            wanted[c, k] = [ends[f"lo{i}"], ends[f"hi{i}"], 0]
+    while True:
+        open_ = sorted({(c, lo, hi) for (c, _), (lo, hi, _b) in wanted.items() if lo < hi})
+        if not open_:
             break
-        probs, slots = [], {}
-        for c in active:
-            st = state[c]
-            eps = min(0.25, min(0.01, max(1e-4, cap / (8.0 * st["band"]))) * st.get("widen", 1))
-            st["eps"] = eps
-            k_lo, k_hi = st["ks"][0] - st["below"], st["ks"][-1] - st["below"]
-            slots[c] = (len(probs), len(probs) + 1)
-            probs += [max(0.0, k_lo / st["band"] - 2 * eps), min(1.0, (k_hi + 1) / st["band"] + 2 * eps)]
-        masked = base.select(*[F.when(in_band(c), F.col(c)).alias(c) for c in active])
-        eps = min(state[c]["eps"] for c in active)
-        qv = masked.approxQuantile(active, probs, eps)
-        aggs = []
-        for c, vals in zip(active, qv):
-            lo_v, hi_v = vals[slots[c][0]], vals[slots[c][1]]
-            state[c]["cand"] = (lo_v, hi_v)
-            aggs += [F.sum((in_band(c) & (F.col(c) < F.lit(lo_v))).cast("long")).alias(f"{c}__b"),
-                     F.sum((in_band(c) & (F.col(c) >= F.lit(lo_v)) & (F.col(c) <= F.lit(hi_v))).cast("long"))
-                     .alias(f"{c}__n")]
-        r = base.agg(*aggs).first()
-        for c in active:
-            st = state[c]
-            lo_v, hi_v = st["cand"]
-            below, band = int(r[f"{c}__b"] or 0), int(r[f"{c}__n"] or 0)
-            if not (st["below"] + below <= st["ks"][0] and st["ks"][-1] < st["below"] + below + band):
-                # Bracket missed (the approximation's error bound): widen and retry;
-                # a band already small enough is gathered as it is.
-                st["widen"] = st.get("widen", 1) * 4
-                st["done"] = st["band"] <= cap
-                continue
-            if lo_v == hi_v:
-                st["value"] = {k: float(lo_v) for k in st["ks"]}
-                st["done"] = True
-                continue
-            # A band that no longer halves is held up by repeated values: stop
-            # narrowing; its distinct values are few and are gathered with counts.
-            stalled = band > st["band"] // 2
-            st["lo"], st["hi"], st["below"], st["band"] = lo_v, hi_v, st["below"] + below, band
-            st["done"] = stalled
-    # Gather the remaining bands in one job as (value, count) pairs and pick the
-    # order statistics by running counts.
-    need = [c for c, st in state.items() if "value" not in st]
-    if need:
-        parts = [base.where(in_band(c)).select(F.lit(c).alias("_c"), F.col(c).alias("_v")) for c in need]
-        u = parts[0]
-        for p_ in parts[1:]:
-            u = u.unionByName(p_)
-        got: dict = {c: [] for c in need}
-        for row in u.groupBy("_c", "_v").count().collect():
-            got[row["_c"]].append((row["_v"], row["count"]))
-        for c in need:
-            st = state[c]
-            runs = sorted(got[c])
-            st["value"] = {}
-            for k in st["ks"]:
-                acc, want = 0, k - st["below"]
-                for v, cnt in runs:
-                    acc += cnt
-                    if want < acc:
-                        st["value"][k] = float(v)
+        # Halves keep the width finite for any two doubles.
+        part = lambda c, lo, hi: F.least(F.lit(QUANTILE_PARTS - 1), F.floor(
+            (F.col(c) / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2 or 5e-324) * QUANTILE_PARTS)).cast("int")
+        rows = F.array(*[F.when((F.col(c) >= F.lit(lo)) & (F.col(c) <= F.lit(hi)),
+                                F.struct(F.lit(s).alias("s"), part(c, lo, hi).alias("p"), F.col(c).alias("v")))
+                         for s, (c, lo, hi) in enumerate(open_)])
+        counts = (base.select(F.inline(F.array_compact(rows))).groupBy("s", "p")
+                  .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("s", "lo").collect())
+        for (c, k), state in wanted.items():
+            if (c, state[0], state[1]) in open_:
+                s, below = open_.index((c, state[0], state[1])), state[2]
+                for r in (r for r in counts if r.s == s):
+                    if k < below + r.n:
+                        wanted[c, k] = [r.lo, r.hi, below]
                         break
+                    below += r.n
     out = {c: None for c in cols}
-    for c, st in state.items():
-        lo_k, hi_k = math.floor(st["pos"]), math.ceil(st["pos"])
-        a, b = st["value"][lo_k], st["value"][hi_k]
-        if lo_k == hi_k:
+    for i, c in enumerate(cols):
+        if not ends[f"n{i}"]:
+            continue
+        pos = q * (ends[f"n{i}"] - 1)
+        a, b = (math.copysign(math.inf, v) if abs(v) == _HUGE else v for v in (wanted[c, math.floor(pos)][0], wanted[c, math.ceil(pos)][0]))
+        t = pos - math.floor(pos)
+        if a == b:
             out[c] = a
         elif q == 0.5:
             out[c] = (a + b) / 2.0
         else:
-            t = st["pos"] - lo_k
             out[c] = a + (b - a) * t if t < 0.5 else b - (b - a) * (1 - t)
     return out
 
@@ -257,18 +216,15 @@ def keep_top_values(df: DataFrame, col: str, n: int = 10, fill: str = "NA") -> D
 
 
 def crosstab(df: DataFrame, row: str = "flight_phase", col: str = "risk_level", top: int = 10,
-             fill: str = "NA", wide: bool = False) -> DataFrame:
+             fill: str = "NA") -> DataFrame:
     """Row x column counts over the ``top`` most frequent row values (null -> "NA"),
-    long form ``(row, col, n, row_total, row_rank)``; ``wide=True`` pivots."""
-    kept = keep_top_values(df, row, top, fill)
+    long form ``(row, col, n, row_total, row_rank)``. One scan: the source is grouped
+    once, and the row totals are ranked from the (small) counts."""
     r = F.coalesce(F.col(row).cast("string"), F.lit(fill)).alias(row)
     c = F.coalesce(F.col(col).cast("string"), F.lit(fill)).alias(col)
-    counts = kept.select(r, c).groupBy(row, col).agg(F.count(F.lit(1)).alias("n"))
-    if wide:
-        return counts.groupBy(row).pivot(col).agg(F.first("n")).na.fill(0)
-    totals = counts.groupBy(row).agg(F.sum("n").alias("row_total"))
-    totals = totals.withColumn("row_rank", F.row_number().over(
-        Window.partitionBy().orderBy(F.desc("row_total"), F.asc(row))))  # <= top rows
+    counts = materialise(df.select(r, c).groupBy(row, col).agg(F.count(F.lit(1)).alias("n")), "crosstab")
+    totals = counts.groupBy(row).agg(F.sum("n").alias("row_total")).orderBy(F.desc("row_total"), F.asc(row)).limit(top)
+    totals = totals.withColumn("row_rank", F.row_number().over(Window.orderBy(F.desc("row_total"), F.asc(row))))  # <= top rows
     return counts.join(totals, row)
 
 

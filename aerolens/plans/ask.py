@@ -36,11 +36,12 @@ def plan_questions(questions: DataFrame) -> DataFrame:
 
 
 def ask(incidents: DataFrame, questions: DataFrame, settings: Settings = DEFAULT, id_col: str = "id",
-        vec_col: str = "embedding", dim: int | None = None) -> dict[str, DataFrame]:
+        vec_col: str = "embedding", model=None) -> dict[str, DataFrame]:
     """Run Ask for every question routed to ``ask``.
 
     ``questions`` may carry an ``embedding``; otherwise the cleaned text is
-    embedded with U1 (width ``dim``, default the corpus vector width).
+    embedded with ``model``, which must be the one that embedded the corpus (U1):
+    other vectors would not be comparable, so text without it is refused.
     Returns ``plan``, ``ranked`` (top-k before filters), ``rows`` (filtered,
     relaxed when empty), ``stats``, ``answers`` and ``evidence``.
     """
@@ -49,9 +50,9 @@ def ask(incidents: DataFrame, questions: DataFrame, settings: Settings = DEFAULT
     if "embedding" in questions.columns:
         qv = asked.select("question_id", "embedding")
     else:
-        if dim is None:
-            dim = incidents.select(F.size(vec_col).alias("d")).where(F.col("d") > 0).first()["d"]
-        qv = similarity.embed(asked.select("question_id", "clean_question"), "clean_question", dim) \
+        if model is None:
+            raise ValueError("questions without vectors need the model that embedded the corpus (similarity.fit_embedder)")
+        qv = similarity.embed(asked.select("question_id", "clean_question"), "clean_question", model=model) \
             .select("question_id", "embedding")
     ranked = similarity.similarity_topk(incidents, qv, settings.top_k, id_col=id_col, vec_col=vec_col,
                                         settings=settings)
@@ -60,6 +61,6 @@ def ask(incidents: DataFrame, questions: DataFrame, settings: Settings = DEFAULT
                           F.col("phase_filter").alias("phase"))
     rows = filters.relax_if_empty(ranked.join(bounds, "question_id"), "question_id")
     st = stats.ask_stats(rows, "question_id")
-    answers = narrative.compose_answer(rows, asked, "question_id", "rank")
+    answers = narrative.compose_answer(rows, asked, "question_id", "rank", "miss_distance" in incidents.columns)
     ev = normalise.evidence(rows, ["rank"], 50, group_col="question_id")
     return {"plan": plan, "ranked": ranked, "rows": rows, "stats": st, "answers": answers, "evidence": ev}

@@ -73,19 +73,17 @@ NORM = f"WITH {S.INC}, {S.norm_cte()}"
 # ------------------------------------------------------------------ sources
 
 
-@register("load_incidents", f"""WITH {S.INC} SELECT report_number, datetime, flight_phase, light, atc_advisory,
-  cause_category, risk_level, miss_distance, altitude, {S.SRC_KEY} FROM incidents""")
+@register("load_incidents", """SELECT doc_id, text, lang, source, n_chars FROM documents""")
 def q_load_incidents(spark, sf_dir):
-    """The corpus written by Spark as a parquet dataset partitioned by a namespace
-    column, read back through ``load_incidents`` with the namespace pruning files."""
-    from .session import scratch_path
-
-    path = scratch_path(spark, "incidents-ns")
-    (inc(spark, sf_dir).withColumn("namespace", F.when(F.col("l_orderkey") % 2 == 0, "even").otherwise("odd"))
-     .write.partitionBy("namespace").parquet(path))
-    even = src.load_incidents(spark, path, namespace="even")
-    odd = src.load_incidents(spark, path, namespace="odd")
-    return even.unionByName(odd).drop("namespace")
+    """The documents table opened in place, one namespace (language) at a time;
+    rows without a namespace are read without one."""
+    path = f"{sf_dir}/documents.parquet"
+    whole = src.load_incidents(spark, path)
+    parts = [src.load_incidents(spark, path, namespace=n, namespace_col="lang") for n in ("en", "fr", "de", "es")]
+    out = whole.where(F.col("lang").isNull() | ~F.col("lang").isin("en", "fr", "de", "es"))
+    for p in parts:
+        out = out.unionByName(p)
+    return out.select("doc_id", "text", "lang", "source", "n_chars")
 
 
 @register("flatten_matches", f"""WITH {S.INC} SELECT report_number AS match_id, CAST(l_extendedprice AS DOUBLE) AS score,

@@ -24,9 +24,10 @@ def ranked(spark, sf_dir, k=None):
 
 
 TOPK_SQL = f"""WITH {S.VEC}, {S.LQ},
-  s AS (SELECT q.question_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score,
+  s AS (SELECT q.question_id, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS raw,
     {', '.join('v.' + c for c in VEC_COLS)} FROM incident_vectors v, label_questions q),
-  ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS BIGINT) AS rank
+  ranked AS (SELECT * EXCLUDE (raw), round(raw, 6) AS score,
+    CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(raw, 12) DESC, id) AS BIGINT) AS rank
     FROM s QUALIFY rank <= 40)"""
 
 
@@ -145,11 +146,7 @@ SELECT question_id, count,
 FROM a"""
 
 
-@register("ask_answer", ANSWER_SQL)
-def q_answer(spark, sf_dir):
-    """Summary, claims and citations for every question (no rows: the fixed text)."""
-    qs = fixtures.label_questions(spark, sf_dir).select("question_id")
-    a = narrative.compose_answer(relaxed_rows(spark, sf_dir), qs, "question_id", "rank")
+def flat_answers(a):
     cites = F.when(F.size("claims") == 0, F.lit("")).otherwise(F.concat(
         F.array_join(F.try_element_at("claims", F.lit(1))["citations"], ","), F.lit(" | "),
         F.array_join(F.try_element_at("claims", F.lit(4))["citations"], ",")))
@@ -158,6 +155,13 @@ def q_answer(spark, sf_dir):
                     cites.alias("citations"))
 
 
+@register("ask_answer", ANSWER_SQL)
+def q_answer(spark, sf_dir):
+    """Summary, claims and citations for every question (no rows: the fixed text)."""
+    qs = fixtures.label_questions(spark, sf_dir).select("question_id")
+    return flat_answers(narrative.compose_answer(relaxed_rows(spark, sf_dir), qs, "question_id", "rank"))
+
+
 # ------------------------------------------------------------------ sweep
 
 PROBES_SQL = """probes AS (SELECT label AS probe, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label)"""
@@ -171,9 +175,9 @@ def label_probes(spark, sf_dir):
 
 @register("sweep_sample", f"""WITH {S.VEC}, {PROBES_SQL},
   c AS (SELECT p.probe, v.id, v.report_number,
-    round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 6) AS score
+    list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) AS raw
     FROM incident_vectors v, probes p),
-  r AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY score DESC, id) AS rank FROM c QUALIFY rank <= 200),
+  r AS (SELECT * EXCLUDE (raw), round(raw, 6) AS score, row_number() OVER (PARTITION BY probe ORDER BY round(raw, 12) DESC, id) AS rank FROM c QUALIFY rank <= 200),
   f AS (SELECT *, row_number() OVER (PARTITION BY coalesce(report_number, id) ORDER BY probe, rank) AS rn FROM r QUALIFY rn = 1)
 SELECT CAST(probe AS BIGINT) AS probe, CAST(rank AS BIGINT) AS rank, score, id, report_number FROM f ORDER BY probe, rank LIMIT 3000""")
 def q_sweep(spark, sf_dir):
@@ -266,32 +270,49 @@ def q_clean(spark, sf_dir):
         "question_id", fq.clean_question("question").alias("clean_question"))
 
 
+def text_model(spark, sf_dir):
+    """The documents as a corpus of narratives with vectors, and the model that embedded them."""
+    corpus = fixtures.incident_texts(spark, sf_dir)
+    model = similarity.fit_embedder(corpus, "full_narrative", 64)
+    return similarity.embed(corpus, "full_narrative", model=model), model
+
+
 @register("embed_texts")
 def q_embed(spark, sf_dir):
-    """The cleaned questions embedded (hashed TF-IDF, width 64): id, width, norm (rows only)."""
+    """The cleaned questions embedded by the corpus's model (width 64): id, width, norm (rows only)."""
     q = fixtures.conversation_questions(spark, sf_dir).withColumn("clean", fq.clean_question("question"))
-    e = similarity.embed(q, "clean", 64)
+    e = similarity.embed(q, "clean", model=text_model(spark, sf_dir)[1])
     return e.select("question_id", F.size("embedding").alias("dim"),
                     F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
 
 
-@register("ask")
+@register("ask", ANSWER_SQL)
 def q_ask(spark, sf_dir):
-    """Ask for every user turn of ``conversations`` routed to ask, over the
-    vector incidents, questions embedded by U1 (rows only)."""
+    """Ask as a whole for the label questions and their vectors over the vector incidents."""
     from .plans.ask import ask
 
     inc = fixtures.incident_vectors(spark, sf_dir)
-    out = ask(inc, fixtures.conversation_questions(spark, sf_dir))
+    return flat_answers(ask(inc, fixtures.label_questions(spark, sf_dir))["answers"])
+
+
+@register("ask_texts")
+def q_ask_texts(spark, sf_dir):
+    """P1 from text: every user turn of ``conversations`` routed to ask, over the documents, one
+    model embedding both (rows only)."""
+    from .plans.ask import ask
+
+    corpus, model = text_model(spark, sf_dir)
+    corpus = corpus.withColumnRenamed("doc_id", "id")
+    out = ask(corpus, fixtures.conversation_questions(spark, sf_dir), model=model)
     return out["answers"].select("question_id", "count", "summary", F.size("claims").alias("n_claims"))
 
 
 @register("probe_cross_join", f"""WITH {S.VEC}, {PROBES_SQL},
   c AS (SELECT p.probe, v.id, v.report_number,
-    round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 6) AS score
+    list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) AS raw
     FROM incident_vectors v, probes p)
-SELECT CAST(probe AS VARCHAR) AS question_id, id, report_number, score,
-  CAST(row_number() OVER (PARTITION BY probe ORDER BY score DESC, id) AS BIGINT) AS rank FROM c QUALIFY rank <= 200""")
+SELECT CAST(probe AS VARCHAR) AS question_id, id, report_number, round(raw, 6) AS score,
+  CAST(row_number() OVER (PARTITION BY probe ORDER BY round(raw, 12) DESC, id) AS BIGINT) AS rank FROM c QUALIFY rank <= 200""")
 def q_probe_join(spark, sf_dir):
     """Every probe scored against every vector, kept to each probe's 200 best.
     Done as broadcast probes x Arrow batches with per-partition pruning; the

@@ -22,7 +22,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", os.environ.get("AEROLENS_DRIVER_MEMORY", "8g"))
     )
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
@@ -34,36 +34,45 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is only read here.
-    Where it is unset (local tests) a private folder is created and registered.
+    The setting is read from the session. Only a local session without it (tests)
+    gets a private folder; on a cluster a folder of one machine would be lost to
+    the others, so its absence is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext._jsc.sc().getCheckpointDir()
         d = d.get() if d.isDefined() else None
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="aerolens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+#: Scratch folders written by this process, for ``clear_scratch``.
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    _SCRATCH.append(path)
+    return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder: survives executor loss."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the scratch tables written so far. Results that still read them must have
+    been written or collected before."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small input (fewer partitions than the cluster's parallelism) one
-    partition per core, so CPU-heavy steps (tokenising, k-means) use the whole
-    cluster. Large inputs already have more partitions and are left as read:
-    no extra shuffle at scale."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written once as Parquet to the shared folder and read back: lineage is cut, a lost
+    executor loses nothing, later reads prune columns, and nothing stays cached."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -34,9 +34,10 @@ class Settings:
     iforest_sample: int = 256
 
     # Ours: scale guards.
-    score_digits: int = 6  # scores are ranked at 1e-6 resolution, ties by id
-    max_broadcast_questions: int = 4096  # question vectors per broadcast pass
-    max_collect_rows: int = 200_000  # bound for any exact-selection band pulled to the driver
+    rank_digits: int = 12  # matches are ranked at 1e-12 resolution (noise of summation order), ties by id
+    score_digits: int = 6  # scores are shown with this many digits
+    question_block: int = 1024  # question vectors that meet a block of the corpus at once
+    input_partitions: int = 0  # above 0: text and feature inputs are dealt to so many partitions first
     analysis_date: str | None = None  # None = current_date() in UTC
     source_name: str = "incidents"
     summary_model: str = "none"

@@ -42,36 +42,51 @@ def load_incidents(spark: SparkSession, path: str, fmt: str = "parquet", namespa
     return df
 
 
+def _map_keys(df: DataFrame, column: str) -> list[str]:
+    return sorted(r[0] for r in df.select(F.explode(F.map_keys(column))).distinct().collect())
+
+
 def flatten_matches(df: DataFrame, metadata: str = "metadata", keys: list[str] | None = None,
                     json_schema: StructType | None = None) -> DataFrame:
     """One row per match: ``match_id``, ``score`` and every metadata key.
 
-    ``metadata`` may be a struct, a map or JSON text. For a map the key set is
-    the union over all rows (a distinct over the keys, bounded by the schema's
-    width) unless ``keys`` is given. An absent key is null.
+    ``metadata`` may be a struct, a map or JSON text. Unless ``keys`` (or, for JSON, ``json_schema``)
+    is given, the columns are the canonical fields (for JSON) and the union of the keys of all
+    rows: one distinct over the keys, whose number is the table's width. An absent key is null;
+    JSON values that are not text are given as their JSON text.
     """
     head = [F.col("id").cast("string").alias("match_id"), F.col("score").cast("double").alias("score")]
     dtype = df.schema[metadata].dataType
     if isinstance(dtype, StringType):
-        schema = json_schema or StructType([StructField(c, StringType(), True) for c in TEXT_FIELDS if c != "id"])
-        parsed = F.from_json(F.col(metadata), schema)
-        return df.select(*head, *[parsed[f.name].alias(f.name) for f in schema.fields])
+        if json_schema is not None:
+            parsed = F.from_json(F.col(metadata), json_schema)
+            return df.select(*head, *[parsed[f.name].alias(f.name) for f in json_schema.fields])
+        known = [c for c in TEXT_FIELDS if c != "id"]
+        df = df.withColumn(metadata, F.from_json(F.col(metadata), MapType(StringType(), StringType())))
+        keys = keys if keys is not None else [*known, *[k for k in _map_keys(df, metadata) if k not in (*known, "id", "match_id", "score")]]
+        return df.select(*head, *[F.col(metadata).getItem(k).alias(k) for k in keys])
     if isinstance(dtype, MapType):
         if keys is None:
-            keys = sorted(r[0] for r in df.select(F.explode(F.map_keys(metadata))).distinct().collect())
+            keys = _map_keys(df, metadata)
         return df.select(*head, *[F.col(metadata).getItem(k).alias(k) for k in keys])
     return df.select(*head, f"{metadata}.*")
 
 
-def read_incident_csv(spark: SparkSession, path: str, **options) -> DataFrame:
-    """S3: a CSV dump with a header; every column read as text, then conformed."""
+def read_incident_csv(spark: SparkSession, path: str, multi_line: bool = False, **options) -> DataFrame:
+    """S3: a CSV dump with a header; every column read as text, then conformed. Files are split
+    among tasks; ``multi_line=True`` is for cells with line breaks, and reads a file in one task."""
     reader = spark.read.option("header", "true").option("mode", "PERMISSIVE").option("inferSchema", "false")
-    reader = reader.option("multiLine", "true").option("escape", '"')
+    reader = reader.option("multiLine", str(multi_line).lower()).option("escape", '"')
     return conform(reader.options(**options).csv(path))
 
 
 def load_questions(df: DataFrame) -> DataFrame:
-    """A table of questions with optional date bounds and phase."""
+    """A table of questions with optional date bounds and phase. Question ids must be
+    unique (null counts as one id): results are keyed by them."""
     df = conform(df, QUESTION_SCHEMA)
+    if not df.isStreaming:
+        twice = df.groupBy("question_id").count().where("count > 1").limit(3).collect()
+        if twice:
+            raise ValueError(f"question ids repeat: {', '.join(str(r[0]) for r in twice)}")
     return df.select(*[F.col(f.name).cast("string").alias(f.name) for f in QUESTION_SCHEMA.fields],
                      *[c for c in df.columns if c not in QUESTION_SCHEMA.fieldNames()])

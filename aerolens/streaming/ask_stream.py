@@ -23,9 +23,12 @@ from ..sources.incidents import QUESTION_SCHEMA
 
 def start_ask_stream(spark: SparkSession, incidents: DataFrame, question_dir: str, sink: str,
                      checkpoint: str, settings: Settings = DEFAULT, fmt: str = "json",
-                     with_vectors: bool = False, available_now: bool = True) -> StreamingQuery:
+                     with_vectors: bool = False, available_now: bool = True, model=None) -> StreamingQuery:
     """Start the stream. ``question_dir`` holds question files (``fmt``) with the
-    columns of ``QUESTION_SCHEMA`` (plus ``embedding`` when ``with_vectors``)."""
+    columns of ``QUESTION_SCHEMA`` (plus ``embedding`` when ``with_vectors``; without,
+    ``model`` is the one that embedded the corpus)."""
+    if not with_vectors and model is None:
+        raise ValueError("questions without vectors need the model that embedded the corpus")
     schema = QUESTION_SCHEMA
     if with_vectors:
         schema = schema.add(StructField("embedding", ArrayType(FloatType()), True))
@@ -34,7 +37,7 @@ def start_ask_stream(spark: SparkSession, incidents: DataFrame, question_dir: st
     def answer_batch(batch: DataFrame, epoch_id: int) -> None:
         if batch.isEmpty():
             return
-        out = ask(incidents, batch, settings)
+        out = ask(incidents, batch, settings, model=model)
         (out["answers"].withColumn("epoch", F.lit(epoch_id))
          .write.mode("overwrite").parquet(os.path.join(sink, f"epoch={epoch_id}")))
 

@@ -46,8 +46,7 @@ def test_exact_quantile_matches_numpy(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     clean = np.array([v for v in vals if v is not None and v == v])
     for q in (0.5, 0.98, 0.02, 0.0, 1.0):
-        small = DEFAULT.with_(max_collect_rows=64)  # forces several narrowing rounds
-        assert stats.exact_quantile(df, "x", q, small) == pytest.approx(float(np.percentile(clean, q * 100)), abs=0)
+        assert stats.exact_quantile(df, "x", q) == pytest.approx(float(np.percentile(clean, q * 100)), abs=0)
 
 
 def test_cube_equals_fpgrowth(spark, inc01):
@@ -188,7 +187,7 @@ def test_random_probes_are_seeded_units(spark):
 def test_embed_invariants(spark):
     df = spark.createDataFrame([("1", "engine fire on climb"), ("2", "engine fire on climb"), ("3", "bird strike")],
                                "id string, t string")
-    out = similarity.embed(df, "t", 32).collect()
+    out = similarity.embed(df, "t", model=similarity.fit_embedder(df, "t", 32)).collect()
     assert all(len(r.embedding) == 32 for r in out)
     assert out[0].embedding == out[1].embedding
     assert all(abs(np.linalg.norm(r.embedding) - 1) < 1e-5 for r in out)
@@ -278,3 +277,115 @@ def test_topk_many_batches_and_ties(spark):
         sc = sorted((-round(float(v @ qv / np.linalg.norm(v) / np.linalg.norm(qv)), 6), i) for i, v in vecs)
         have = [r.id for r in sorted((r for r in got if r.question_id == qr.question_id), key=lambda r: r.rank)]
         assert have == [i for _, i in sc[:9]]
+
+
+def test_exact_quantile_of_ties_and_wide_ranges(spark, monkeypatch):
+    """Half of all rows tied, huge and tiny numbers, infinities; few parts force many rounds."""
+    monkeypatch.setattr(stats, "QUANTILE_PARTS", 8)
+    rng = np.random.default_rng(3)
+    vals = np.concatenate([np.full(3000, 7.25), rng.normal(0, 1, 2000), rng.normal(0, 1e300, 50), [1e-320, -1e-320, np.inf, -np.inf]])
+    df = spark.createDataFrame([(float(v), float(-v)) for v in vals], "x double, y double")
+    for q in (0.5, 0.25, 0.9, 0.001):
+        got = stats.exact_quantiles(df, ["x", "y"], q)
+        assert got["x"] == float(np.percentile(vals, q * 100)) and got["y"] == float(np.percentile(-vals, q * 100))
+
+
+def test_fpgrowth_keeps_sets_at_the_threshold(spark):
+    rows = [("a" if i < 7 else f"z{i}", "x" if i < 60 else "y") for i in range(100)]
+    df = spark.createDataFrame(rows, "p string, l string")
+    key = lambda m: sorted((tuple(r.itemset), r["count"]) for r in rules.frequent_itemsets(df, ["p", "l"], 0.07, method=m).collect())
+    assert key("cube") == key("fpgrowth") and (("l_x", "p_a"), 7) in key("cube")
+
+
+def test_no_stale_answers_and_nothing_left_cached(spark, tmp_path):
+    path = str(tmp_path / "inc")
+    one = spark.createDataFrame([("Taxi", "Day", "5.0")] * 100, "flight_phase string, light string, risk_level string")
+    one.write.parquet(path)
+    attrs = ["flight_phase", "light"]
+    read = lambda: spark.read.parquet(path)
+    count = lambda: {r["count"] for r in rules.frequent_itemsets(read(), attrs).collect()}
+    mined = lambda: {r["rows"] for r in rules.mine_risk_rules(read(), attrs=attrs).collect()}
+    assert count() == {100} and mined() == {100}
+    one.write.mode("append").parquet(path)
+    assert read().count() == 200 and count() == {200} and mined() == {200}
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty() or len(spark.sparkContext._jsc.getPersistentRDDs()) <= 1  # inc01
+
+
+def test_vectors_that_are_null_or_short_are_left_out(spark):
+    inc = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", [1.0]), ("d", [0.0, None]), ("e", [0.6, 0.8]), ("f", [0.0, 0.0])],
+                                "id string, embedding array<float>")
+    q = spark.createDataFrame([("q", [1.0, 0.0])], "question_id string, embedding array<float>")
+    assert [r.id for r in similarity.similarity_topk(inc, q, 5).orderBy("rank").collect()] == ["a", "e"]
+    cents = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "cluster int, centroid array<double>")
+    got = {r.id: r.cluster for r in themes.assign_nearest(inc, cents, block=1).collect()}
+    assert got == {"a": 0, "e": 1, "f": 0}
+
+
+def test_matches_are_ranked_on_unrounded_scores(spark):
+    inc = spark.createDataFrame([("a", [1.0, 2e-4]), ("b", [1.0, 1e-4])], "id string, embedding array<double>")
+    q = spark.createDataFrame([("q", [1.0, 0.0])], "question_id string, embedding array<double>")
+    top = similarity.similarity_topk(inc, q, 1).first()
+    assert top.id == "b" and top.score == 1.0
+
+
+def test_questions_in_several_blocks(spark):
+    inc = spark.createDataFrame([(str(i), [float(i % 7 + 1), float(i % 5)]) for i in range(50)], "id string, embedding array<double>")
+    q = spark.createDataFrame([(str(i), [1.0, i / 3.0]) for i in range(9)], "question_id string, embedding array<double>")
+    key = lambda df: sorted((r.question_id, r["rank"], r.id) for r in df.collect())
+    assert key(similarity.similarity_topk(inc, q, 4)) == key(similarity.similarity_topk(inc, q, 4, settings=DEFAULT.with_(question_block=2)))
+
+
+def test_all_metadata_keys_become_columns(spark):
+    from aerolens.sources.incidents import flatten_matches
+
+    js = spark.createDataFrame([("1", 0.5, '{"report_number": "R1", "extra": 7}'), ("2", 0.4, '{"other": "x"}'), ("3", 0.1, None)],
+                               "id string, score double, metadata string")
+    out = flatten_matches(js)
+    assert {"extra", "other", "report_number"} <= set(out.columns)
+    assert [(r.extra, r.other, r.report_number) for r in out.orderBy("match_id").collect()] == [("7", None, "R1"), (None, "x", None), (None, None, None)]
+    as_map = js.selectExpr("id", "score", "from_json(metadata, 'map<string,string>') AS metadata")
+    assert {"extra", "other"} <= set(flatten_matches(as_map).columns)
+    as_struct = js.selectExpr("id", "score", "from_json(metadata, 'extra string, other string') AS metadata")
+    assert flatten_matches(as_struct).columns == ["match_id", "score", "extra", "other"]
+
+
+def test_repeated_question_ids_are_refused(spark):
+    from aerolens.sources.incidents import load_questions
+
+    with pytest.raises(ValueError, match="repeat"):
+        load_questions(spark.createDataFrame([("1", "a"), ("1", "b")], "question_id string, question string"))
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from unittest.mock import MagicMock
+
+    from aerolens.session import checkpoint_dir
+
+    s = MagicMock()
+    s.conf.get.return_value = None
+    s.sparkContext._jsc.sc().getCheckpointDir().isDefined.return_value = False
+    s.sparkContext.master = "spark://host:7077"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(s)
+
+
+def test_outliers_run_where_the_package_is_unknown(tmp_path):
+    """Workers get the package's functions by value: another folder, no PYTHONPATH."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys; sys.path.insert(0, {root!r})
+from aerolens.session import build_session
+from aerolens.operators.anomalies import flag_anomalies
+spark = build_session('local[2]', 2)
+sys.path.remove({root!r})
+df = spark.createDataFrame([(str(i), str(i % 9 + 100.0), '5', 1) for i in range(60)] + [('far', '9e6', '7e5', 1)],
+                           'id string, miss_distance string, altitude string, hour_of_day int')
+print('FLAGGED', [r.id for r in flag_anomalies(df, ['id']).where('anomaly').collect()])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "'far'" in out.stdout, out.stderr[-800:]

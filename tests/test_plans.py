@@ -25,9 +25,12 @@ def test_namespace_prunes_partitions(spark):
     assert df.where(F.col("l_orderkey") % 2 == 1).count() == 0
 
 
-def test_rule_cube_reads_only_needed_columns(spark):
-    r = rules.mine_risk_rules(normalise.normalise_incidents(fixtures.incidents(spark, SF001)))
-    plan = _plan(r)
+def test_rule_cube_reads_only_needed_columns(spark, monkeypatch):
+    plans = []  # the cells are written before the rules are read from them
+    written = rules.materialise
+    monkeypatch.setattr(rules, "materialise", lambda df, name: plans.append(_plan(df)) or written(df, name))
+    rules.mine_risk_rules(normalise.normalise_incidents(fixtures.incidents(spark, SF001)))
+    plan = plans[0]
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_quantity:double,l_returnflag:string>" in plan
     assert "l_extendedprice" not in plan.split("ReadSchema: struct<l_orderkey")[1].split(">")[0]
     assert "Expand" in plan and "partial_count" in plan
@@ -38,3 +41,17 @@ def test_first_n_per_group_limits_before_shuffle(spark):
     plan = _plan(stats.examples(df, "cluster", list(fixtures.SRC_KEY)))
     before_exchange = plan.split("Exchange hashpartitioning(cluster")[1]
     assert "WindowGroupLimit" in before_exchange
+
+
+def test_answers_do_not_score_the_corpus_again(spark):
+    from aerolens.queries_search import q_answer
+
+    assert "Arrow" not in _plan(q_answer(spark, SF001)) and "Pandas" not in _plan(q_answer(spark, SF001))
+
+
+def test_crosstab_scans_once(spark, monkeypatch):
+    plans = []
+    written = stats.materialise
+    monkeypatch.setattr(stats, "materialise", lambda df, name: plans.append(_plan(df)) or written(df, name))
+    out = _plan(stats.crosstab(normalise.normalise_incidents(fixtures.incidents(spark, SF001))))
+    assert sum(p.count("lineitem.parquet") for p in plans) == 1 and "lineitem.parquet" not in out
