@@ -59,7 +59,7 @@ def script(letter: str) -> int:
 def grams(word: str) -> list[int]:
     """Buckets of a word's letter trigrams (its ends marked) and of the whole word."""
     w = f"^{word}$"
-    return [zlib.crc32(w[i:i + 3].encode()) % BUCKETS for i in range(len(w) - 2)] + [zlib.crc32(f"={word}".encode()) % BUCKETS]
+    return [zlib.crc32(w[i:i + 3].encode()) & BUCKETS - 1 for i in range(len(w) - 2)] + [zlib.crc32(f"={word}".encode()) & BUCKETS - 1]
 
 
 def word_pattern():
@@ -120,18 +120,23 @@ class Scorer(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.model, self.rows, self.fresh = model, np.empty((0, len(model.languages)), np.float32), []
+        self.by_gram = np.ascontiguousarray(model.table.T)
 
     def __missing__(self, word: str) -> int:
         self[word] = i = len(self)
         self.fresh.append(word)
         return i
 
-    def score(self, word: str) -> np.ndarray:
-        log = self.model.table[:, grams(word)].sum(1, dtype=np.float64)
-        may = self.model.allowed[script(word[0])]
-        log = np.where(may, log, -np.inf)
-        log -= log.max()
-        log -= np.log(np.exp(log).sum())
+    def score(self, words: list[str]) -> np.ndarray:
+        """Scores of words (rows) by language: clipped log-probabilities, of the languages that share the word's script."""
+        each = [grams(w) for w in words]
+        size = np.fromiter(map(len, each), np.int64, len(each))
+        flat = np.fromiter((g for gs in each for g in gs), np.int64, int(size.sum()))
+        log = np.add.reduceat(self.by_gram[flat], np.cumsum(size) - size).astype(np.float64)
+        may = self.model.allowed[[script(w[0]) for w in words]]
+        log[~may] = -np.inf
+        log -= log.max(1, keepdims=True)
+        log -= np.log(np.exp(log).sum(1, keepdims=True))
         return np.where(may, np.maximum(log, FLOOR), EXCLUDED)
 
     def look_up(self, words: list[str]) -> np.ndarray:
@@ -140,7 +145,7 @@ class Scorer(dict):
             self.rows = self.rows[:0]
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.fresh:
-            self.rows = np.concatenate([self.rows, np.array([self.score(w) for w in self.fresh], np.float32)])
+            self.rows = np.concatenate([self.rows, self.score(self.fresh).astype(np.float32)])
             self.fresh = []
         return self.rows[at]
 

@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ def py_language(model, text):
     if not words:
         return langid.UNKNOWN, 0.0
     s = langid.Scorer(model)
-    path = py_viterbi([s.score(w).tolist() for w in words], langid.SWITCH_PENALTY)
+    path = py_viterbi(s.score(words).astype(np.float32).astype(float).tolist(), langid.SWITCH_PENALTY)
     share = Counter()
     for w, k in zip(words, path):
         share[k] += len(w)
