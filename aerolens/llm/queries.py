@@ -29,11 +29,6 @@ def register(key: str, sql: str | None = None):
 WORDS_SQL = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 
 
-def _sketch_sql(w: str) -> str:
-    return (f"list_sort(list_distinct(list_transform(CASE WHEN len({w}) = 0 THEN [] ELSE range(1, greatest(len({w}) - 4, 1) + 1) END, "
-            f"lambda i: substr(md5(array_to_string({w}[i:i+4], ' ')), 1, 16))))[1:{fp.K}]")
-
-
 def _near_sql(a: str, b: str) -> str:
     return (f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0::DOUBLE ELSE "
             f"len(list_intersect(list_sort(list_distinct(list_concat({a}, {b})))[1:{fp.K}], list_intersect({a}, {b})))::DOUBLE "
@@ -41,19 +36,24 @@ def _near_sql(a: str, b: str) -> str:
 
 
 @register("op1_fingerprints", f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
-    coalesce(lead(text) OVER (ORDER BY doc_id, text NULLS FIRST), '') AS nt,
-    row_number() OVER (ORDER BY doc_id DESC, text DESC NULLS LAST) = 1 AS is_last,
-    first_value(coalesce(text, '')) OVER (ORDER BY doc_id, text NULLS FIRST) AS ft FROM documents),
-e AS (SELECT doc_id, n, t, CASE WHEN is_last THEN ft ELSE nt END AS x FROM d),
-f AS (SELECT doc_id, n, t, x, substr(t, 1, n - n // 2) || substr(x, 1, n // 2) AS ed FROM e),
-w AS (SELECT doc_id, n, ed, {WORDS_SQL.format('t')} AS wt, {WORDS_SQL.format('ed')} AS we, {WORDS_SQL.format('x')} AS wx FROM f),
-s AS (SELECT doc_id, n, ed, {_sketch_sql('wt')} AS a, {_sketch_sql('we')} AS b, {_sketch_sql('wx')} AS c FROM w)
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, row_number() OVER o AS r,
+    coalesce(lead(text) OVER o, '') AS nt, row_number() OVER o = count(*) OVER () AS is_last,
+    first_value(coalesce(text, '')) OVER o AS ft FROM documents WINDOW o AS (ORDER BY doc_id NULLS FIRST, text NULLS FIRST)),
+e AS (SELECT doc_id, r, n, t, substr(t, 1, n - n // 2) || substr(CASE WHEN is_last THEN ft ELSE nt END, 1, n // 2) AS ed FROM d),
+w AS (SELECT r, 'a' AS side, {WORDS_SQL.format('t')} AS w FROM e UNION ALL SELECT r, 'b', {WORDS_SQL.format('ed')} FROM e),
+u AS (SELECT r, side, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+g AS (SELECT r, side, n, i, concat_ws(' ', x, {', '.join(f'lead(x, {j}) OVER z' for j in range(1, fp.SHINGLE))}) AS g
+    FROM u WINDOW z AS (PARTITION BY r, side ORDER BY i)),
+h AS (SELECT DISTINCT r, side, substr(md5(g), 1, 16) AS h FROM g WHERE i <= greatest(n - {fp.SHINGLE - 1}, 1)),
+l AS (SELECT r, side, list(h ORDER BY h)[1:{fp.K}] AS l FROM h GROUP BY r, side),
+s AS (SELECT doc_id, n, ed, e.r, coalesce(x.l, []) AS a, coalesce(y.l, []) AS b FROM e
+    LEFT JOIN l x ON x.r = e.r AND x.side = 'a' LEFT JOIN l y ON y.r = e.r AND y.side = 'b'),
+c AS (SELECT *, coalesce(lead(a) OVER (ORDER BY r), first_value(a) OVER (ORDER BY r)) AS c FROM s)
 SELECT doc_id, n::BIGINT AS n_chars, sha256(ed) AS edited_sha256, array_to_string(a, ',') AS fingerprint,
   array_to_string(b, ',') AS edited_fingerprint, {_near_sql('a', 'b')} AS near_edited, {_near_sql('a', 'c')} AS near_next,
   CASE WHEN len(a) < {fp.K} THEN len(a)::DOUBLE
     ELSE {float(fp.K - 1)} / (('0x' || substr(a[{fp.K}], 1, 13))::BIGINT::DOUBLE / {float(1 << 52)}) END AS n_shingles_est
-FROM s""")
+FROM c""")
 def op1_fingerprints(spark, sf_dir):
     d = fp.fingerprint_edits(documents(spark, sf_dir))
     return d.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
