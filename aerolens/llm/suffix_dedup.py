@@ -12,7 +12,9 @@ Overlapping occurrences count, and all strings are judged on the input.
    same context, all but the first are repeated throughout; that is settled
    in the block where they meet, or by (anchor, context) hash.
 3. The distinct contexts of an anchor may still share windows. They are dealt by
-   anchor to shards of about ``SHARD_BYTES``, and each shard's suffix array is
+   anchor to shards of about ``SHARD_BYTES``. Windows whose place around the
+   anchor differs by less than ``CLASS`` have most bytes in common; those whose
+   common bytes no other context has are left out. The shard's suffix array is
    built by induced sorting (SA-IS): suffixes are classified, leftmost-smaller
    substrings are sorted recursively, and the order of all suffixes is induced
    linearly. Permuted common prefixes (computed where they are irreducible)
@@ -39,8 +41,9 @@ from .common import bound_batches
 LENGTH, GRAM = 100, 48
 SHARD_BYTES = 1 << 20
 HOT = 1000
+CLASS = 14
 #: Bytes that are scanned for anchors at once; a longer text is scanned in pieces.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Ids sent to all tasks to pick their texts (8 bytes each); above, they are joined by shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 _U = np.uint64
@@ -422,25 +425,53 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, doc, first, run, hot, context) for ``wanted`` (h, doc, first, run, hot)."""
+    """(h, doc, first, run, place, hot, context) for ``wanted``, which has all but the context."""
     import pyarrow as pa
 
-    by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("first", "run", "h", "hot")).alias("runs"))
+    by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("first", "run", "place", "h", "hot")).alias("runs"))
     ids = wanted.select("doc").distinct()
     side = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
     texts = docs.join(side, "doc", "left_semi").select("doc", "text")
 
     def work(batches):
         for batch in batches:
-            cols = [[], [], [], [], [], []]
+            cols = [[] for _ in range(7)]
             for doc, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 for r in runs:
-                    row = (r["h"], doc, r["first"], r["run"], r["hot"], text[r["first"]:r["first"] + r["run"] + LENGTH])
+                    row = (r["h"], doc, r["first"], r["run"], r["place"], r["hot"], text[r["first"]:r["first"] + r["run"] + LENGTH])
                     for x, v in zip(cols, row):
                         x.append(v)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types)], names=["h", "doc", "first", "run", "hot", "context"])
-    return texts.join(by_doc, "doc").select("doc", "text", "runs").mapInArrow(work, "h bigint, doc bigint, first bigint, run bigint, hot boolean, context binary")
+            types = [*[pa.int64()] * 5, pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types)],
+                                             names=["h", "doc", "first", "run", "place", "hot", "context"])
+    return texts.join(by_doc, "doc").select("doc", "text", "runs").mapInArrow(
+        work, "h bigint, doc bigint, first bigint, run bigint, place bigint, hot boolean, context binary")
+
+
+def shared_parts(contexts: list[bytes], anchors: np.ndarray, places: np.ndarray, runs: np.ndarray) -> list[tuple[int, int, int]]:
+    """(context, first window, last window) of the parts whose windows may occur in another context.
+
+    All windows that start ``CLASS`` * c to ``CLASS`` * c + ``CLASS`` - 1 bytes before their anchor hold
+    the same ``LENGTH`` - ``CLASS`` + 1 bytes around it. If no other context of the anchor has those,
+    none of these windows occurs in another one."""
+    import xxhash
+
+    digest = xxhash.xxh3_64_intdigest
+    which, number, lo, hi, key = [], [], [], [], []
+    for i, (raw, place, run) in enumerate(zip(contexts, places.tolist(), runs.tolist())):
+        for c in range((place - run) // CLASS, place // CLASS + 1):
+            at = place - c * CLASS
+            which.append(i), number.append(c), lo.append(max(0, at - CLASS + 1)), hi.append(min(run, at))
+            key.append(digest(raw[at:at + LENGTH - CLASS + 1], c & 0xFF))
+    key = np.array(key, _U) ^ _mix(anchors.view(_U))[which]
+    _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+    parts: list[tuple[int, int, int]] = []
+    for k in np.flatnonzero(count[inverse] > 1)[::-1].tolist():  # a context's classes, from its first window on
+        if parts and parts[-1][0] == which[k] and parts[-1][2] + 1 == lo[k]:
+            parts[-1] = (which[k], parts[-1][1], hi[k])
+        else:
+            parts.append((which[k], lo[k], hi[k]))
+    return parts
 
 
 def _shard_spans(contexts: DataFrame) -> DataFrame:
@@ -451,8 +482,13 @@ def _shard_spans(contexts: DataFrame) -> DataFrame:
     shards = max(1, -(-total // SHARD_BYTES))
 
     def work(table: pa.Table) -> pa.Table:
-        doc, first = table.column("doc").to_numpy(), table.column("first").to_numpy()
+        h, doc, first, run, place = (table.column(c).to_numpy() for c in ("h", "doc", "first", "run", "place"))
         raw = table.column("context").to_pylist()
+        parts = shared_parts(raw, h, place, run)
+        if not parts:
+            return pa.table({c: np.zeros(0, np.int64) for c in ("doc", "start", "end")})
+        raw = [raw[i][a:b + LENGTH] for i, a, b in parts]
+        doc, first = doc[[i for i, _, _ in parts]], first[[i for i, _, _ in parts]] + np.array([a for _, a, _ in parts])
         group = equal_windows(raw, LENGTH)
         size = np.array([len(c) + 1 for c in raw])
         which = np.repeat(np.arange(len(raw)), size)
@@ -510,13 +546,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = _written(found, "suffix-runs")
     settled = found.where("meta < 0").select("doc", (-1 - F.col("meta")).alias("start"), F.col("c").alias("end"))
     runs = found.where("meta >= 0").select("h", "c", "doc", F.shiftright("meta", 14).alias("first"),
-                                           F.shiftright("meta", 7).bitwiseAND(F.lit(127)).alias("run"))
-    leads = _written(runs.groupBy("h", "c").agg(F.min(F.struct("doc", "first", "run")).alias("lead"), F.count("*").alias("n")), "suffix-leads")
+                                           F.shiftright("meta", 7).bitwiseAND(F.lit(127)).alias("run"),
+                                           F.col("meta").bitwiseAND(F.lit(127)).alias("place"))
+    leads = _written(runs.groupBy("h", "c").agg(F.min(F.struct("doc", "first", "run", "place")).alias("lead"), F.count("*").alias("n")), "suffix-leads")
     copies = (runs.join(leads.where("n > 1").select("h", "c", "lead"), ["h", "c"])
               .where(F.struct("doc", "first") > F.struct("lead.doc", "lead.first"))
               .select("doc", F.col("first").alias("start"), (F.col("first") + F.col("run") + LENGTH).alias("end")))
     per = leads.groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    wanted = leads.join(per, "h").select("h", "lead.doc", "lead.first", "lead.run", (F.col("contexts") > HOT).alias("hot"))
+    wanted = leads.join(per, "h").select("h", "lead.doc", "lead.first", "lead.run", "lead.place", (F.col("contexts") > HOT).alias("hot"))
     contexts = _written(_contexts(scan, _written(wanted, "suffix-wanted")), "suffix-contexts")
     spans = settled.unionByName(copies).unionByName(_shard_spans(contexts.where("NOT hot"))).unionByName(_hot_spans(contexts.where("hot")))
     spans = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
