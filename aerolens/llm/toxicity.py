@@ -46,7 +46,7 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine d
 LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 
 WORDS = re.compile(r"[^\W_]+(?:[@$*!'][^\W_]+)*")
-MIXED = re.compile(r"[^\W\d_]+[\d@$*!]+[^\W\d_]")
+MIXED = re.compile(r"(?<=[^\W\d_])[\d@$*!]+(?=[^\W\d_])")
 DRAWN = re.compile(r"([^\W\d_])\1\1")
 FEATURES = ("strong", "any", "mean", "top", "top3", "near", "second", "capitals", "shouted", "exclaims", "marks", "mixed", "drawn", "length")
 
@@ -206,7 +206,11 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     share = float(labels.mean()) if len(labels) else 0.5
     if share in (0.0, 1.0) or len(labels) < 2 * FOLDS:
         return Model({}, None, np.zeros(1), np.array([share]))
-    bags = [frozenset(s for w in set(map(clean, WORDS.findall(t))) for s in stems(w)) for t in texts]
+    # Only stems that enough toxic texts have can enter a lexicon: the others are dropped text by text.
+    bag = lambda t: {s for w in set(map(clean, WORDS.findall(t))) for s in stems(w)}
+    often = Counter(s for t, y in zip(texts, labels) if y for s in bag(t))
+    often = {s for s, n in often.items() if n >= LEAST_TEXTS}
+    bags = [frozenset(bag(t) & often) for t in texts]
     fold = np.random.default_rng(11).permutation(len(texts)) % FOLDS
     x = np.zeros((len(texts), len(FEATURES)))
     for k in range(FOLDS):
