@@ -15,8 +15,8 @@ from pyspark.sql.types import (ByteType, DateType, DecimalType, FloatType, Integ
                                TimestampNTZType, TimestampType)
 
 from . import sqltext as S
-from .functions import dates as fdates, numeric as fnum, questions as fq, risk as frisk
-from .operators import clusters, critical, filters, normalise, rules, stats
+from .functions import dates as fdates, numeric as fnum, risk as frisk
+from .operators import clusters, critical, normalise, rules, stats
 from .settings import DEFAULT
 from .sources import fixtures, incidents as src
 

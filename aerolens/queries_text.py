@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import sqltext as S
 from .functions.text import STOP_WORDS, cluster_text, remove_stop_words, tokens
-from .operators import anomalies, critical, filters, narrative, normalise, rules, themes, watchlist
+from .operators import anomalies, critical, filters, narrative, rules, themes, watchlist
 from .queries import CRIT_SELECT, CRIT_BASE, KEY, NORM, RULES_SQL, FILTER_SQL, norm, register
 from .settings import DEFAULT
 from .sources import fixtures
