@@ -139,15 +139,18 @@ class Encoder(dict):
     def fragment(self, raw: bytes) -> list[int]:
         ids = self.known.get(raw)
         if ids is None:
-            start = [self.v.byte_ids[b] for b in raw]
-            ids = (merge_short if len(raw) <= 64 else merge_long)(start, self.v.merges, self.v.results)
             if len(self.known) >= MEMO:
                 self.known.clear()
-            self.known[raw] = ids
+            ids = self.known[raw] = self.merged(raw)
         return ids
 
+    def merged(self, raw: bytes) -> list[int]:
+        start = [self.v.byte_ids[b] for b in raw]
+        return (merge_short if len(raw) <= 64 else merge_long)(start, self.v.merges, self.v.results)
+
     def __missing__(self, word: str) -> list[int]:
-        ids = [i for raw in fragments(word.encode("utf-8"), self.inner) for i in self.fragment(raw)]
+        parts = fragments(word.encode("utf-8"), self.inner)
+        ids = self.merged(parts[0]) if len(parts) == 1 else [i for raw in parts for i in self.fragment(raw)]
         if len(self) >= MEMO:
             self.clear()
         self[word] = ids

@@ -155,7 +155,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
             key = tuple(texts)
             found = known.get(key)
             if found is None:
-                if len(known) >= 256:
+                if len(known) >= 64:
                     known.clear()
                 found = known[key] = [shingle(t) for t in texts]
             return found
