@@ -132,32 +132,62 @@ def _spans(text: Column, kind: Kind) -> Column:
 _NEEDS = {"email": "@", "phone": "+"}
 
 
-def find_spans(docs: DataFrame, text_col: str = "text", out: str = "spans") -> DataFrame:
-    """``docs`` with an array of (kind, start, end, score), by kind as in ``KINDS``, then start."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+def spans(text: Column, kinds: tuple[Kind, ...] = KINDS) -> Column:
+    """Confirmed spans of a text (not null): array of (kind, start, end, score), by kind as in ``kinds``, then start."""
     none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
     each = []
-    for k in KINDS:
+    for k in kinds:
         has = F.instr(text, _NEEDS[k.name]) > 0 if k.name in _NEEDS else text.rlike("[0-9][^a-zA-Z]*[0-9]")
         each.append(F.when(has, _spans(text, k)).otherwise(none))
-    return docs.withColumn(out, F.concat(*each))
+    return F.concat(*each)
 
 
-def mask(text: Column, kinds: tuple[Kind, ...] = tuple(k for k in KINDS if k.base or k.check == "mod97")) -> Column:
-    """The text with every confirmed span replaced by its kind's name in angle brackets.
-    Kind by kind, each on what the one before has left, so overlaps are masked once."""
-    for k in kinds:
-        text = _mask_kind(text, k)
-    return text
-
+def find_spans(docs: DataFrame, text_col: str = "text", out: str = "spans") -> DataFrame:
+    """``docs`` with an array of (kind, start, end, score), by kind as in ``KINDS``, then start."""
+    return docs.withColumn(out, spans(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
 
-def _mask_kind(text: Column, kind: Kind) -> Column:
-    def put(t: Column, m: Column, p: Column) -> Column:
-        hide = F.lit(f"<{kind.name.upper()}>")
-        body = F.transform(m, lambda v, i: F.concat(p[i], F.when(_holds(kind, v), hide).otherwise(v)))
-        return F.concat(F.array_join(body, ""), F.element_at(p, -1))
 
+def mask(text: Column, kinds: tuple[Kind, ...] = tuple(k for k in KINDS if k.base or k.check == "mod97")) -> Column:
+    """The text with every confirmed span replaced by its kind's name in angle brackets. Spans are
+    those of the text as given; overlapping ones are replaced as one, by the name of the longest
+    (ties: the first in ``KINDS``)."""
     def work(t: Column) -> Column:
-        return let(F.regexp_extract_all(t, F.lit(kind.pattern), F.lit(0)),
-                   lambda m: F.when(F.size(m) == 0, t).otherwise(let(F.split(t, kind.pattern, -1), lambda p: put(t, m, p))))
+        return let(spans(F.coalesce(t, F.lit("")), kinds), lambda s: F.when(F.size(s) == 0, t).otherwise(let(_merged(s), lambda m: _replaced(t, m))))
     return let(text, work)
+
+
+def _merged(found: Column) -> Column:
+    """Spans joined where they overlap (not where they touch): array of (start, end, kind), by start."""
+    def ends(s: Column, i: Column) -> Column:
+        return F.array(F.struct(s["start"].alias("at"), F.lit(1).alias("step"), (s["end"] - s["start"]).alias("size"), (-i).alias("first"), s["kind"].alias("kind")),
+                       F.struct(s["end"].alias("at"), F.lit(-1).alias("step"), F.lit(0).alias("size"), (-i).alias("first"), s["kind"].alias("kind")))
+
+    def join(es: Column, depth: Column) -> Column:
+        def where(step: int, open_spans: int) -> Column:
+            at = F.transform(es, lambda e, i: F.when((e["step"] == step) & (depth[i] == open_spans), i))
+            return F.filter(at, lambda i: i.isNotNull())
+
+        def one(a: Column, b: Column) -> Column:
+            longest = F.array_max(F.transform(F.slice(es, a + 1, b - a), lambda e: F.struct(e["size"], e["first"], e["kind"].alias("kind"))))
+            return F.struct(es[a]["at"].alias("start"), es[b]["at"].alias("end"), longest["kind"].alias("kind"))
+        return F.zip_with(where(1, 0), where(-1, 1), one)
+    return let(F.sort_array(F.flatten(F.transform(found, ends))),
+               lambda es: let(_before(F.transform(es, lambda e: e["step"])), lambda depth: join(es, depth)))
+
+
+def _replaced(text: Column, found: Column, block: int = 64) -> Column:
+    """``text`` with the spans ``found`` (by start, apart, at least one) replaced. In blocks, as
+    every substring counts characters from the start of what it is taken from."""
+    def end(i: Column) -> Column:
+        return F.coalesce(F.get(found, i - 1)["end"], F.lit(0))
+
+    def part(b: Column) -> Column:
+        def put(t: Column, base: Column) -> Column:
+            body = F.transform(F.slice(found, b * block + 1, F.lit(block)), lambda s, j: let(
+                end(b * block + j), lambda e: F.concat(t.substr(e - base + 1, s["start"] - e), F.lit("<"), F.upper(s["kind"]), F.lit(">"))))
+            return F.array_join(body, "")
+        return let(end(b * block), lambda base: let(
+            text.substr(base + 1, end(F.least((b + 1) * block, F.size(found))) - base), lambda t: put(t, base)))
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / block).cast("int")), part)
+    return F.concat(F.array_join(parts, ""), text.substr(end(F.size(found)) + 1, F.length(text)))

@@ -67,6 +67,33 @@ def test_pii_many_spans_and_long_runs(spark):
     assert got[2] == [] and got[3] == []
 
 
+def py_masked(text, spans):
+    """The text with the (kind, start, end) of ``spans`` replaced, overlapping ones as one."""
+    out, at = "", 0
+    spans = sorted(spans, key=lambda s: s[1])
+    while spans:
+        group, stop = [spans.pop(0)], 0
+        stop = group[0][2]
+        while spans and spans[0][1] < stop:
+            group.append(spans.pop(0))
+            stop = max(stop, group[-1][2])
+        names = [k.name for k in pii.KINDS]
+        name = min(group, key=lambda s: (s[1] - s[2], names.index(s[0])))[0]
+        out, at = out + text[at:group[0][1]] + f"<{name.upper()}>", stop
+    return out + text[at:]
+
+
+def test_pii_masks_overlapping_spans_as_one(spark):
+    rows = [("Tel +33.1.23.45.67.89",), ("+33 1.23.45.67.89 é",), ("1.2.3.44 111111111111111",), ("😀 +33.1.23.45.67.89 and a@b.com_x@y.org, 1.2.3.4",),
+            (" ".join(f"é{i}@h{i}.org +33.1.23.{i % 256}.67.89" for i in range(400)),)]
+    base = tuple(k for k in pii.KINDS if k.base or k.check == "mod97")
+    df = spark.createDataFrame(rows, "text string").select("text", pii.spans(F.col("text"), base).alias("spans"), pii.mask(F.col("text"), base).alias("masked"))
+    got = df.collect()
+    assert [r.masked for r in got[:2]] == ["Tel <PHONE>", "<PHONE> é"]
+    assert got[3].masked == "😀 <PHONE> and <EMAIL><EMAIL>, <IP>"
+    assert all(r.masked == py_masked(r.text, [(s.kind, s.start, s.end) for s in r.spans]) for r in got)
+
+
 def test_pii_of_odd_rows(spark, odd_dir, odd_rows):
     got = QUERIES["op9_pii"](spark, odd_dir).collect()
     assert len(got) == len(odd_rows)
