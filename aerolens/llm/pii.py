@@ -147,8 +147,8 @@ def find_spans(docs: DataFrame, text_col: str = "text", out: str = "spans") -> D
     return docs.withColumn(out, spans(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
 
 
-def mask(text: Column, kinds: tuple[Kind, ...] = tuple(k for k in KINDS if k.base or k.check == "mod97")) -> Column:
-    """The text with every confirmed span replaced by its kind's name in angle brackets. Spans are
+def mask(text: Column, kinds: tuple[Kind, ...] = KINDS) -> Column:
+    """The text with every confirmed span, as ``find_spans`` has them, replaced by its kind's name in angle brackets. Spans are
     those of the text as given; overlapping ones are replaced as one, by the name of the longest
     (ties: the first in ``KINDS``)."""
     def work(t: Column) -> Column:

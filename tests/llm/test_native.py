@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline as cp
 from aerolens.llm import fingerprint as fp, mixing, pii
 from aerolens.llm.queries import QUERIES
 
@@ -94,6 +95,30 @@ def test_pii_masks_overlapping_spans_as_one(spark):
     assert all(r.masked == py_masked(r.text, [(s.kind, s.start, s.end) for s in r.spans]) for r in got)
 
 
+def test_pii_masks_every_span_that_is_found(spark, odd_rows):
+    rows = [("call 555-123-4567",), ("see 555-123-4567",), ("Visa card 378282246310005",), ("number 378282246310005",),
+            ("tel +1 (499) 555-6503, DE89 3704 0044 0532 0130 00",), *[(r[1],) for r in odd_rows]]
+    df = pii.find_spans(spark.createDataFrame(rows, "text string")).withColumn("masked", pii.mask(F.col("text")))
+    got = df.collect()
+    assert [r.masked for r in got[:5]] == ["call <PHONE_LOCAL>", rows[1][0], "Visa card <CARD_SHORT>", rows[3][0], "tel <PHONE>, <IBAN>"]
+    assert all(r.masked == (r.text and py_masked(r.text, [(s.kind, s.start, s.end) for s in r.spans])) for r in got)
+
+
+def test_personal_data_stage_masks_what_op9_reports(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    told = {}
+    for r in QUERIES["op9_pii"](spark, sf).collect():
+        told.setdefault(r.doc_id, []).append([(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r.spans.split(",") if s)])
+    texts = {}
+    for r in docs.collect():
+        texts.setdefault(r.doc_id, []).append(r.text)
+    assert all(len(told[i]) == 1 for i in texts) and any(s[0][0] for s in told.values() if s[0])
+    for r in cp.personal_data(spark, docs, sf).collect():
+        text = texts[r.doc_id][0]
+        assert r.text == (text and py_masked(text, told[r.doc_id][0]))
+
+
 def test_pii_of_odd_rows(spark, odd_dir, odd_rows):
     got = QUERIES["op9_pii"](spark, odd_dir).collect()
     assert len(got) == len(odd_rows)
