@@ -11,7 +11,8 @@ each pair (one from either) is the key of one of ``BANDS`` ** 2 tables. So 72
 min-hashes give 144 tables of six: at similarity 0.8 a pair shares no table
 with a chance of 0.0004, at 0.9 of 3e-7.
 
-1. Equal sets are collapsed to one class, named by its smallest id.
+1. Equal sets are collapsed to one class, which stands for the smallest id in it and goes by
+   a hash of one of its rows, so texts are read by row, however many share an id.
 2. In each table bucket, every class is paired with the bucket's smallest (a
    star, never all pairs), and pairs are confirmed on their full sets.
 3. Components of the confirmed links.
@@ -87,7 +88,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(id, n, k1, k2, a, b) a row: set size, a 128-bit name of the set, the two collections."""
+    """(id, row, n, k1, k2, a, b) a row: set size, a 128-bit name of the set, the two collections."""
     def factory():
         shingle = Shingler(width)
         rng = np.random.default_rng(SEED)
@@ -225,20 +226,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component, kept) for every row: kept where the id is its component's smallest."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sig = _written(signatures(rows, width), "near-signatures")
-    classes = _written(sig.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")),
-                       "near-classes")
+    row = F.xxhash64("id", "text")
+    sig = _written(signatures(rows.withColumn("row", row), width), "near-signatures")
+    texts = rows.select(row.alias("id"), "text")
+    least = F.min(F.struct("id", "row")).alias("least")
+    classes = _written(sig.where("n > 0").groupBy("k1", "k2").agg(least, F.first("a").alias("a"), F.first("b").alias("b"))
+                       .select("k1", "k2", F.col("least.id").alias("first"), F.col("least.row").alias("rep"), "a", "b"), "near-classes")
     keys = table_keys(classes)
     lead = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").drop("last")
     stars = _written(keys.join(lead, "key").where("rep <> lead").select("rep", "lead").distinct(), "near-stars")
-    named = sig.join(classes.select("k1", "k2", "rep"), ["k1", "k2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
+    named = sig.join(classes.select("k1", "k2", "first"), ["k1", "k2"], "left").select("id", "n", F.coalesce("first", "id").alias("rep"))
     named = _written(named, "near-named")
     # An id whose rows fall into several classes ties those together.
     many = named.where("n > 0").groupBy("id").agg(F.count_distinct("rep").alias("k")).where("k > 1").select("id")
     ties = named.where("n > 0").join(many, "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = _written(confirm(rows, stars.select(F.col("rep").alias("a"), F.col("lead").alias("b")), width, percent).unionByName(ties), "near-links")
+
+    def confirmed(pairs):
+        found = confirm(texts, pairs, width, percent)
+        for side in ("a", "b"):
+            found = found.join(classes.select(F.col("rep").alias(side), F.col("first").alias(f"_{side}")), side)
+        return found.select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    links = _written(confirmed(stars.select(F.col("rep").alias("a"), F.col("lead").alias("b"))).unionByName(ties), "near-links")
     comp = components(links)
-    more = _written(confirm(rows, _written(open_pairs(rows, stars, comp, width, percent), "near-open-pairs"), width, percent), "near-more-links")
+    by_class = _written(classes.select("rep", F.col("first").alias("id")).join(comp, "id", "left")
+                        .select(F.col("rep").alias("id"), F.coalesce("component", "id").alias("component")), "near-class-components")
+    more = _written(confirmed(_written(open_pairs(texts, stars, by_class, width, percent), "near-open-pairs")), "near-more-links")
     if not more.isEmpty():
         comp = components(links.unionByName(more))
     found = named.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))

@@ -78,6 +78,23 @@ def test_open_pairs_find_what_stars_miss(spark):
     assert {tuple(sorted(p)) for p in got} == want
 
 
+def test_texts_of_one_id_are_never_gathered(spark, monkeypatch):
+    """However many texts share an id (here: none), each is read and compared by itself."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, t) for i, t in near_corpus()]
+    read, sizes = minhash._texts, []
+
+    def texts(docs, ids):
+        found = read(docs, ids)
+        sizes.extend(len(r.texts) for r in found.collect())
+        return found
+    monkeypatch.setattr(minhash, "_texts", texts)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width=2, percent=80).collect()
+    null = -(1 << 63)
+    want = py_near([(null if i is None else i, t) for i, t in rows], 2, 80)
+    assert len(got) == len(rows) and set(sizes) == {1}
+    assert all((null if r.component is None else r.component) == want[null if r.id is None else r.id] for r in got)
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001), (1001, 1002), (1002, 1000)]
     random.Random(1).shuffle(edges)
