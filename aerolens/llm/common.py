@@ -57,7 +57,7 @@ def map_texts(docs: DataFrame, text_col: str, fields: str, factory: Callable[[],
     """``docs`` with the columns ``fields`` (a DDL string), computed from its texts in Python.
 
     ``factory()`` runs once a task and gives a function from a list of texts (null: empty) to one
-    list of values per new column. It is called with blocks of at most ``BLOCK_BYTES`` of text (or
+    list of values (or Arrow array of the column's type) per new column. It is called with blocks of at most ``BLOCK_BYTES`` of text (or
     one longer text), so memory does not follow the batch size. New columns replace old ones of
     the same name.
     """
@@ -83,7 +83,7 @@ def map_texts(docs: DataFrame, text_col: str, fields: str, factory: Callable[[],
                 if i == batch.num_rows or (held and held + size > block):
                     if i > start:
                         some = [(t or b"").decode("utf-8", "replace") for t in texts[start:i].to_pylist()]
-                        cols = [pa.array(v, t) for v, t in zip(fn(some), types)]
+                        cols = [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(fn(some), types)]
                         rows = batch.slice(start, i - start)
                         yield pa.RecordBatch.from_arrays([*rows.columns, *cols], names=[*rows.schema.names, *names])
                     start, held = i, 0

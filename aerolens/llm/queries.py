@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprint as fp, langid, minhash, mixing, pii, quality, suffix_dedup, toxicity, vafile
+from . import bpe, fingerprint as fp, langid, minhash, mixing, padded_bpe, pii, quality, suffix_dedup, toxicity, vafile
 from .common import LOWER, UPPER, documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -258,3 +258,17 @@ def op8_suffix_dedup(spark, sf_dir):
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     return d.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
                     F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# ---------------------------------------------------------------- 11: BPE on padded matrices
+
+
+@register("op11_padded_bpe")
+def op11_padded_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    d = padded_bpe.encode_texts(documents(spark, sf_dir).select("doc_id", "text"),
+                                public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return d.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                    F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                    F.sha2("decoded", 256).alias("decoded_sha256"))
