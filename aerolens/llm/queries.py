@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprint as fp, langid, minhash, mixing, padded_bpe, pii, quality, suffix_dedup, toxicity, vafile
+from . import bpe, fingerprint as fp, langid, minhash, mixing, padded_bpe, pii, quality, suffix_dedup, toxicity, vafile, variants
 from .common import LOWER, UPPER, documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -272,3 +272,46 @@ def op11_padded_bpe(spark, sf_dir):
     return d.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
                     F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                     F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+# ---------------------------------------------------------------- CRC-32 in SQL (DuckDB has none)
+
+#: A one-row table (c256) of the 256 remainders, by the rule of the reflected polynomial, and (hx) the number of each byte's hex text.
+CRC_CTE = """ct AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1
+    THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS c256,
+    map_from_entries(list_transform(range(256), lambda i: {'k': upper(printf('%02x', i)), 'v': i})) AS hx)"""
+
+
+def crc_sql(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes; ``ct`` must be among the tables."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: hx[h])"
+    return (f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, c256[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)")
+
+
+# ---------------------------------------------------------------- 13: spelling variants
+
+#: Fixed value: a run whose checksum this divides is misspelt first.
+MISSPELL = 199
+_RUNS_SQL = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[{variants.LETTERS}]+')"
+
+
+@register("op13_variants", f"""
+WITH RECURSIVE {CRC_CTE},
+u AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest({_RUNS_SQL}) AS r FROM documents),
+g AS (SELECT d, r, count(*) AS k FROM u WHERE length(r) >= {variants.MIN_LENGTH} GROUP BY d, r),
+h AS (SELECT r, k, {crc_sql("d || ':' || r")} AS h FROM g, ct),
+w AS (SELECT CASE WHEN h % {MISSPELL} = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS w, sum(k)::BIGINT AS n
+    FROM h GROUP BY 1 HAVING length(w) >= {variants.MIN_LENGTH} AND sum(k) >= {variants.MIN_COUNT}),
+i AS (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM w),
+c AS (SELECT DISTINCT w, n, substr(w, 1, i - 1) || substr(w, i + 1) AS s FROM i),
+m AS (SELECT w, n, substr(w, 1, i - 1) || '*' || substr(w, i + 1) AS s FROM i),
+e AS (SELECT c.w AS a, c.n AS na, w.w AS b, w.n AS nb FROM c JOIN w ON c.s = w.w
+    UNION ALL SELECT w.w, w.n, c.w, c.n FROM c JOIN w ON c.s = w.w
+    UNION ALL SELECT x.w, x.n, y.w, y.n FROM m x JOIN m y ON x.s = y.s AND x.w <> y.w),
+b AS (SELECT a, count(*) AS n_near, min({{'m': -nb, 'w': b}}) AS best, any_value(na) AS na FROM e GROUP BY a),
+f AS (SELECT w, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best.m >= {variants.FACTOR} * n THEN best.w END AS form,
+    (CASE WHEN -best.m >= {variants.FACTOR} * n THEN -best.m END)::BIGINT AS form_n FROM w LEFT JOIN b ON a = w),
+r(w, z, form) AS (SELECT w, w, form FROM f UNION ALL SELECT r.w, f.w, f.form FROM r JOIN f ON r.form = f.w)
+SELECT f.w AS word, f.form, r.z AS root, f.n, n_near, form_n FROM f JOIN r ON r.w = f.w AND r.form IS NULL""")
+def op13_variants(spark, sf_dir):
+    return variants.group_variants(variants.count_words(documents(spark, sf_dir), misspell=MISSPELL))
