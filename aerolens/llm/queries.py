@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprint as fp, langid, minhash, mixing, padded_bpe, pii, quality, suffix_dedup, toxicity, vafile, variants
+from . import bpe, conversations, fingerprint as fp, langid, minhash, mixing, padded_bpe, pii, quality, suffix_dedup, toxicity, vafile, variants
 from .common import LOWER, UPPER, documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -315,3 +315,42 @@ r(w, z, form) AS (SELECT w, w, form FROM f UNION ALL SELECT r.w, f.w, f.form FRO
 SELECT f.w AS word, f.form, r.z AS root, f.n, n_near, form_n FROM f JOIN r ON r.w = f.w AND r.form IS NULL""")
 def op13_variants(spark, sf_dir):
     return variants.group_variants(variants.count_words(documents(spark, sf_dir), misspell=MISSPELL))
+
+
+# ---------------------------------------------------------------- 12: conversation repair
+
+_WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@register("op12_conversations", f"""
+WITH RECURSIVE {CRC_CTE},
+z AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS f FROM conversations, ct),
+d AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy,
+    CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM z WHERE f <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, left(role, 1) AS c,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen, rtrim(text, {_WHITE_SQL}) AS bare FROM d),
+r AS (SELECT *, CASE WHEN bare = '' THEN 'b' WHEN seen THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+    coalesce(c || lead(c) OVER (PARTITION BY conv_id ORDER BY i) NOT IN ('su', 'ua', 'au'), false) AS illegal FROM o),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank,
+    count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (illegal) AS illegal, count(*) AS n FROM r GROUP BY conv_id),
+n(st, ins, mid, ic, lines) AS (VALUES (0, '', 0, 0, []), (0, 'I', 2, 5, ['user:']), (0, 'II', 3, 10, ['user:', 'assistant:']),
+    (1, '', 1, 0, []), (1, 'I', 2, 5, ['user:']), (1, 'II', 3, 10, ['user:', 'assistant:']), (2, '', 2, 0, []), (2, 'I', 3, 5, ['assistant:']),
+    (2, 'II', 2, 10, ['assistant:', 'user:']), (3, '', 3, 0, []), (3, 'I', 2, 5, ['user:']), (3, 'II', 3, 10, ['user:', 'assistant:'])),
+e AS (SELECT n.*, l, CASE WHEN mid = 2 THEN 3 ELSE 2 END AS nxt FROM n, (VALUES ('D'), ('K'), ('R')) AS x(l)),
+w(conv_id, i, st, best) AS (SELECT conv_id, 0::BIGINT, 0, {{'c': 0::BIGINT, 'a': '', 'x': []::VARCHAR[]}} FROM s UNION ALL
+  SELECT w.conv_id, w.i + 1, CASE WHEN l = 'D' THEN mid WHEN l = 'K' AND r.c = 's' THEN 1 ELSE nxt END,
+    min({{'c': best.c + ic + (CASE l WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END) + CASE WHEN l <> 'D' AND fault = 't' THEN 5 ELSE 0 END,
+      'a': best.a || ins || l, 'x': list_concat(best.x, lines, CASE l WHEN 'D' THEN []::VARCHAR[] WHEN 'K' THEN [r.role || ':' || r.text]
+        ELSE [CASE WHEN nxt = 2 THEN 'user:' ELSE 'assistant:' END || r.text] END)}})
+  FROM w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1 JOIN e ON e.st = w.st
+  WHERE l = 'D' OR fault NOT IN ('b', 'd') AND (l = 'R' OR (r.c = 's' AND mid = 0) OR (r.c = 'u' AND nxt = 2) OR (r.c = 'a' AND nxt = 3)) GROUP BY 1, 2, 3),
+f AS (SELECT w.conv_id, min({{'c': best.c + ic, 'a': best.a || ins, 'x': list_concat(best.x, lines)}}) AS best FROM w JOIN s ON s.conv_id IS NOT DISTINCT FROM w.conv_id
+    AND w.i = s.n JOIN n ON n.st = w.st WHERE n.mid = 3 OR (n.mid = 0 AND n.ins = '') GROUP BY w.conv_id)
+SELECT q.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit,
+  sha256(coalesce(array_to_string(best.x, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) q LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM q.conv_id LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM q.conv_id""")
+def op12_conversations(spark, sf_dir):
+    rows, present = conversations.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversations.repair(rows, present=present)
