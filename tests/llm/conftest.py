@@ -31,6 +31,24 @@ def make_rows():
     return [(i, t, lang, s, None if t is None else len(t)) for i, t, lang, s in rows]
 
 
+def make_turns():
+    """Sound and broken conversations, a long one, a null one, and rows with nulls, ties and repeats."""
+    rng = random.Random(3)
+    rows = []
+    for c in range(80):
+        n = 150 if c == 7 else rng.randint(1, 9)
+        for t in range(n):
+            role = rng.choice(["user", "assistant"]) if rng.random() < 0.3 else ("user", "assistant")[t % 2]
+            role = "system" if t == 0 and rng.random() < 0.4 or rng.random() < 0.05 else role
+            text = rng.choice(["Yes.", "No?", "so it goes", "", " \t\n", "Done! ", "A.", "B.", "C.", "é. \x0b", f"t{t}.", f"u{rng.random()}!"])
+            rows.append((c, t + (t > 4) * rng.randint(0, 1), role, text))
+    rows += [(None, 0, "user", "Hi."), (None, 1, "assistant", "Ho."), (None, None, "system", "First."), (90, None, None, None), (90, 3, "user", None),
+             (91, None, "tool", "Out."), (91, 1, "", "Empty role."), (92, 5, "user", "Same."), (92, 5, "user", "Same."), (92, 5, "assistant", "Other."),
+             (93, 9, "usurper", "Odd."), (93, 2**40, "admin", "Far.")]
+    return rows
+
+
+TURNS = "conv_id bigint, turn bigint, role string, text string"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -54,6 +72,8 @@ def odd_dir(spark, odd_rows, tmp_path_factory):
     vectors += [(1000, None, 0), (1001, [0.5, None, 0.1, 0.1, 0.1, 0.1], 0), (1002, [float("nan")] * 6, 0), (1003, [float("inf")] * 6, 0),
                 (None, [0.1] * 6, 0), (1100, [0.25] * 6, 0), (1100, [0.25] * 6, 0), (1200, [0.1] * 3, 0), (1201, [], 0)]
     spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, label int").withColumn("id", F.lit(1)).write.parquet(f"{path}/embeddings.parquet")
+    spark.createDataFrame(make_turns(), TURNS).withColumns({c: F.lit("x") for c in ("conv", "key", "first", "copies", "present", "fault", "copy", "seen")}) \
+        .repartition(3).write.parquet(f"{path}/conversations.parquet")
     return path
 
 
@@ -63,4 +83,5 @@ def empty_dir(spark, tmp_path_factory):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+    spark.createDataFrame([], TURNS).write.parquet(f"{path}/conversations.parquet")
     return path
