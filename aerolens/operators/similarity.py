@@ -1,17 +1,17 @@
 """Similarity search, probes and the sweep sample.
 
-Exact cosine top-k. Question (or probe) vectors are taken in blocks of
-``Settings.question_block`` rows; a block is sent to the tasks, where every Arrow
-batch of the corpus is multiplied by it in NumPy and a running per-question
-top-k (ties included) is kept per partition. Only (question, id, score) leave
-Python; a first ranking per (question, salt) and a second per question merge
-the candidates, and the incidents' columns are joined back to the k survivors.
-No (question x incident) table exists.
+Exact cosine top-k. Up to ``Settings.question_block`` question (or probe) vectors are
+sent to the tasks, where every Arrow batch of the corpus is multiplied by them in
+NumPy and a running per-question top-k (ties included) is kept per partition. Only
+(question, id, score) leave Python; a first ranking per (question, salt) and a second
+per question merge the candidates, and the incidents' columns are joined back to the
+k survivors. More questions are joined with an index of vector groups
+(``vector_index``). No (question x incident) table exists.
 """
 
 from __future__ import annotations
 
-from itertools import islice
+import math
 from typing import Iterator
 
 import numpy as np
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import materialise
 from ..settings import DEFAULT, Settings
+from .vector_index import VectorIndex, build_index, top_k
 
 #: Sub-keys per question of the first ranking.
 SALTS = 64
@@ -72,14 +73,12 @@ def _scores(src: DataFrame, ids: list, questions: np.ndarray, k: int, settings:
             names = pa.array(ids, pa.string()).take(pa.array(q_idx))
             yield pa.RecordBatch.from_arrays([names, found, pa.array(q_score)], names=["question_id", "id", "raw"])
 
-    out = materialise(src.mapInArrow(work, f"question_id string, id {id_type.simpleString()}, raw double"), "similarity")
-    block.unpersist()
-    return out
+    return src.mapInArrow(work, f"question_id string, id {id_type.simpleString()}, raw double")
 
 
 def similarity_topk(incidents: DataFrame, questions: DataFrame, k: int, id_col: str = "id",
                     vec_col: str = "embedding", q_id: str = "question_id", q_vec: str = "embedding",
-                    settings: Settings = DEFAULT, keep_cols: list[str] | None = None) -> DataFrame:
+                    settings: Settings = DEFAULT, keep_cols: list[str] | None = None, index: VectorIndex | None = None) -> DataFrame:
     """T1 (+J4): the k incidents most similar (cosine) to each question.
 
     Ranked by score at ``settings.rank_digits`` digits, descending, then ``id_col``
@@ -89,31 +88,39 @@ def similarity_topk(incidents: DataFrame, questions: DataFrame, k: int, id_col:
     part. Columns: ``question_id``, ``rank``, ``score`` and ``keep_cols`` (default:
     every incident column except the vector). The result is written, so plans
     built on it do not score again.
+
+    Up to ``settings.question_block`` questions are answered by one scan of the corpus.
+    More, or any number with an ``index`` of the corpus (``vector_index.build_index``), are
+    joined with the index's groups, whatever their number; without an index one is built.
     """
-    spark = incidents.sparkSession
     keep = keep_cols if keep_cols is not None else [c for c in incidents.columns if c != vec_col]
     if id_col not in keep:
         keep = [id_col, *keep]
+    asked = questions.select(F.col(q_id).cast("string").alias("question_id"), F.col(q_vec).alias("v"))
+    few = asked.limit(settings.question_block + 1).collect() if index is None else []
+    if index is None and len(few) <= settings.question_block:
+        top = _scan_topk(incidents.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), few, k, settings)
+    else:
+        if index is None:
+            width = asked.agg(F.max(F.size("v"))).first()[0]
+            index = build_index(incidents, id_col, vec_col, width=width)
+        top = top_k(index, asked, k, settings)
+    out = top.withColumnRenamed("id", "_id").join(incidents.select(*keep), F.col("_id") == F.col(id_col))
+    return materialise(out.select("question_id", F.round("raw", settings.score_digits).alias("score"), *keep, "rank"), "ranked")
 
-    def usable(vec, width):
-        return (F.size(vec) == width) & ~F.exists(vec, lambda x: x.isNull())
 
-    asked = questions.select(F.col(q_id).cast("string").alias("question_id"), F.col(q_vec).alias("v"))
-    width = asked.agg(F.max(F.size("v"))).first()[0] or 0
-    src = incidents.select(F.col(id_col).alias("id"), F.col(vec_col)).where(usable(vec_col, width))
-    rows, cands = asked.where(usable("v", width)).toLocalIterator(), None  # one block at a time is held
-    while block := list(islice(rows, settings.question_block)):
-        part = _scores(src, [r[0] for r in block], np.asarray([r[1] for r in block], dtype=np.float64), k, settings)
-        cands = part if cands is None else cands.unionByName(part)
-    if cands is None:
-        cands = src.select(F.lit("").alias("question_id"), "id", F.lit(0.0).alias("raw")).limit(0)
+def _scan_topk(src: DataFrame, questions: list, k: int, settings: Settings) -> DataFrame:
+    """(question_id, id, raw, rank) by one scan of ``src`` (id, v) for one block of questions."""
+    width = max((len(r[1]) for r in questions if r[1] is not None), default=0)
+    rows = [r for r in questions if r[1] is not None and len(r[1]) == width and None not in r[1]]
+    if not rows:
+        return src.select(F.lit("").alias("question_id"), "id", F.lit(0.0).alias("raw"), F.lit(1).alias("rank")).limit(0)
+    src = src.where((F.size("v") == width) & ~F.exists("v", lambda x: x.isNull()))
+    cands = _scores(src, [r[0] for r in rows], np.asarray([r[1] for r in rows], dtype=np.float64), k, settings)
     best = [F.desc("raw"), F.asc("id")]
     salted = Window.partitionBy("question_id", F.pmod(F.xxhash64("id"), F.lit(SALTS))).orderBy(*best)
-    first = cands.withColumn("_r", F.row_number().over(salted)).where(F.col("_r") <= k)
-    top = first.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(*best))).where(F.col("rank") <= k)
-    top = materialise(top.select("question_id", F.col("id").alias("_id"), "raw", "rank"), "topk")
-    out = top.join(incidents.select(*keep), F.col("_id") == F.col(id_col))
-    return materialise(out.select("question_id", F.round("raw", settings.score_digits).alias("score"), *keep, "rank"), "ranked")
+    first = cands.withColumn("_r", F.row_number().over(salted)).where(F.col("_r") <= k).drop("_r")
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(*best))).where(F.col("rank") <= k)
 
 
 def random_probes(spark: SparkSession, n: int, dim: int, seed: int = DEFAULT.seed) -> DataFrame:
@@ -148,17 +155,37 @@ def sweep(incidents: DataFrame, probes: DataFrame, settings: Settings = DEFAULT,
           vec_col: str = "embedding", probe_col: str = "probe") -> DataFrame:
     """For each probe in order its ``sweep_probe_k`` best matches; one row per
     report (``coalesce(report_number, id)``, D11), first seen in (probe, rank)
-    order; the first ``sweep_target_max`` of those. Same rows as the sequential
-    loop that stops at the target, because first-seen order is (probe, rank).
+    order; the first ``sweep_target_max`` of those.
+
+    Probes are taken in rounds, each the fewest that could fill the sample; once it is
+    full, later probes are not scored. That changes nothing: a report's place is its
+    first (probe, rank), and whatever a later probe finds stands behind all that the
+    probes before it have found.
     """
-    top = similarity_topk(incidents, probes.withColumn("question_id", F.col(probe_col).cast("string")),
-                          settings.sweep_probe_k, id_col=id_col, vec_col=vec_col, q_vec="embedding",
-                          settings=settings)
-    top = top.withColumn("probe", F.col("question_id").cast("int")).drop("question_id")
-    report = F.coalesce(F.col("report_number").cast("string"), F.col(id_col).cast("string")) \
-        if "report_number" in top.columns else F.col(id_col).cast("string")
-    first = dedupe_first(top, report, ["probe", "rank"])
-    return first.orderBy("probe", "rank").limit(settings.sweep_target_max)
+    cap, each = settings.sweep_target_max, settings.sweep_probe_k
+    # The number of probes is a parameter; their vectors stay in Spark.
+    order, held, done = [r[0] for r in probes.select(F.col(probe_col)).orderBy(probe_col).collect()], None, 0
+    while done < len(order):
+        known = _first_reports(held, id_col).count() if held is not None else 0
+        if known >= cap:
+            break  # every later probe ranks behind all that is held
+        part = order[done:done + math.ceil((cap - known) / each)]
+        done += len(part)
+        asked = probes.where(F.col(probe_col).isin(part)).withColumn("question_id", F.col(probe_col).cast("string"))
+        top = similarity_topk(incidents, asked, each, id_col=id_col, vec_col=vec_col, q_vec="embedding", settings=settings)
+        top = top.withColumn("probe", F.col("question_id").cast("int")).drop("question_id")
+        held = top if held is None else held.unionByName(top)
+    if held is None:
+        held = similarity_topk(incidents, probes.limit(0).withColumn("question_id", F.lit("")), each, id_col=id_col, vec_col=vec_col,
+                               settings=settings).withColumn("probe", F.lit(0)).drop("question_id")
+    return _first_reports(held, id_col).orderBy("probe", "rank").limit(cap)
+
+
+def _first_reports(top: DataFrame, id_col: str) -> DataFrame:
+    """One row per report, the first in (probe, rank) order."""
+    own = F.col(id_col).cast("string")
+    report = F.coalesce(F.col("report_number").cast("string"), own) if "report_number" in top.columns else own
+    return dedupe_first(top, report, ["probe", "rank"])
 
 
 def fit_embedder(corpus: DataFrame, text_col: str, dim: int):

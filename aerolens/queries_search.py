@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from . import sqltext as S
 from .functions import questions as fq
-from .operators import filters, narrative, normalise, similarity, stats
+from .operators import filters, narrative, normalise, similarity, stats, vector_index
 from .queries import register
 from .settings import DEFAULT
 from .sources import fixtures
@@ -314,10 +314,22 @@ def q_ask_texts(spark, sf_dir):
 SELECT CAST(probe AS VARCHAR) AS question_id, id, report_number, round(raw, 6) AS score,
   CAST(row_number() OVER (PARTITION BY probe ORDER BY round(raw, 12) DESC, id) AS BIGINT) AS rank FROM c QUALIFY rank <= 200""")
 def q_probe_join(spark, sf_dir):
-    """Every probe scored against every vector, kept to each probe's 200 best.
-    Done as broadcast probes x Arrow batches with per-partition pruning; the
-    full probe x vector product is never materialised."""
+    """Every probe's 200 best vectors, by a join of probes with the groups of a
+    stored vector index; the full probe x vector product is never materialised."""
     inc = fixtures.incident_vectors(spark, sf_dir).select("id", "report_number", "embedding")
     p = label_probes(spark, sf_dir).withColumn("question_id", F.col("probe").cast("string"))
-    return similarity.similarity_topk(inc, p, DEFAULT.sweep_probe_k).select("question_id", "id", "report_number",
-                                                                              "score", "rank")
+    top = similarity.similarity_topk(inc, p, DEFAULT.sweep_probe_k, index=vector_index.build_index(inc))
+    return top.select("question_id", "id", "report_number", "score", "rank")
+
+
+@register("topk_every_vector", f"""WITH {S.VEC},
+  c AS (SELECT q.id AS question_id, v.id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 12) AS raw
+    FROM incident_vectors v, incident_vectors q)
+SELECT question_id, id, round(raw, 6) AS score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY raw DESC, id) AS BIGINT) AS rank
+  FROM c QUALIFY rank <= 40""")
+def q_every_vector(spark, sf_dir):
+    """T1 with every incident's vector as a question: many questions, one join with the vector groups."""
+    inc = fixtures.incident_vectors(spark, sf_dir).select("id", "embedding")
+    asked = inc.select(F.col("id").alias("question_id"), "embedding")
+    top = similarity.similarity_topk(inc, asked, DEFAULT.top_k, index=vector_index.build_index(inc))
+    return top.select("question_id", "id", "score", "rank")
