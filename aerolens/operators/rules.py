@@ -1,10 +1,10 @@
 """Association rules for elevated risk.
 
 Each driver gives exactly one token per row (its value, null read as "NA"), so
-an itemset holds at most one token per driver and every itemset is one cell of
-``GROUP BY CUBE(drivers)``. One scan with a map-side partial aggregate gives
-all supports at once; nothing wide is materialised and no group is collected.
-For many attributes (2^k grouping sets) MLlib's FPGrowth is used instead.
+an itemset holds at most one token per driver. The elevated-risk rules over the
+four drivers read all their supports from one ``CUBE`` over rows that are counted
+by their values first. General itemsets, over any number of attributes, and their
+rules grow level by level from what was frequent (or confident) enough.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ CONTEXT_LABELS = {
     "cause_category": "cause",
 }
 MISSING_ATC = ("na", "n/a", "not_available", "not available")
-CUBE_MAX_ATTRS = 8
 
 
 def _flag(df: DataFrame, settings: Settings):
@@ -69,11 +68,11 @@ def mine_risk_rules(df: DataFrame, settings: Settings = DEFAULT, attrs=None) ->
     schema_cols = [*attrs, "context", "context_text", "rows", "n", "support", "confidence", "lift",
                    "uplift", "baseline"]
     full = (1 << len(attrs)) - 1
-    # One scan: the cube's all-rolled-up cell is the grand total. The cells are
-    # post-aggregation (one per value combination and grouping set), so they
-    # are written once and read twice instead of scanning the source again.
-    cells = materialise(d.cube(*attrs).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("_flag").cast("long")).alias("n"),
-                                           F.grouping_id().alias("_gid")), "rule-cells")
+    # One scan: rows are counted by their values, the cube then adds up those counts, and its all-rolled-up
+    # cell is the grand total. The cells (one per value combination and grouping set) are written once and
+    # read twice instead of scanning the source again.
+    by_value = d.groupBy(*attrs).agg(F.count(F.lit(1)).alias("_rows"), F.sum(F.col("_flag").cast("long")).alias("_n"))
+    cells = materialise(by_value.cube(*attrs).agg(F.sum("_rows").alias("rows"), F.sum("_n").alias("n"), F.grouping_id().alias("_gid")), "rule-cells")
     tot = cells.where(F.col("_gid") == full).select("rows", "n").first()
     total, elev = (int(tot["rows"]), int(tot["n"] or 0)) if tot else (0, 0)
     if total == 0 or elev == 0:
@@ -141,84 +140,122 @@ def risk_rules_report(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 # ---------------------------------------------------------------- general itemsets and rules
 
 
-def frequent_itemsets(df: DataFrame, attrs, min_support: float = DEFAULT.min_support,
-                      target: str | None = None, method: str = "auto") -> DataFrame:
-    """All token sets with support >= ``min_support``.
+def frequent_itemsets(df: DataFrame, attrs, min_support: float = DEFAULT.min_support, target: str | None = None) -> DataFrame:
+    """All token sets with support >= ``min_support``, level by level.
 
     Tokens are ``<attr>_<value>`` (value null read as "NA", stripped) plus, when
     ``target`` names a boolean column, the token ``target`` on rows where it is
-    true. ``method='cube'`` reads every set from one CUBE; ``'fpgrowth'`` uses
-    MLlib; ``'auto'`` picks the cube up to eight attributes.
-    Columns: ``itemset`` (sorted tokens), ``size``, ``count``, ``support``.
+    true. Rows are first counted by their values. Each level then extends only the
+    frequent sets of the level before, by a later attribute's token with which they
+    were frequent; what a row still may be extended by shrinks with it, and rows that
+    have become alike are added up. So the work follows the frequent sets, not the
+    2^k sets of attributes. Columns: ``itemset`` (sorted tokens), ``size``, ``count``, ``support``.
     """
     attrs = list(attrs)
-    cols = attrs + ([target] if target else [])
-    d = canonical_drivers(df, attrs).select(*attrs, *([F.coalesce(F.col(target), F.lit(False)).alias(target)]
-                                                      if target else []))
-    if method == "auto":
-        method = "cube" if len(cols) <= CUBE_MAX_ATTRS else "fpgrowth"
-    if method == "cube":
-        cells = materialise(d.cube(*cols).agg(F.count(F.lit(1)).alias("count"), F.grouping_id().alias("_gid")), "itemset-cells")
-        tot = cells.where(F.col("_gid") == (1 << len(cols)) - 1).select("count").first()
-        total = int(tot["count"]) if tot else 0
-    else:
-        total = d.count()
-    if total == 0:
-        from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
-        return d.sparkSession.createDataFrame([], StructType([
-            StructField("itemset", ArrayType(StringType())), StructField("size", IntegerType()),
-            StructField("count", LongType()), StructField("support", DoubleType())]))
-    if method == "fpgrowth":
-        from pyspark.ml.fpm import FPGrowth
-
-        toks = [F.concat(F.lit(a + "_"), F.col(a)) for a in attrs] + ([F.when(F.col(target), F.lit(target))]
-                                                                      if target else [])
-        items = d.select(F.array_compact(F.array(*toks)).alias("items"))
-        # MLlib rounds the least count up from a float product, which can lose sets exactly at
-        # the threshold: ask for one row less and filter as the cube does.
-        least = max(0.0, min_support - 1.0 / total)
-        fi = FPGrowth(itemsCol="items", minSupport=least, minConfidence=1.0).fit(items).freqItemsets
-        fi = fi.where((F.col("freq") / F.lit(total)) >= F.lit(min_support))
-        return fi.select(F.array_sort("items").alias("itemset"), F.size("items").alias("size"),
-                         F.col("freq").alias("count"), (F.col("freq") / F.lit(total)).alias("support"))
+    flag = [F.coalesce(F.col(target), F.lit(False)).alias("_target")] if target else []
+    names = [*attrs, *([target] if target else [])]
+    plain = [f"_{i}" for i in range(len(attrs))]
+    d = canonical_drivers(df.select(*[c for c in attrs if c in df.columns], *flag), attrs).toDF(*_renamed(df, attrs, plain, target))
+    combos = materialise(d.groupBy(*plain, *(["_target"] if target else [])).agg(F.count("*").alias("w")), "itemset-rows")
+    total = combos.agg(F.sum("w")).first()[0] or 0
+    if not total:
+        return d.sparkSession.createDataFrame([], "itemset array<string>, size int, count bigint, support double")
+    enough = (F.col("count") / F.lit(total)) >= F.lit(min_support)
+    # Within the levels an item is its attribute's number and its value, so items sort by attribute.
+    items = {f"_{i}": F.concat(F.lit(f"{i:04d}:"), F.col(c)) for i, c in enumerate(plain)}
     if target:
-        cells = cells.where(F.col(target).isNull() | F.col(target))
-    toks = [F.when(F.col(a).isNotNull(), F.concat(F.lit(a + "_"), F.col(a))) for a in attrs]
-    if target:
-        toks.append(F.when(F.col(target), F.lit(target)))
-    itemset = F.array_sort(F.array_compact(F.array(*toks)))
-    return (cells.select(itemset.alias("itemset"), "count")
-            .where((F.size("itemset") > 0) & ((F.col("count") / F.lit(total)) >= F.lit(min_support)))
-            .select("itemset", F.size("itemset").alias("size"), "count",
-                    (F.col("count") / F.lit(total)).alias("support")))
-
-
-def association_rules(itemsets: DataFrame, metric: str = "lift", min_threshold: float = 1.0) -> DataFrame:
+        items["_target"] = F.when(F.col("_target"), F.lit(f"{len(attrs):04d}:"))
+    rows = combos.select(*[v.alias(c) for c, v in items.items()], "w")
+    single = materialise(rows.select(F.explode(F.array_compact(F.array(*items))).alias("item"), "w").groupBy("item")
+                         .agg(F.sum("w").alias("count")).where(enough), "items")
+    for i, c in enumerate(items):  # a row keeps its frequent items
+        own = single.where(F.col("item").startswith(f"{i:04d}:")).select(F.col("item").alias(f"{c}f"))
+        rows = rows.join(own, F.col(c) == F.col(f"{c}f"), "left")
+    rows = rows.select(F.array_compact(F.array(*[f"{c}f" for c in items])).alias("tail"), "w").groupBy("tail").agg(F.sum("w").alias("w"))
+    found = single.select(F.array("item").alias("items"), "count")
+    records = _extended(rows.select(F.array().cast("array<string>").alias("items"), "tail", "w"))
+    for size in range(2, len(names) + 1):
+        records = materialise(records, "itemset-records")
+        counted = materialise(records.select("items", F.explode("tail").alias("item"), "w").groupBy("items", "item")
+                              .agg(F.sum("w").alias("count")).where(enough), "itemsets")
+        if counted.isEmpty():
+            break
+        found = found.unionByName(counted.select(F.concat("items", F.array("item")).alias("items"), "count"))
+        if size < len(names):
+            grown = counted.groupBy("items").agg(F.collect_set("item").alias("more"))
+            kept = records.join(grown, "items").select("items", F.filter("tail", lambda t: F.array_contains("more", t)).alias("tail"), "w")
+            records = _extended(kept)
+    labels = F.array(*[F.lit(n) for n in names])
+
+    def token(item):
+        at = F.substring(item, 1, 4).cast("int") + 1
+        name = F.element_at(labels, at)
+        return name if target and not attrs else F.when(at == len(attrs) + 1, name).otherwise(F.concat(name, F.lit("_"), F.substring(item, 6, 1 << 30)))
+    return found.select(F.array_sort(F.transform("items", token)).alias("itemset"), F.size("items").alias("size"), "count",
+                        (F.col("count") / F.lit(total)).alias("support"))
+
+
+def _renamed(df: DataFrame, attrs: list[str], plain: list[str], target: str | None) -> list[str]:
+    """New names of the columns that ``canonical_drivers`` gives: those of ``df`` first, then the target, then missing ones."""
+    here = [plain[i] for i, c in enumerate(attrs) if c in df.columns]
+    return [*here, *(["_target"] if target else []), *(plain[i] for i, c in enumerate(attrs) if c not in df.columns)]
+
+
+def _extended(records: DataFrame) -> DataFrame:
+    """(items, tail, w): every record's items with each item of its tail and what follows that, alike records added up."""
+    at = records.select("items", "tail", "w", F.posexplode("tail").alias("p", "item"))
+    out = at.select(F.concat("items", F.array("item")).alias("items"), F.slice("tail", F.col("p") + 2, F.size("tail")).alias("tail"), "w")
+    return out.where(F.size("tail") > 0).groupBy("items", "tail").agg(F.sum("w").alias("w"))
+
+
+def association_rules(itemsets: DataFrame, metric: str = "lift", min_threshold: float = 1.0,
+                      min_confidence: float | None = None) -> DataFrame:
     """Every rule A -> C with A, C non-empty, A u C a frequent itemset.
 
-    The subsets of an itemset are enumerated by bit masks; their supports come
-    from an equi-join on the sorted token key (J6), whose strategy Spark picks by size.
-    Columns: ``antecedents``, ``consequents``, ``antecedent_support``,
+    Consequents grow level by level, by items after their last one; a rule's confidence
+    falls as its consequent grows, so with ``min_confidence`` (or ``confidence`` as the
+    metric) only consequents that reach it are extended. Without a bound these are all
+    splits. Supports come from equi-joins on the sorted token key (J6), whose strategy
+    Spark picks by size. Columns: ``antecedents``, ``consequents``, ``antecedent_support``,
     ``consequent_support``, ``support``, ``count``, ``confidence``, ``lift``,
     ``leverage``, ``conviction``.
     """
     sep = "\u0001"
+    if metric == "confidence":
+        min_confidence = max(min_threshold, min_confidence if min_confidence is not None else min_threshold)
     # The itemset table is joined with itself: written once to the shared folder.
     itemsets = materialise(itemsets, "itemsets")
     lookup = itemsets.select(F.array_join("itemset", sep).alias("key"), "support")
-    big = itemsets.where(F.col("size") >= 2)
-    masks = F.sequence(F.lit(1), F.pow(F.lit(2), F.col("size")).cast("int") - 2)
-    splits = big.select("itemset", "count", F.col("support").alias("support"), F.explode(masks).alias("mask"))
-    def pick(bit):
-        return F.filter("itemset", lambda x, i: (F.col("mask").bitwiseAND(F.pow(F.lit(2), i).cast("long")) != 0)
-                        == F.lit(bit == 1))
-    splits = splits.select("itemset", "count", "support", pick(1).alias("antecedents"), pick(0).alias("consequents"))
-    a = lookup.select(F.col("key").alias("a_key"), F.col("support").alias("antecedent_support"))
-    c = lookup.select(F.col("key").alias("c_key"), F.col("support").alias("consequent_support"))
-    r = (splits.withColumn("a_key", F.array_join("antecedents", sep)).withColumn("c_key", F.array_join("consequents", sep))
-         .join(a, "a_key").join(c, "c_key"))
-    conf = F.col("support") / F.col("antecedent_support")
-    r = r.withColumn("confidence", conf).withColumns({
+    of_antecedent = lookup.select(F.col("key").alias("a_key"), F.col("support").alias("antecedent_support"))
+    of_consequent = lookup.select(F.col("key").alias("c_key"), F.col("support").alias("consequent_support"))
+    largest = itemsets.agg(F.max("size")).first()[0] or 0
+    # ``picked``: the places of the consequent in the itemset, in order.
+    level = itemsets.where("size >= 2").select("itemset", "size", "count", "support", F.array().cast("array<int>").alias("picked"))
+    levels = []
+    for n in range(1, largest):
+        after = F.coalesce(F.try_element_at("picked", F.lit(-1)) + 1, F.lit(0))
+        grown = level.where((F.col("size") > n) & (after < F.col("size"))).select(
+            "itemset", "size", "count", "support", F.col("picked").alias("before"), F.explode(F.sequence(after, F.col("size") - 1)).alias("p"))
+        grown = grown.withColumn("picked", F.concat("before", F.array("p"))).drop("before", "p")
+        chosen = F.filter("itemset", lambda _, i: ~F.array_contains("picked", i))
+        grown = grown.withColumn("a_key", F.array_join(chosen, sep)).join(of_antecedent, "a_key").drop("a_key")
+        grown = grown.withColumn("confidence", F.col("support") / F.col("antecedent_support"))
+        if min_confidence is not None:
+            grown = grown.where(F.col("confidence") >= F.lit(min_confidence))
+        level = materialise(grown, "rules")
+        if level.isEmpty():
+            break
+        levels.append(level)
+        level = level.drop("antecedent_support", "confidence")
+    if not levels:
+        levels = [level.select("itemset", "size", "count", "support", "picked", F.col("support").alias("antecedent_support"),
+                               F.col("support").alias("confidence")).limit(0)]
+    r = levels[0]
+    for more in levels[1:]:
+        r = r.unionByName(more)
+    r = r.withColumns({"antecedents": F.filter("itemset", lambda _, i: ~F.array_contains("picked", i)),
+                       "consequents": F.filter("itemset", lambda _, i: F.array_contains("picked", i))})
+    r = r.withColumn("c_key", F.array_join("consequents", sep)).join(of_consequent, "c_key").withColumns({
         "lift": F.col("confidence") / F.col("consequent_support"),
         "leverage": F.col("support") - F.col("antecedent_support") * F.col("consequent_support"),
         "conviction": F.when(F.col("confidence") < 1.0,

@@ -33,11 +33,11 @@ def itemsets_sql(attrs, target=None) -> str:
                                            if target else [])
     where_t = f" AND (GROUPING({target}) = 1 OR {target})" if target else ""
     sel = ", ".join(f"{S.driver(a)} AS {a}" for a in attrs) + (f", {target}" if target else "")
-    return f"""d5 AS (SELECT {sel} FROM norm),
+    return f"""d5 AS MATERIALIZED (SELECT {sel} FROM norm),
   t5 AS (SELECT count(*) AS total FROM d5),
   c5 AS (SELECT list_sort(list_filter([{', '.join(toks)}], lambda x: x IS NOT NULL)) AS itemset, count(*) AS count
     FROM d5 GROUP BY CUBE ({', '.join(cols)}) HAVING true{where_t}),
-  fi AS (SELECT itemset, CAST(len(itemset) AS BIGINT) AS size, count, CAST(count AS DOUBLE) / total AS support
+  fi AS MATERIALIZED (SELECT itemset, array_to_string(itemset, chr(1)) AS ik, CAST(len(itemset) AS BIGINT) AS size, count, CAST(count AS DOUBLE) / total AS support
     FROM c5, t5 WHERE len(itemset) > 0 AND CAST(count AS DOUBLE) / total >= 0.02)"""
 
 
@@ -46,20 +46,20 @@ FI5 = f"{NORM}, {itemsets_sql(ATTRS5)}"
 
 @register("frequent_itemsets", f"""{FI5} SELECT array_to_string(itemset, ' & ') AS itemset, size, count, support FROM fi""")
 def q_itemsets(spark, sf_dir):
-    """Every token set with support >= 2 % over five attributes (one CUBE)."""
+    """Every token set with support >= 2 % over five attributes, level by level."""
     return itemsets5(spark, sf_dir).select(F.array_join("itemset", " & ").alias("itemset"), "size", "count", "support")
 
 
 def rules_sql(fi_cte: str) -> str:
     return f"""{fi_cte},
-  sp AS (SELECT itemset, count, support, m FROM fi, range(1, CAST(pow(2, len(itemset)) AS BIGINT) - 1) AS g(m)
+  sp AS MATERIALIZED (SELECT itemset, count, support, m FROM fi, range(1, CAST(pow(2, len(itemset)) AS BIGINT) - 1) AS g(m)
     WHERE len(itemset) >= 2),
-  sp2 AS (SELECT itemset, count, support,
-    list_filter(itemset, lambda x, i: ((m >> (i - 1)) & 1) = 1) AS antecedents,
-    list_filter(itemset, lambda x, i: ((m >> (i - 1)) & 1) = 0) AS consequents FROM sp),
-  ar AS (SELECT sp2.antecedents, sp2.consequents, a.support AS antecedent_support, c.support AS consequent_support,
+  sp2 AS MATERIALIZED (SELECT *, array_to_string(antecedents, chr(1)) AS ak, array_to_string(consequents, chr(1)) AS ck FROM (
+    SELECT itemset, count, support, list_filter(itemset, lambda x, i: ((m >> (i - 1)) & 1) = 1) AS antecedents,
+    list_filter(itemset, lambda x, i: ((m >> (i - 1)) & 1) = 0) AS consequents FROM sp)),
+  ar AS MATERIALIZED (SELECT sp2.antecedents, sp2.consequents, a.support AS antecedent_support, c.support AS consequent_support,
     sp2.support, sp2.count, sp2.support / a.support AS confidence
-    FROM sp2 JOIN fi a ON a.itemset = sp2.antecedents JOIN fi c ON c.itemset = sp2.consequents),
+    FROM sp2 JOIN fi a ON a.ik = ak JOIN fi c ON c.ik = ck),
   ar2 AS (SELECT *, confidence / consequent_support AS lift,
     support - antecedent_support * consequent_support AS leverage,
     CASE WHEN confidence < 1.0 THEN (1.0 - consequent_support) / (1.0 - confidence) ELSE 'inf'::DOUBLE END AS conviction
@@ -112,8 +112,7 @@ STRONG_WHERE = """lift >= 1.0 AND confidence >= 0.6 AND lift >= 1.5 AND count >=
 @register("filter_strong_rules", f"{RULES5} SELECT {AR_COLS} FROM ar2 WHERE {STRONG_WHERE}")
 def q_strong(spark, sf_dir):
     """confidence >= 0.6, lift >= 1.5, >= 10 rows, a risk-level consequent."""
-    r = rules.association_rules(itemsets5(spark, sf_dir), "lift", 1.0)
-    return _flat_rules(rules.filter_strong_rules(r))
+    return _flat_rules(rules.filter_strong_rules(strong_rules(spark, sf_dir)))
 
 
 def _pretty_list(lst: str) -> str:
@@ -139,7 +138,8 @@ STRONG_SENT = f"""{RULES5}, ss AS (SELECT *, {SENTENCE_SQL} AS sentence,
 
 
 def strong_rules(spark, sf_dir):
-    return rules.association_rules(itemsets5(spark, sf_dir), "lift", 1.0)
+    """Rules that may be strong: consequents are grown only while the confidence that strong rules need is held."""
+    return rules.association_rules(itemsets5(spark, sf_dir), "lift", 1.0, min_confidence=0.6)
 
 
 @register("strong_rule_narratives", f"""{STRONG_SENT} SELECT array_to_string(antecedents, ' & ') AS antecedents,
