@@ -88,6 +88,7 @@ def map_texts(docs: DataFrame, text_col: str, fields: str, factory: Callable[[],
                         yield pa.RecordBatch.from_arrays([*rows.columns, *cols], names=[*rows.schema.names, *names])
                     start, held = i, 0
                 held += size
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(work, StructType([*docs.schema.fields, *new.fields]))
 
@@ -103,12 +104,13 @@ def bounded_sample(rows: DataFrame, key: Column, n: int) -> DataFrame:
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, n: int,
                     max_chars: int) -> list[tuple[str, int]]:
     """At most ``n`` labelled texts of at most ``max_chars`` characters, with their labels (0 or 1),
-    ordered by id. The labels are sampled first, so only ``n`` rows are broadcast and no text is
-    shuffled. A document with both labels counts as 1."""
+    ordered by id. The labels are sampled first, so only ``n`` rows are broadcast and of each id
+    only its smallest text is kept. A document with both labels counts as 1."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")) \
         .where(F.col("_id").isNotNull() & F.col("_label").isin(0, 1))
     some = bounded_sample(known, F.col("_id"), n).groupBy("_id").agg(F.max("_label").alias("_label"))
     rows = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")) \
         .where(F.length("_text") <= max_chars).join(F.broadcast(some), F.col("_doc") == F.col("_id"))
-    found = sorted((r._id, r._text, r._label) for r in rows.select("_id", "_text", "_label").collect())
+    rows = rows.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label"))
+    found = sorted((r._id, r._text, r._label) for r in rows.collect())
     return [(t, y) for _, t, y in found]

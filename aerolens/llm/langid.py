@@ -162,8 +162,9 @@ def viterbi(scores: np.ndarray, ends: np.ndarray, penalty: float = SWITCH_PENALT
     order = order[size[order] > 0]
     first, long = starts[order], size[order]
     n, k = scores.shape
-    state = np.zeros(n, np.int8)
-    best, jump = np.zeros(n, np.int8), np.zeros((n, k), bool)
+    kind = np.int8 if k < 1 << 7 else np.int16 if k < 1 << 15 else np.int32
+    state = np.zeros(n, kind)
+    best, jump = np.zeros(n, kind), np.zeros((n, k), bool)
     total = np.zeros((len(order), k))
     active = np.searchsorted(-long, -np.arange(1, (long[0] if len(long) else 0) + 1), side="right")
     step = int((active >= FEW).sum())
@@ -176,7 +177,7 @@ def viterbi(scores: np.ndarray, ends: np.ndarray, penalty: float = SWITCH_PENALT
             best[at], jump[at] = b, m[:, None] > d
             d = np.maximum(d, m[:, None])
         total[:a] = d + scores[at]
-    last = np.zeros(len(order), np.int8)
+    last = np.zeros(len(order), kind)
     for i in range(len(order)):  # the few long ones: their tails
         if long[i] <= step:
             break

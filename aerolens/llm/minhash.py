@@ -11,8 +11,8 @@ each pair (one from either) is the key of one of ``BANDS`` ** 2 tables. So 72
 min-hashes give 144 tables of six: at similarity 0.8 a pair shares no table
 with a chance of 0.0004, at 0.9 of 3e-7.
 
-1. Equal sets are collapsed to one class, which stands for the smallest id in it and goes by
-   a hash of one of its rows, so texts are read by row, however many share an id.
+1. Equal sets are collapsed to one class, which goes by a number of its own and is read by
+   one of its rows (found by two 64-bit hashes), however many rows share an id.
 2. In each table bucket, every class is paired with the bucket's smallest (a
    star, never all pairs), and pairs are confirmed on their full sets.
 3. Components of the confirmed links.
@@ -25,14 +25,15 @@ Nothing is capped, and nothing that follows the corpus reaches the driver.
 
 Defined results: a text that is null or has no words has an empty set (0
 shingles) and is linked with nothing; rows that share an id are one document,
-linked to whatever any of them is linked to; a null id counts as the smallest
-and is returned as null.
+linked to whatever any of them is linked to (``near_duplicates``); a null id counts
+as the smallest and is returned as null. ``representatives`` looks at texts alone:
+there rows that share an id, null or not, have nothing to do with each other.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aerolens.session import scratch_path
 
@@ -41,9 +42,9 @@ from .common import bound_batches, map_texts
 WIDTH, PERCENT = 5, 80
 BANDS, ROWS = 12, 3
 SEED = 20
-#: Ids sent to all tasks to pick their texts (8 bytes each); above, the texts are joined by shuffle.
+#: Rows named to all tasks to pick their texts (24 bytes each); above, the texts are joined by shuffle.
 MAX_BROADCAST_IDS = 1_000_000
-MEMO = 500_000
+MEMO = 200_000
 _NULL_ID = -(1 << 63)
 
 
@@ -88,7 +89,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(id, row, n, k1, k2, a, b) a row: set size, a 128-bit name of the set, the two collections."""
+    """(id, r1, r2, n, k1, k2, a, b) a row: set size, a 128-bit name of the set, the two collections."""
     def factory():
         shingle = Shingler(width)
         rng = np.random.default_rng(SEED)
@@ -133,19 +134,20 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, texts): the distinct texts of the documents whose ``id`` is in ``ids`` (distinct)."""
-    side = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
-    return docs.join(side, "id", "left_semi").groupBy("id").agg(F.collect_set("text").alias("texts"))
+def _texts(docs: DataFrame, reps: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, texts): one text of each class in ``reps`` (id, distinct), as an array; ``docs``: (r1, r2, text)."""
+    side = _written(classes.select(F.col("rep").alias("id"), "r1", "r2").join(reps, "id"), "near-rows")
+    side = F.broadcast(side) if side.count() <= MAX_BROADCAST_IDS else side
+    return docs.join(side, ["r1", "r2"]).groupBy("id").agg(F.collect_set("text").alias("texts"))
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those (a, b) of ``pairs`` with a text of a and one of b similar enough, on their full sets."""
     import pyarrow as pa
 
     bound_batches(docs.sparkSession)
     ids = _written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
-    texts = _texts(docs, ids)
+    texts = _texts(docs, ids, classes)
     both = (pairs.join(texts.select(F.col("id").alias("a"), F.col("texts").alias("ta")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("texts").alias("tb")), "b").select("a", "b", "ta", "tb"))
 
@@ -191,7 +193,7 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes
 
 
-def open_pairs(docs: DataFrame, stars: DataFrame, comp: DataFrame, width: int, percent: int) -> DataFrame:
+def open_pairs(docs: DataFrame, classes: DataFrame, stars: DataFrame, comp: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b): pairs that may be linked although in different components, among all members of the
     buckets that hold an unconfirmed pair across components. Prefix, size and position filters."""
     c = comp.select("id", "component")
@@ -204,7 +206,7 @@ def open_pairs(docs: DataFrame, stars: DataFrame, comp: DataFrame, width: int, p
     def factory():
         shingle = Shingler(width)
         return lambda texts: [[s.view(np.int64).tolist() for s in map(shingle, texts)]]
-    texts = _texts(docs, some).select("id", F.posexplode("texts").alias("part", "text"))
+    texts = _texts(docs, some, classes).select("id", F.posexplode("texts").alias("part", "text"))
     sets = map_texts(texts, "text", "tokens array<bigint>", factory).select("id", "part", "tokens")
     sets = _written(sets.join(c, "id", "left").withColumn("component", F.coalesce("component", "id")), "near-sets")
     tokens = sets.select("id", "part", "component", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
@@ -222,38 +224,70 @@ def open_pairs(docs: DataFrame, stars: DataFrame, comp: DataFrame, width: int, p
     return x.join(y, "token").where(allowed).select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
-                    percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, component, kept) for every row: kept where the id is its component's smallest."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    row = F.xxhash64("id", "text")
-    sig = _written(signatures(rows.withColumn("row", row), width), "near-signatures")
-    texts = rows.select(row.alias("id"), "text")
-    least = F.min(F.struct("id", "row")).alias("least")
-    classes = _written(sig.where("n > 0").groupBy("k1", "k2").agg(least, F.first("a").alias("a"), F.first("b").alias("b"))
-                       .select("k1", "k2", F.col("least.id").alias("first"), F.col("least.row").alias("rep"), "a", "b"), "near-classes")
+def _classes(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows as (r1, r2, text); their signatures; and (k1, k2, rep, first, r1, r2, rows, a, b) a class of equal sets: its
+    number, smallest id, the row that stands for it and how many rows are equal to that one."""
+    rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(_NULL_ID)).alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    rows = rows.withColumns(row_name(F.col("id"), F.col("text")))
+    sig = _written(signatures(rows, width), "near-signatures")
+    least = F.min(F.struct("id", "r1", "r2")).alias("least")
+    classes = sig.where("n > 0").groupBy("k1", "k2").agg(least, F.first("a").alias("a"), F.first("b").alias("b"))
+    # The numbers are those of the written table, so they are read alike from then on.
+    classes = _written(classes.select("k1", "k2", F.monotonically_increasing_id().alias("rep"), F.col("least.id").alias("first"),
+                                      F.col("least.r1").alias("r1"), F.col("least.r2").alias("r2"), "a", "b"), "near-classes")
+    return rows.select("r1", "r2", "text"), sig, classes
+
+
+def row_name(doc_id: Column, text: Column) -> dict[str, Column]:
+    """Two hashes that tell rows with other ids or texts apart."""
+    return {"r1": F.xxhash64(doc_id, text), "r2": F.xxhash64(text, doc_id, F.lit(1))}
+
+
+def _linked_classes(texts: DataFrame, classes: DataFrame, ties: DataFrame | None, width: int, percent: int) -> DataFrame:
+    """(rep, component): every class and the number of its component."""
     keys = table_keys(classes)
     lead = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").drop("last")
     stars = _written(keys.join(lead, "key").where("rep <> lead").select("rep", "lead").distinct(), "near-stars")
-    named = sig.join(classes.select("k1", "k2", "first"), ["k1", "k2"], "left").select("id", "n", F.coalesce("first", "id").alias("rep"))
-    named = _written(named, "near-named")
-    # An id whose rows fall into several classes ties those together.
-    many = named.where("n > 0").groupBy("id").agg(F.count_distinct("rep").alias("k")).where("k > 1").select("id")
-    ties = named.where("n > 0").join(many, "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-
-    def confirmed(pairs):
-        found = confirm(texts, pairs, width, percent)
-        for side in ("a", "b"):
-            found = found.join(classes.select(F.col("rep").alias(side), F.col("first").alias(f"_{side}")), side)
-        return found.select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-    links = _written(confirmed(stars.select(F.col("rep").alias("a"), F.col("lead").alias("b"))).unionByName(ties), "near-links")
-    comp = components(links)
-    by_class = _written(classes.select("rep", F.col("first").alias("id")).join(comp, "id", "left")
-                        .select(F.col("rep").alias("id"), F.coalesce("component", "id").alias("component")), "near-class-components")
-    more = _written(confirmed(_written(open_pairs(texts, stars, by_class, width, percent), "near-open-pairs")), "near-more-links")
+    links = confirm(texts, classes, stars.select(F.col("rep").alias("a"), F.col("lead").alias("b")), width, percent)
+    links = _written(links if ties is None else links.unionByName(ties), "near-links")
+
+    def of_class(comp):
+        return _written(classes.select(F.col("rep").alias("id")).join(comp, "id", "left")
+                        .select("id", F.coalesce("component", "id").alias("component")), "near-class-components")
+    comp = of_class(components(links))
+    more = _written(confirm(texts, classes, _written(open_pairs(texts, classes, stars, comp, width, percent), "near-open-pairs"), width, percent), "near-more-links")
     if not more.isEmpty():
-        comp = components(links.unionByName(more))
-    found = named.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    real = {c: F.when(F.col(c) != _NULL_ID, F.col(c)) for c in ("id", "component")}
-    return found.select(real["id"].alias("id"), F.col("n").alias("n_shingles"), real["component"].alias("component"),
-                        (F.col("id") == F.col("component")).alias("kept"))
+        comp = of_class(components(links.unionByName(more)))
+    return comp.withColumnRenamed("id", "rep")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
+                    percent: int = PERCENT) -> DataFrame:
+    """(id, n_shingles, component, kept) for every row: kept where the id is its component's smallest."""
+    texts, sig, classes = _classes(docs, id_col, text_col, width)
+    named = _written(sig.join(classes.select("k1", "k2", "rep"), ["k1", "k2"], "left").select("id", "n", "rep"), "near-named")
+    # An id whose rows fall into several classes ties those together.
+    spread = named.where("rep IS NOT NULL").groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
+    ties = named.join(spread, "id").where("rep > low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
+    comp = _linked_classes(texts, classes, ties, width, percent)
+    comp = comp.join(classes.select("rep", "first"), "rep")
+    least = comp.groupBy("component").agg(F.min("first").alias("least"))
+    by_class = _written(comp.join(least, "component").select("rep", "least"), "near-least")
+    some = named.join(by_class, "rep").select("id", "n", "least")
+    # Rows without words: their id may have other rows.
+    none = named.where("rep IS NULL").select("id", "n")
+    other = some.join(none.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("least").alias("least"))
+    none = none.join(other, "id", "left").select("id", "n", F.coalesce("least", "id").alias("least"))
+    real = {c: F.when(F.col(c) != _NULL_ID, F.col(c)) for c in ("id", "least")}
+    return some.unionByName(none).select(real["id"].alias("id"), F.col("n").alias("n_shingles"), real["least"].alias("component"),
+                                         (F.col("id") == F.col("least")).alias("kept"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(r1, r2, rows): the name (``row_name``) of the one row that stands for each group of near-duplicate texts, and how many rows have
+    that name, being equal in id and text. It is the row with the group's smallest id. Rows without words stand for themselves."""
+    texts, sig, classes = _classes(docs, id_col, text_col, width)
+    comp = _linked_classes(texts, classes, None, width, percent).join(classes.select("rep", "first", "r1", "r2"), "rep")
+    best = comp.groupBy("component").agg(F.min(F.struct("first", "r1", "r2")).alias("best")).select("best.r1", "best.r2")
+    equal = sig.join(best, ["r1", "r2"], "left_semi").groupBy("r1", "r2").agg(F.count("*").alias("rows"))
+    return equal.unionByName(sig.where("n = 0").groupBy("r1", "r2").agg(F.lit(1).cast("bigint").alias("rows")))

@@ -108,6 +108,11 @@ def _before(sizes: Column, block: int = 256) -> Column:
     return F.when(F.size(sizes) > 0, whole).otherwise(F.array().cast("array<int>"))
 
 
+def _last(text: Column, n: int) -> Column:
+    """The last ``n`` characters."""
+    return text.substr(F.lit(-n), F.lit(n))
+
+
 def _spans(text: Column, kind: Kind) -> Column:
     """Confirmed spans of one kind: array of (kind, start, end, score)."""
     def build(m: Column) -> Column:
@@ -115,10 +120,19 @@ def _spans(text: Column, kind: Kind) -> Column:
 
     def place(m: Column, p: Column) -> Column:
         lead = F.transform(m, lambda v, i: F.length(p[i]) + F.length(v))
-        return let(_before(lead), lambda at: F.transform(m, lambda v, i: one(v, at[i] + F.length(p[i]), p[i], p[i + 1])))
-
-    def one(v: Column, start: Column, before: Column, after: Column) -> Column:
-        near = F.lower(F.concat(before.substr(F.lit(-BEFORE), F.lit(BEFORE)), F.lit(" "), after.substr(1, AFTER)))
+        # The ends of what stands before each proposal's end, and the beginnings from each proposal's end on: a proposal has
+        # two characters or more, so so many neighbours hold all that a window can show, wherever other proposals stand.
+        backs = F.transform(m, lambda v, i: _last(F.concat(p[i], v), BEFORE))
+        fronts = F.transform(p, lambda x, i: F.concat(x, F.coalesce(F.get(m, i), F.lit(""))).substr(1, AFTER))
+
+        def window(i: Column, backs: Column, fronts: Column) -> Column:
+            first = F.greatest(i - BEFORE // 2, F.lit(0))
+            before = _last(F.concat(F.array_join(F.slice(backs, first + 1, i - first), ""), p[i]), BEFORE)
+            return F.lower(F.concat(before, F.lit(" "), F.array_join(F.slice(fronts, i + 2, F.lit(AFTER // 2 + 1)), "").substr(1, AFTER)))
+        return let(backs, lambda bs: let(fronts, lambda fs: let(_before(lead), lambda at: F.transform(
+            m, lambda v, i: one(v, at[i] + F.length(p[i]), window(i, bs, fs))))))
+
+    def one(v: Column, start: Column, near: Column) -> Column:
         score = F.lit(kind.score) + F.when(near.rlike(kind.context), CONTEXT_BONUS).otherwise(0.0)
         return F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), (start + F.length(v)).alias("end"),
                         F.least(score, F.lit(1.0)).alias("score"), _holds(kind, v).alias("ok"))

@@ -84,12 +84,12 @@ def _pii_sql() -> str:
     parts = []
     for n, k in enumerate(pii.KINDS):
         parts.append(f"""k{n} AS (SELECT rid, {n} AS kn, '{k.name}' AS kind, {str(k.base).lower()} AS base, m[i] AS v,
-    (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::BIGINT AS s,
-    least({k.score} + CASE WHEN regexp_matches(lower(right(p[i], {pii.BEFORE}) || ' ' || left(p[i+1], {pii.AFTER})), '{k.context}')
-      THEN {pii.CONTEXT_BONUS} ELSE 0.0 END, 1.0)::DOUBLE AS score
-  FROM (SELECT rid, m, p, unnest(range(1, len(m) + 1)) AS i FROM (SELECT rid, regexp_extract_all(t, '{k.plain}') AS m,
+    (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::BIGINT AS s
+    FROM (SELECT rid, m, p, unnest(range(1, len(m) + 1)) AS i FROM (SELECT rid, regexp_extract_all(t, '{k.plain}') AS m,
     string_split_regex(t, '{k.plain}') AS p FROM d))),
-c{n} AS (SELECT rid, kn, kind, base, s, s + length(v) AS e FROM k{n} WHERE ({_pii_check_sql(k)}) AND (base OR score >= {pii.THRESHOLD}))""")
+c{n} AS (SELECT rid, kn, kind, base, s, s + length(v) AS e FROM k{n} JOIN d USING (rid) WHERE ({_pii_check_sql(k)}) AND (base OR
+    least({k.score} + CASE WHEN regexp_matches(lower(right(left(t, s), {pii.BEFORE}) || ' ' || substr(t, s + length(v) + 1, {pii.AFTER})), '{k.context}')
+      THEN {pii.CONTEXT_BONUS} ELSE 0.0 END, 1.0) >= {pii.THRESHOLD}))""")
     every = " UNION ALL ".join(f"SELECT * FROM c{n}" for n in range(len(pii.KINDS)))
     counts = ", ".join(f"count(*) FILTER (kind = '{k.name}') AS n_{k.name}" for k in pii.KINDS if k.base)
     zero = ", ".join(f"coalesce(n_{k.name}, 0)::BIGINT AS n_{k.name}" for k in pii.KINDS if k.base)
@@ -181,7 +181,7 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DO
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
       AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
 p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
-    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
 FROM p QUALIFY rank <= 10""")
 def op10_topk(spark, sf_dir):

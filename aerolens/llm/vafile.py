@@ -46,16 +46,12 @@ def _matrix(column, width: int, kind) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, width)
 
 
-def build(vectors: DataFrame, id_col: str, vector: Column) -> tuple[DataFrame, DataFrame, np.ndarray, np.ndarray]:
-    """Write and read back the exact vectors (id, v) and their cells (id, cells); the
-    cells' lowest value and width by dimension come with them."""
+def build(rows: DataFrame, width: int) -> tuple[DataFrame, DataFrame, np.ndarray, np.ndarray]:
+    """Write and read back the exact vectors (id, v) of ``rows`` with ``width`` components and their cells
+    (id, cells); the cells' lowest value and width by dimension come with them."""
     import pyarrow as pa
 
-    spark = vectors.sparkSession
-    bound_batches(spark)
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), vector.alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
-    widths = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), F.desc("w")).limit(1).collect()
-    width = widths[0].w if widths else 1
+    spark = rows.sparkSession
     exact_path, cell_path = scratch_path(spark, "va-exact"), scratch_path(spark, "va-cells")
     rows.where(F.size("v") == width).groupBy("id").agg(F.max("v").alias("v")).write.parquet(exact_path)
     exact = spark.read.parquet(exact_path)
@@ -112,9 +108,22 @@ def scan(cells: DataFrame, queries: DataFrame, low: np.ndarray, step: np.ndarray
 
 def top_k(vectors: DataFrame, id_col: str, vector: Column, is_query: Column, k: int = 10) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` best others of every vector whose ``id`` satisfies
-    ``is_query``, a condition on the column ``id``."""
-    spark = vectors.sparkSession
-    exact, cells, low, step = build(vectors, id_col, vector)
+    ``is_query``, a condition on the column ``id``. Vectors are compared with those of their own
+    width: each width that some query has is a search of its own."""
+    bound_batches(vectors.sparkSession)
+    rows = vectors.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), vector.alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
+    # The widths of the queries' vectors: one for each model that made vectors of the table.
+    widths = sorted(r.w for r in rows.where(is_query).select(F.size("v").alias("w")).distinct().collect())
+    found = [_search(rows, w, is_query, k) for w in widths or [1]]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _search(rows: DataFrame, width: int, is_query: Column, k: int) -> DataFrame:
+    spark = rows.sparkSession
+    exact, cells, low, step = build(rows, width)
     queries = exact.where(is_query)
     by_query = Window.partitionBy("query_id")
     nth = F.row_number().over(by_query.orderBy(F.desc("lo"), "id"))

@@ -70,7 +70,7 @@ def odd_dir(spark, odd_rows, tmp_path_factory):
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").withColumn("text", F.lit("clash")).write.parquet(f"{path}/labels.parquet")
     vectors = [(i, [float((i * j) % 7 - 3) / 4 for j in range(6)], 0) for i in range(0, 300, 5)]
     vectors += [(1000, None, 0), (1001, [0.5, None, 0.1, 0.1, 0.1, 0.1], 0), (1002, [float("nan")] * 6, 0), (1003, [float("inf")] * 6, 0),
-                (None, [0.1] * 6, 0), (1100, [0.25] * 6, 0), (1100, [0.25] * 6, 0), (1200, [0.1] * 3, 0), (1201, [], 0)]
+                (None, [0.1] * 6, 0), (1100, [0.25] * 6, 0), (1100, [0.25] * 6, 0), (1200, [0.1] * 3, 0), (1201, [], 0), (1202, [0.2, 0.3, -0.4], 0), (1301, [0.5, 0.5, 0.5], 0)]
     spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, label int").withColumn("id", F.lit(1)).write.parquet(f"{path}/embeddings.parquet")
     spark.createDataFrame(make_turns(), TURNS).withColumns({c: F.lit("x") for c in ("conv", "key", "first", "copies", "present", "fault", "copy", "seen")}) \
         .repartition(3).write.parquet(f"{path}/conversations.parquet")

@@ -164,3 +164,21 @@ def test_bpe_query(spark, odd_dir, odd_rows, library):
 @pytest.mark.parametrize("name", ["op2_langid", "op3_quality", "op6_toxicity", "op7_bpe"])
 def test_empty_table(spark, empty_dir, name):
     assert QUERIES[name](spark, empty_dir).collect() == []
+
+
+def test_viterbi_with_more_languages_than_a_byte_holds():
+    rng = np.random.default_rng(3)
+    scores = rng.normal(size=(60, 300))
+    scores[10:25, 277] += 30
+    state = langid.viterbi(scores, np.array([40, 60]))
+    assert state[10:25].tolist() == [277] * 15 and state.min() >= 0
+    for a, b in ((0, 40), (40, 60)):
+        assert state[a:b].tolist() == py_viterbi(scores[a:b].tolist(), langid.SWITCH_PENALTY)
+
+
+def test_sampled_labels_take_one_text_an_id(spark):
+    from aerolens.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "b"), (3, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1)], "doc_id bigint, y int")
+    assert labelled_sample(docs, labels, "doc_id", "text", "y", 10, 100) == [("text 0", 1), ("b", 0), ("", 1)]

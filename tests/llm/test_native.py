@@ -176,3 +176,16 @@ def test_native_plans_hold_no_python(spark, odd_dir):
     for name in ("op1_fingerprints", "op9_pii"):
         plan = QUERIES[name](spark, odd_dir)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_one_context_word_serves_a_list_of_numbers(spark):
+    """Windows are of the whole text: other proposals in between do not cut them off."""
+    texts = ["call 555-123-4567 or 555-765-4321", "Visa valid 10/27, number 4222222222222", "555-123-4567, 555-765-4321 by phone",
+             "12 34 call 1 2 3 4 5 6 7 555-123-4567", "555-123-4567 " + "x" * 60 + " call", "call " + "7 " * 30 + ". 555-123-4567"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    from tests.llm.test_pipeline import py_spans
+
+    for r in pii.find_spans(d).collect():
+        got = sorted((s.start, s.end, [k.name for k in pii.KINDS].index(s.kind)) for s in r.spans)
+        assert got == py_spans(r.text), r.text
+    assert [len(r.spans) for r in pii.find_spans(d).orderBy("doc_id").collect()][:3] == [2, 1, 2]
