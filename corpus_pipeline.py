@@ -7,8 +7,9 @@ further columns the table has).
 
 1. ``language``: texts without any letter, and texts of which no language holds
    ``LEAST_SHARE`` of the letters, are rejected.
-2. ``near_duplicates``: one document of each group of near-duplicates stays,
-   the one with the smallest id (rows that repeat that id: the smallest text).
+2. ``near_duplicates``: one document of each group of near-duplicate texts stays,
+   the one with the smallest id (a null id counts as smaller than all). Rows that share an id, null or
+   not, are documents of their own unless their texts are near each other.
 3. ``personal_data``: confirmed spans are replaced by their kind; the row's
    ``n_chars`` follows the new text.
 4. ``mixing``: documents are taken to the target weights of their sources. A row
@@ -36,30 +37,34 @@ LEAST_SHARE = 0.4
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    labelled = langid.label(docs, model, lang_col="_lang_pred", score_col="_lang_score", spans_col="_lang_spans")
-    return labelled.where((F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_lang_score") >= LEAST_SHARE)).select(*_plain(docs))
+    labelled = langid.label(_packed(docs, "text"), model)
+    return labelled.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_SHARE)).select(*_unpacked(docs, text=F.col("text")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = minhash.near_duplicates(docs.select("doc_id", "text"))
-    kept = found.where("kept").groupBy(F.col("id").alias("_kept_id")).agg(F.count("*").alias("_rows"))
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")))
-    single = rows.where("_rows = 1").select(*_plain(docs))
-    first = F.row_number().over(Window.partitionBy("_kept_id").orderBy(*[F.col(c).asc_nulls_last() for c in ("text", "source", "lang", "n_chars")]))
-    repeated = rows.where("_rows > 1").withColumn("_first", first).where("_first = 1").select(*_plain(docs))
+    kept = minhash.representatives(docs.select("doc_id", "text"))
+    named = _packed(docs, "text", "doc_id").withColumns(minhash.row_name(
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(minhash._NULL_ID)), F.coalesce("text", F.lit(""))))
+    rows = named.join(kept, ["r1", "r2"])
+    single = rows.where("rows = 1").select(*_unpacked(docs, text=F.col("text")))
+    # Rows equal in id and text: one of them.
+    order = [F.col(f"doc.{c}").asc_nulls_last() for c in ("source", "lang", "n_chars")]
+    first = F.row_number().over(Window.partitionBy("r1", "r2").orderBy(*order))
+    repeated = rows.where("rows > 1").withColumn("first", first).where("first = 1").select(*_unpacked(docs, text=F.col("text")))
     return single.unionByName(repeated)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    masked = docs.withColumn("text", pii.mask(F.col("text")))
-    return masked.withColumn("n_chars", F.coalesce(F.length("text").cast(dict(docs.dtypes)["n_chars"]), F.col("n_chars"))).select(*_plain(docs))
+    masked = _packed(docs, "text").withColumn("text", pii.mask(F.col("text")))
+    size = F.coalesce(F.length("text").cast(dict(docs.dtypes)["n_chars"]), F.col("doc.n_chars"))
+    return masked.select(*_unpacked(docs, text=F.col("text"), n_chars=size))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = mixing.prepare(docs, F.col("doc_id"), F.col("text"), F.array("source"))
-    found = mixing.taken(rows, mixing.plan_mix(rows), out="_taken")
-    copies = F.round(F.col("_taken") / F.col("_mix.size")).cast("int")
-    return found.where(F.col("_mix.size") > 0).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*_plain(docs))
+    rows = mixing.prepare(_packed(docs, "doc_id", "text", "source"), F.col("doc_id"), F.col("text"), F.array("source"))
+    found = mixing.taken(rows, mixing.plan_mix(rows))
+    copies = F.round(F.col("taken") / F.col("_mix.size")).cast("int")
+    return found.where(F.col("_mix.size") > 0).withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*_unpacked(docs, text=F.col("text")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,8 +72,14 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encoded.withColumn("n_tokens", F.size("token_ids").cast("bigint"))
 
 
-def _plain(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
+def _packed(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns ``used`` and all but the text in one column ``doc``, so no column of the table meets an operator's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("doc"), *used)
+
+
+def _unpacked(docs: DataFrame, **new) -> list:
+    """The columns of ``docs`` as ``_packed`` has them, but for those in ``new``."""
+    return [(new[c] if c in new else F.col("doc").getField(c)).alias(c) for c in docs.columns]
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("personal_data", personal_data),
