@@ -8,7 +8,8 @@ Overlapping occurrences count, and all strings are judged on the input.
    among its ``GRAM``-byte grams (leftmost of equals), so equal windows have
    equal anchors at equal places. Neighbouring windows with one anchor form a
    run; the bytes of a run's windows are its context.
-2. Only anchors that occur at least twice in the corpus go on. Of runs with the
+2. Only anchors that occur at least twice in the corpus go on; a bitmap of fixed size
+   keeps most other runs from being hashed and shuffled. Of runs with the
    same context, all but the first are repeated throughout; that is settled
    in the block where they meet, or by (anchor, context) hash.
 3. The distinct contexts of an anchor may still share windows. They are dealt by
@@ -43,7 +44,10 @@ SHARD_BYTES = 1 << 20
 HOT = 1000
 CLASS = 14
 #: Bytes that are scanned for anchors at once; a longer text is scanned in pieces.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
+#: Bits of an anchor that the bitmap of repeated anchors tells apart (2^28 bits, 32 MB, whatever the corpus): where more anchors
+#: than that are repeated, more runs pass it, to be left out by the join with the anchors themselves.
+BITMAP = 28
 #: Ids sent to all tasks to pick their texts (8 bytes each); above, they are joined by shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 _U = np.uint64
@@ -366,18 +370,34 @@ def anchor_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
 
 
-def anchor_rows(docs: DataFrame) -> DataFrame:
-    """Rows of ``_FIELDS``: the first run of each (anchor, context) in a block, and the spans of the others."""
+def anchor_bits(anchors: DataFrame) -> np.ndarray:
+    """One bit for each value of the upper ``BITMAP`` bits of an anchor, set where an anchor of the table has it."""
+    place = F.shiftrightunsigned("h", 64 - BITMAP)
+    word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+    found = anchors.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("bits")).toArrow()
+    out = np.zeros(1 << (BITMAP - 6), _U)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(_U)
+    return out
+
+
+def anchor_rows(docs: DataFrame, often: DataFrame) -> DataFrame:
+    """Rows of ``_FIELDS``: the first run of each (anchor, context) in a block, and the spans of the others; of runs whose
+    anchor is in ``often`` (h), and some others that share its bit in a bitmap of fixed size."""
     import pyarrow as pa
 
+    sent = docs.sparkSession.sparkContext.broadcast(anchor_bits(often))
+
     def work(batches):
         import xxhash
 
-        digest = xxhash.xxh3_64_intdigest
+        digest, bits = xxhash.xxh3_64_intdigest, sent.value
         for block in _blocks(batches):
-            buf, doc, first, run, place, h, at = _scan(block)
-            if not len(h):
+            buf, *runs = _scan(block)
+            spot = runs[4].view(_U) >> _U(64 - BITMAP)
+            some = np.flatnonzero(bits[(spot >> _U(6)).astype(np.int64)] >> (spot & _U(63)) & _U(1))
+            if not len(some):
                 continue
+            doc, first, run, place, h, at = (x[some] for x in runs)
             raw = buf.tobytes()
             c = np.fromiter((digest(raw[x:x + r + LENGTH]) for x, r in zip(at.tolist(), run.tolist())), _U, len(h)).view(np.int64)
             o = np.lexsort((first, doc, c, h))
@@ -541,8 +561,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bound_batches(spark)
     rows = _keyed(docs, id_col, text_col)
     scan = rows.select("doc", "text")
-    often = _written(anchor_counts(scan), "suffix-anchors").withColumn("often", F.lit(True))
-    found = anchor_rows(scan).join(often, "h", "left").where("often OR meta < 0").drop("often")
+    often = _written(anchor_counts(scan), "suffix-anchors")
+    found = anchor_rows(scan, often).join(often.withColumn("often", F.lit(True)), "h", "left").where("often OR meta < 0").drop("often")
     found = _written(found, "suffix-runs")
     settled = found.where("meta < 0").select("doc", (-1 - F.col("meta")).alias("start"), F.col("c").alias("end"))
     runs = found.where("meta >= 0").select("h", "c", "doc", F.shiftright("meta", 14).alias("first"),
