@@ -42,7 +42,7 @@ def hex_fraction(digest: Column) -> Column:
 
 
 #: Texts handed to a Python worker at once, and those it works on at once, in bytes.
-ARROW_BATCH_BYTES = 16 << 20
+ARROW_BATCH_BYTES = 4 << 20
 BLOCK_BYTES = 4 << 20
 
 
