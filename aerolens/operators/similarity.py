@@ -124,19 +124,22 @@ def _scan_topk(src: DataFrame, questions: list, k: int, settings: Settings) -> D
 
 
 def random_probes(spark: SparkSession, n: int, dim: int, seed: int = DEFAULT.seed) -> DataFrame:
-    """N seeded Gaussian unit vectors (``v / (|v| + 1e-12)``, float32), drawn in
-    sequence from one generator, as ``(probe INT, embedding ARRAY<FLOAT>)``.
+    """N seeded Gaussian unit vectors (``v / (|v| + 1e-12)``, float32) as ``(probe INT, embedding ARRAY<FLOAT>)``.
 
-    n x dim floats (40 x 1536 by default) are a parameter, not data, so they
-    are drawn on the driver: the same seed gives the same vectors anywhere.
+    Counter-based: component d of probe p is a Box-Muller draw from two numbers of the MD5 digest of
+    ``<seed>:<p>:<d>``, so any task, or SQL, draws the same vectors without those before them.
     """
-    rng = np.random.default_rng(seed)
-    rows = []
-    for i in range(n):
-        v = rng.normal(size=(dim,))
-        v = (v / (np.linalg.norm(v) + 1e-12)).astype("float32")
-        rows.append((i, v.tolist()))
-    return spark.createDataFrame(rows, "probe int, embedding array<float>")
+    def uniform(digest, start):  # the middle of one of 2^52 equal parts of (0, 1)
+        return (F.conv(F.substring(digest, start, 13), 16, 10).cast("bigint").cast("double") + 0.5) / F.lit(float(1 << 52))
+
+    def component(d):
+        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("probe").cast("string"), d.cast("string")))
+        return F.sqrt(-2.0 * F.log(uniform(digest, 1))) * F.cos(2.0 * F.lit(math.pi) * uniform(digest, 14))
+
+    rows = spark.range(n).select(F.col("id").cast("int").alias("probe"))
+    rows = rows.withColumn("v", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), component) if dim else F.array().cast("array<double>"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)) + 1e-12
+    return rows.withColumn("norm", norm).select("probe", F.transform("v", lambda x: x / F.col("norm")).cast("array<float>").alias("embedding"))
 
 
 def dedupe_first(df: DataFrame, key, order_cols: list, cols: list[str] | None = None) -> DataFrame:

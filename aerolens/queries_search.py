@@ -194,13 +194,35 @@ def q_dedupe(spark, sf_dir):
     return similarity.dedupe_first(inc, "report_number", ["vec_id"])
 
 
-@register("random_probes")
+_DRAW = "((('0x' || substr(md5('{seed}:' || p || ':' || d), {at}, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE)"
+_U1, _U2 = (_DRAW.format(seed=DEFAULT.seed, at=at) for at in (1, 14))
+RANDOM_SQL = f"""dim AS (SELECT max(len(embedding)) AS w FROM embeddings),
+  g AS (SELECT p, d, sqrt(-2.0::DOUBLE * ln({_U1})) * cos(2.0::DOUBLE * pi() * {_U2}) AS z FROM range({DEFAULT.sweep_probes}) AS a(p), dim, range(w) AS b(d)),
+  probes AS (SELECT p AS probe, list(CAST(z / norm AS FLOAT) ORDER BY d) AS embedding FROM (SELECT *, sqrt(sum(z * z) OVER (PARTITION BY p)) + 1e-12 AS norm FROM g) GROUP BY p)"""
+
+
+@register("random_probes", f"""WITH {RANDOM_SQL} SELECT probe::INT AS probe, len(embedding) AS width,
+  round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 5) AS norm, round(embedding[1]::DOUBLE, 4) AS first, round(embedding[-1]::DOUBLE, 4) AS last FROM probes""")
 def q_random_probes(spark, sf_dir):
-    """40 seeded unit vectors of the corpus width, swept over the corpus (rows only)."""
+    """40 seeded unit vectors of the corpus width: their width, norm, first and last component."""
+    dim = spark.read.parquet(f"{sf_dir}/embeddings.parquet").agg(F.max(F.size("embedding"))).first()[0]
+    v = F.col("embedding").cast("array<double>")
+    return similarity.random_probes(spark, DEFAULT.sweep_probes, dim, DEFAULT.seed).select(
+        "probe", F.size(v).cast("bigint").alias("width"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x), 5).alias("norm"),
+        F.round(F.element_at(v, 1), 4).alias("first"), F.round(F.element_at(v, -1), 4).alias("last"))
+
+
+@register("random_sweep", f"""WITH {S.VEC}, {RANDOM_SQL},
+  c AS (SELECT p.probe, v.id, v.report_number, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) AS raw FROM incident_vectors v, probes p),
+  r AS (SELECT * EXCLUDE (raw), round(raw, 6) AS score, row_number() OVER (PARTITION BY probe ORDER BY round(raw, 12) DESC, id) AS rank FROM c QUALIFY rank <= 200),
+  f AS (SELECT *, row_number() OVER (PARTITION BY coalesce(report_number, id) ORDER BY probe, rank) AS rn FROM r QUALIFY rn = 1)
+SELECT probe::INT AS probe, CAST(rank AS BIGINT) AS rank, id, report_number FROM f ORDER BY probe, rank LIMIT 3000""")
+def q_random_sweep(spark, sf_dir):
+    """The sweep of the corpus by the 40 seeded vectors."""
     inc = fixtures.incident_vectors(spark, sf_dir).select("id", "report_number", "embedding")
-    dim = inc.select(F.size("embedding").alias("d")).first()["d"]
+    dim = inc.agg(F.max(F.size("embedding"))).first()[0]
     probes = similarity.random_probes(spark, DEFAULT.sweep_probes, dim, DEFAULT.seed)
-    return similarity.sweep(inc, probes).select("probe", "rank", "score", "id", "report_number")
+    return similarity.sweep(inc, probes).select("probe", "rank", "id", "report_number")
 
 
 # ------------------------------------------------------------------ questions

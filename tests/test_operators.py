@@ -192,9 +192,17 @@ def test_random_probes_are_seeded_units(spark):
     b = [np.array(r.embedding) for r in similarity.random_probes(spark, 3, 16, 42).orderBy("probe").collect()]
     assert all(np.array_equal(x, y) for x, y in zip(a, b))
     assert all(abs(np.linalg.norm(x) - 1) < 1e-6 for x in a)
-    rng = np.random.default_rng(42)
-    first = rng.normal(size=16)
+    import hashlib
+    import math
+
+    def draw(d):
+        h = hashlib.md5(f"42:0:{d}".encode()).hexdigest()
+        u, v = ((int(h[i:i + 13], 16) + 0.5) / 2**52 for i in (0, 13))
+        return math.sqrt(-2 * math.log(u)) * math.cos(2 * math.pi * v)
+    first = np.array([draw(d) for d in range(16)])
     assert np.allclose(a[0], (first / (np.linalg.norm(first) + 1e-12)).astype("float32"))
+    many = np.concatenate([r.embedding for r in similarity.random_probes(spark, 40, 64, 1).collect()]) * 8  # components of variance 1
+    assert abs(many.mean()) < 0.08 and abs(many.var() - 1) < 0.1
 
 
 def test_embed_invariants(spark):
