@@ -191,17 +191,23 @@ def _first_reports(top: DataFrame, id_col: str) -> DataFrame:
     return dedupe_first(top, report, ["probe", "rank"])
 
 
-def fit_embedder(corpus: DataFrame, text_col: str, dim: int):
-    """Hashed term frequencies -> IDF -> L2 norm, fitted on the corpus's texts. One model embeds the
-    corpus and the questions, so their vectors can be compared."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import HashingTF, IDF, Normalizer
-
+def _bucketed(df: DataFrame, text_col: str, dim: int) -> DataFrame:
+    """``_tok``: every token of the text as the name of its bucket, the first 52 bits of its MD5 modulo ``dim``."""
     from ..functions.text import tokens
 
-    stages = [HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim), IDF(inputCol="_tf", outputCol="_idf"),
-              Normalizer(inputCol="_idf", outputCol="_vec", p=2.0)]
-    return Pipeline(stages=stages).fit(corpus.select(tokens(text_col).alias("_tok")))
+    bucket = lambda t: (F.conv(F.substring(F.md5(t), 1, 13), 16, 10).cast("long") % dim).cast("string")
+    return df.withColumn("_tok", F.transform(tokens(text_col), bucket))
+
+
+def fit_embedder(corpus: DataFrame, text_col: str, dim: int):
+    """MD5 buckets of tokens -> term frequencies -> IDF ``ln((1 + n) / (1 + df))`` -> L2 norm, fitted on the corpus's
+    texts. One model embeds the corpus and the questions, so their vectors can be compared."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import CountVectorizerModel, IDF, Normalizer
+
+    counts = CountVectorizerModel.from_vocabulary([str(i) for i in range(dim)], inputCol="_tok", outputCol="_tf")
+    idf = IDF(inputCol="_tf", outputCol="_idf").fit(counts.transform(_bucketed(corpus, text_col, dim).select("_tok")))
+    return PipelineModel([counts, idf, Normalizer(inputCol="_idf", outputCol="_vec", p=2.0)])
 
 
 def embed(df: DataFrame, text_col: str, dim: int | None = None, out_col: str = "embedding", fn=None, model=None) -> DataFrame:
@@ -224,7 +230,6 @@ def embed(df: DataFrame, text_col: str, dim: int | None = None, out_col: str = "
         raise ValueError("embed needs the model that embedded the corpus (fit_embedder) or a function")
     from pyspark.ml.functions import vector_to_array
 
-    from ..functions.text import tokens
-
-    return (model.transform(df.withColumn("_tok", tokens(text_col))).withColumn(out_col, vector_to_array("_vec", "float32"))
+    width = len(model.stages[0].vocabulary)
+    return (model.transform(_bucketed(df, text_col, width)).withColumn(out_col, vector_to_array("_vec", "float32"))
             .drop("_tok", "_tf", "_idf", "_vec"))

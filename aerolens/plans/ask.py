@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import questions as fq
 from ..operators import filters, narrative, normalise, similarity, stats
+from ..session import materialise
 from ..settings import DEFAULT, Settings
 from ..sources.incidents import load_questions
 
@@ -45,7 +46,7 @@ def ask(incidents: DataFrame, questions: DataFrame, settings: Settings = DEFAULT
     Returns ``plan``, ``ranked`` (top-k before filters), ``rows`` (filtered,
     relaxed when empty), ``stats``, ``answers`` and ``evidence``.
     """
-    plan = plan_questions(questions)
+    plan = materialise(plan_questions(questions), "questions")  # written once: five plans read its long expressions
     asked = plan.where(F.col("mode") == "ask")
     if "embedding" in questions.columns:
         qv = asked.select("question_id", "embedding")
