@@ -520,3 +520,30 @@ def q_bundle(spark, sf_dir):
     out = discover(fixtures.incidents_with_text(spark, sf_dir), DEFAULT.with_(analysis_date="2026-01-01", input_partitions=PARTITIONS),
                    key_cols=KEY, order_cols=KEY)
     return out["bundle"].select(F.to_json(F.struct("*")).alias("bundle"))
+
+
+@register("discover_bundle_parts", f"""{CRIT_BASE}, r AS (SELECT * FROM ({RULES_SQL})),
+  rk AS (SELECT * FROM r WHERE {FILTER_SQL} QUALIFY row_number() OVER (ORDER BY uplift DESC, n DESC, context_text) <= {DEFAULT.rules_reported}),
+  cr AS ({CRIT_SELECT}),
+  cv AS (SELECT count(*) AS n, avg(CAST(month IS NOT NULL AS INT)) AS cov FROM norm)
+SELECT 'rule' AS part, context_text AS name, n, uplift AS value FROM rk
+UNION ALL SELECT 'critical', report_number, rank, miss_distance FROM cr
+UNION ALL SELECT 'sample', CASE WHEN n = 0 THEN 'UNKNOWN' WHEN cov > 0.7 THEN 'HIGH' WHEN cov > 0.3 THEN 'MEDIUM' ELSE 'LOW' END, n, NULL FROM cv
+UNION ALL SELECT 'run', 'Full scan of ''incidents'': every incident analysed.', {DEFAULT.seed}, NULL""")
+def q_bundle_parts(spark, sf_dir):
+    """The parts of the full-table bundle that SQL can repeat (rules, Critical 5, sample, run),
+    read out of the finished bundle row. Themes are not compared, so they are fitted once, without restarts."""
+    from .plans.discover import discover
+    from .session import materialise
+
+    out = discover(fixtures.incidents_with_text(spark, sf_dir), DEFAULT.with_(analysis_date="2026-01-01", input_partitions=PARTITIONS, kmeans_restarts=1),
+                   key_cols=KEY, order_cols=KEY)
+    bundle = materialise(out["bundle"], "bundle")  # one row
+    none = F.lit(None).cast("double")
+    parts = [bundle.select(F.inline("rules_struct")).select(F.lit("rule").alias("part"), F.col("context_text").alias("name"), F.col("n").cast("long").alias("n"), F.col("uplift").alias("value")),
+             bundle.select(F.inline("critical5")).select(F.lit("critical"), "report_number", F.col("rank").cast("long"), "miss_distance"),
+             bundle.select(F.lit("sample"), "temporal_confidence", "sample.total_incidents", none),
+             bundle.select(F.lit("run"), "run_metadata.method", "run_metadata.seed", none)]
+    for part in parts[1:]:
+        parts[0] = parts[0].union(part)
+    return parts[0]
