@@ -98,6 +98,22 @@ def q_flatten_matches(spark, sf_dir):
     return src.flatten_matches(m).select("match_id", "score", *cols)
 
 
+@register("flatten_matches_nested", f"""WITH {S.INC} SELECT report_number AS match_id, CAST(l_extendedprice AS DOUBLE) AS score,
+  report_number, CAST(l_extendedprice AS DOUBLE) AS price, l_extendedprice > 30000 AS dear, flight_phase AS phase,
+  CAST(length(cause_category) AS BIGINT) AS cause_length, light AS first_tag, CAST(2 AS BIGINT) AS n_tags FROM incidents""")
+def q_flatten_matches_nested(spark, sf_dir):
+    """S2 with typed metadata: numbers, booleans, an object and a list inside the JSON keep their types."""
+    m = inc(spark, sf_dir).select(
+        F.col("report_number").alias("id"), F.col("l_extendedprice").alias("score"), F.to_json(F.struct(
+            "report_number", F.col("l_extendedprice").cast("double").alias("price"), (F.col("l_extendedprice") > 30000).alias("dear"),
+            F.struct(F.col("flight_phase").alias("phase"), F.struct(F.length("cause_category").alias("length")).alias("cause")).alias("scene"),
+            F.array("light", "atc_advisory").alias("tags"))).alias("metadata"))
+    flat = src.flatten_matches(m, typed=True)
+    return flat.select("match_id", "score", "report_number", "price", "dear", F.col("scene.phase").alias("phase"),
+                       F.col("scene.cause.length").alias("cause_length"), F.col("tags")[0].alias("first_tag"),
+                       F.size("tags").cast("long").alias("n_tags"))
+
+
 @register("read_incident_csv", f"""WITH {S.INC} SELECT nullif(report_number, '') AS report_number,
   nullif(datetime, '') AS datetime, nullif(flight_phase, '') AS flight_phase, nullif(light, '') AS light,
   nullif(atc_advisory, '') AS atc_advisory, nullif(cause_category, '') AS cause_category,

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import (ArrayType, DoubleType, FloatType, MapType, StringType, StructField,
-                               StructType)
+from pyspark.sql.types import (ArrayType, DataType, DecimalType, DoubleType, FloatType, MapType, NullType,
+                               StringType, StructField, StructType, VariantType)
 
 # Every column an operator may read. Text columns stay text (D2): numbers and
 # times are derived next to them, never cast in place.
@@ -46,14 +48,51 @@ def _map_keys(df: DataFrame, column: str) -> list[str]:
     return sorted(r[0] for r in df.select(F.explode(F.map_keys(column))).distinct().collect())
 
 
+def _column_type(t: DataType) -> DataType:
+    """The column type of a JSON type: fractions as double, text where rows disagree or nothing is known."""
+    if isinstance(t, DecimalType):
+        return DoubleType()
+    if isinstance(t, ArrayType):
+        return ArrayType(_column_type(t.elementType))
+    if isinstance(t, StructType):
+        if not t.fields or len({f.name.lower() for f in t.fields}) < len(t.fields):
+            return StringType()
+        return StructType([StructField(f.name, _column_type(f.dataType)) for f in t.fields])
+    return StringType() if isinstance(t, (NullType, VariantType)) else t
+
+
+def json_columns(df: DataFrame, column: str) -> StructType:
+    """The schema that all JSON objects of ``column`` have together: one mergeable aggregate
+    (``schema_of_variant_agg``), of which one row reaches the driver, as wide as the table.
+
+    Objects and lists keep their nesting, whole numbers are bigint, fractions double. A value
+    whose type differs between rows, or is null in all, is text (other values as their JSON text).
+    Rows that are no JSON object count for nothing.
+    """
+    v = df.select(F.try_parse_json(column).alias("_v")).where(F.schema_of_variant("_v").startswith("OBJECT"))
+    text = v.agg(F.schema_of_variant_agg("_v")).first()[0]
+    if not text.startswith("OBJECT<"):
+        return StructType([])
+    ddl = re.sub(r"`(?:[^`]|``)*`|\bOBJECT<", lambda m: "STRUCT<" if m.group() == "OBJECT<" else m.group(), text)
+    return StructType([StructField(f.name, _column_type(f.dataType)) for f in DataType.fromDDL(ddl).fields])
+
+
+def _typed_matches(df: DataFrame, head: list, metadata: str, schema: StructType) -> DataFrame:
+    values = F.try_variant_get(F.try_parse_json(metadata), "$", "map<string,variant>")
+    df = df.withColumn(metadata, values)
+    return df.select(*head, *[F.try_variant_get(F.col(metadata).getItem(f.name), "$", f.dataType.simpleString()).alias(f.name)
+                              for f in schema.fields])
+
+
 def flatten_matches(df: DataFrame, metadata: str = "metadata", keys: list[str] | None = None,
-                    json_schema: StructType | None = None) -> DataFrame:
+                    json_schema: StructType | None = None, typed: bool = False) -> DataFrame:
     """One row per match: ``match_id``, ``score`` and every metadata key.
 
     ``metadata`` may be a struct, a map or JSON text. Unless ``keys`` (or, for JSON, ``json_schema``)
     is given, the columns are the canonical fields (for JSON) and the union of the keys of all
     rows: one distinct over the keys, whose number is the table's width. An absent key is null;
-    JSON values that are not text are given as their JSON text.
+    JSON values that are not text are given as their JSON text; with ``typed=True`` keys other than
+    the canonical fields keep their type and nesting (``json_columns``).
     """
     head = [F.col("id").cast("string").alias("match_id"), F.col("score").cast("double").alias("score")]
     dtype = df.schema[metadata].dataType
@@ -62,6 +101,11 @@ def flatten_matches(df: DataFrame, metadata: str = "metadata", keys: list[str] |
             parsed = F.from_json(F.col(metadata), json_schema)
             return df.select(*head, *[parsed[f.name].alias(f.name) for f in json_schema.fields])
         known = [c for c in TEXT_FIELDS if c != "id"]
+        if typed:
+            found = {f.name: f.dataType for f in json_columns(df, metadata).fields}
+            names = keys if keys is not None else [*known, *sorted(k for k in found if k not in (*known, "id", "match_id", "score"))]
+            return _typed_matches(df, head, metadata, StructType(
+                [StructField(k, StringType() if k in known else found.get(k, StringType())) for k in names]))
         df = df.withColumn(metadata, F.from_json(F.col(metadata), MapType(StringType(), StringType())))
         keys = keys if keys is not None else [*known, *[k for k in _map_keys(df, metadata) if k not in (*known, "id", "match_id", "score")]]
         return df.select(*head, *[F.col(metadata).getItem(k).alias(k) for k in keys])

@@ -370,6 +370,56 @@ def test_all_metadata_keys_become_columns(spark):
     assert flatten_matches(as_struct).columns == ["match_id", "score", "extra", "other"]
 
 
+def test_typed_metadata_keeps_types_and_nesting(spark):
+    from aerolens.sources.incidents import flatten_matches
+
+    rows = ["""{"altitude": 900, "n": 7, "x": 1.5, "ok": true, "who": {"name": "a", "tags": ["p", "q"]}, "mixed": 1, "a b": "k", "it's `q`": 2}""",
+            """{"n": 8, "x": 2, "who": {"name": "b", "age": 3}, "mixed": "z", "none": null, "empty": {}}""", "[1, 2]", "not json", "", None]
+    js = spark.createDataFrame([(str(i), 0.5, m) for i, m in enumerate(rows)], "id string, score double, metadata string")
+    out = flatten_matches(js, typed=True)
+    types = dict(out.dtypes)
+    assert types["altitude"] == "string" and types["n"] == "bigint" and types["x"] == "double" and types["ok"] == "boolean"
+    assert types["who"] == "struct<age:bigint,name:string,tags:array<string>>"
+    assert types["mixed"] == types["none"] == types["empty"] == "string"
+    got = [r.asDict(recursive=True) for r in out.orderBy("match_id").collect()]
+    assert got[0]["altitude"] == "900" and got[0]["n"] == 7 and got[0]["x"] == 1.5 and got[0]["ok"] is True
+    assert got[0]["who"] == {"age": None, "name": "a", "tags": ["p", "q"]} and got[0]["a b"] == "k" and got[0]["it's `q`"] == 2
+    assert got[1]["who"] == {"age": 3, "name": "b", "tags": None} and got[1]["x"] == 2.0
+    assert (got[0]["mixed"], got[1]["mixed"], got[1]["none"], got[1]["empty"]) == ("1", "z", None, "{}")
+    assert all(v is None for r in got[2:] for k, v in r.items() if k not in ("match_id", "score"))
+    empty = flatten_matches(js.limit(0), typed=True)
+    assert empty.count() == 0 and "report_number" in empty.columns
+    assert flatten_matches(js, keys=["n", "absent"], typed=True).orderBy("match_id").first()[2:] == (7, None)
+
+
+@pytest.mark.parametrize("tracked, buckets", [(1, 1), (2, 7), (16, 64), (None, 1 << 18)])
+def test_top_terms_are_exact_whatever_the_summary_misses(spark, tracked, buckets):
+    import collections
+    import random
+
+    rng = random.Random(5)
+    docs = [[f"w{int(rng.paretovariate(0.7)) % 900}" for _ in range(rng.randrange(60))] for _ in range(150)] + [[], ["hot"] * 900]
+    tok = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "doc long, _tok array<string>").repartition(5)
+    total = collections.Counter(w for d in docs for w in d)
+    for n in (1, 20, 300, 5000):
+        want = sorted(total.items(), key=lambda x: (-x[1], x[0]))[:n]
+        got = themes.top_terms(tok, n, tracked, buckets).collect()
+        assert sorted((r.term, r.total) for r in got) == sorted(want)
+    assert themes.top_terms(tok, 0).count() == 0
+    assert themes.top_terms(tok.limit(0), 5).count() == 0
+
+
+def test_tfidf_shuffles_only_the_vocabulary(spark):
+    d = spark.createDataFrame([(i, "alpha beta beta rare%d" % i) for i in range(40)] + [(99, None), (98, "")], "doc long, text string")
+    w, vocab = themes.tfidf(d, "doc", "text", 2)
+    assert [(r.term, r.total, r.df, r["index"]) for r in vocab.orderBy("index").collect()] == [("beta", 80, 40, 0), ("alpha", 40, 40, 1)]
+    rows = w.where("doc = 7").orderBy("term").collect()
+    assert [(r.term, r.tf) for r in rows] == [("alpha", 1), ("beta", 2)]
+    assert sum(r.weight ** 2 for r in rows) == pytest.approx(1.0)
+    full, every = themes.tfidf(d, "doc", "text", None)
+    assert every.count() == 42 and full.count() == 120
+
+
 def test_repeated_question_ids_are_refused(spark):
     from aerolens.sources.incidents import load_questions
 
