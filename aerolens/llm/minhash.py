@@ -193,35 +193,82 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes
 
 
+def families(across: DataFrame, comp: DataFrame) -> DataFrame:
+    """(component, family): the largest component (ties: the largest number) among each one of ``across`` (c1, c2) and its neighbours."""
+    both = _written(across.unionByName(across.select(F.col("c2").alias("c1"), F.col("c1").alias("c2"))).distinct(), "near-neighbours")
+    sizes = comp.groupBy("component").agg(F.count("*").alias("members"))
+    beside = both.unionByName(both.select("c1", F.col("c1").alias("c2")).distinct()).join(sizes.withColumnRenamed("component", "c2"), "c2")
+    return beside.groupBy(F.col("c1").alias("component")).agg(F.max(F.struct("members", "c2"))["c2"].alias("family"))
+
+
+def _joined(marks: DataFrame, apart: str, percent: int) -> DataFrame:
+    """(a, b): ids in different components, and with another ``apart``, whose marks may have the overlap that their h ask for:
+    2 * (100 + percent) * overlap >= hx + hy > 0. ``marks``: (field, mark, id, part, component, family, n, h, size, least), ``least``
+    being the smallest overlap that a partner may ask for. Prefix, size and position filters."""
+    often = marks.groupBy("field", "mark").agg(F.count("*").alias("often"), (F.min(apart) != F.max(apart)).alias("shared"))
+    # A mark within one component (family) only cannot be common to a pair across two: it ranks first and is not joined.
+    order = Window.partitionBy("id", "part").orderBy(F.when(F.col("shared"), F.col("often")).otherwise(0), "mark")
+    prefix = (marks.join(often, ["field", "mark"]).withColumn("at", F.row_number().over(order))
+              .where(F.col("shared") & (F.col("at") <= F.col("size") - F.col("least") + 1)).select("field", "mark", "id", "component", "family", "n", "h", "size", "at"))
+    prefix = _written(prefix, "near-prefix")
+    x, y = (prefix.select("field", "mark", *[F.col(k).alias(f"{k}{s}") for k in ("id", "component", "family", "n", "h", "size", "at")]) for s in "xy")
+    need, room = F.col("hx") + F.col("hy"), 1 + F.least(F.col("sizex") - F.col("atx"), F.col("sizey") - F.col("aty"))
+    allowed = ((F.col("componentx") < F.col("componenty")) & (F.col(f"{apart}x") != F.col(f"{apart}y")) & (need > 0)
+               & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (2 * (100 + percent) * room >= need))
+    return x.join(y, ["field", "mark"]).where(allowed).select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
+
+
+def _within_families(sets: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of a family that may be linked although in different components.
+
+    Let c be the shingles that most sets of the family hold, x lack dx of them and have others. Then |x and y| = |c| - dx - dy
+    + what the two lack or add alike. So sets are joined on what tells them from c, and those that are far from it must share much of that:
+    2 * (100 + percent) * shared >= hx + hy with h = 2 * percent * n + 2 * (100 + percent) * d - (100 + percent) * |c|. Where
+    hx + hy <= 0 a pair is linked anyway, then both are linked to the family's set of smallest h too, and are paired with that one alone."""
+    mixed = sets.groupBy("family").agg((F.min("component") != F.max("component")).alias("mixed"), F.count("*").alias("sets")).where("mixed")
+    mixed = _written(mixed.select("family", "sets"), "near-families")
+    held = tokens.join(mixed, "family")
+    base = held.groupBy("family", "token").agg(F.count("*").alias("held"), F.first("sets").alias("sets")).where("2 * held > sets")
+    base = _written(base.groupBy("family").agg(F.collect_list("token").alias("base")), "near-bases")
+    apart = (sets.join(mixed.select("family"), "family").join(base, "family", "left").withColumn("base", F.coalesce("base", F.array().cast("array<bigint>")))
+             .withColumn("lacks", F.array_except("base", "tokens")).withColumn("adds", F.array_except("tokens", "base")))
+    both, n = 100 + percent, F.size("tokens")
+    apart = _written(apart.select("id", "part", "component", "family", n.alias("n"), F.concat("lacks", "adds").alias("marks"),
+                                  (2 * percent * n + 2 * both * F.size("lacks") - both * F.size("base")).cast("bigint").alias("h")), "near-apart")
+    centre = apart.groupBy("family").agg(F.min(F.struct("h", "id", "component")).alias("centre"))
+    apart = apart.join(centre, "family")
+    near = apart.where((F.col("h") + F.col("centre.h") <= 0) & (F.col("component") != F.col("centre.component")))
+    near = near.select(F.col("id").alias("a"), F.col("centre.id").alias("b")).distinct()
+    least = F.greatest(F.lit(1), F.ceil((F.col("h") + F.col("centre.h")) / (2 * both)))
+    marks = apart.select(F.col("family").alias("field"), "id", "part", "component", "family", "n", "h", F.size("marks").alias("size"), least.alias("least"), F.explode("marks").alias("mark"))
+    return near.unionByName(_joined(marks, "component", percent))
+
+
 def open_pairs(docs: DataFrame, classes: DataFrame, stars: DataFrame, comp: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b): pairs that may be linked although in different components, among all members of the
-    buckets that hold an unconfirmed pair across components. Prefix, size and position filters."""
+    buckets that hold an unconfirmed pair across components: enough to find every component. Within a family
+    (a component and the smaller ones that meet it in a bucket) pairs are found by what tells sets from the family's
+    common shingles, across families by their shingles."""
     c = comp.select("id", "component")
-    across = (stars.join(c.withColumnsRenamed({"id": "rep", "component": "c1"}), "rep", "left")
-              .join(c.withColumnsRenamed({"id": "lead", "component": "c2"}), "lead", "left")
-              .where(F.coalesce("c1", "rep") != F.coalesce("c2", "lead")).select("lead").distinct())
-    some = stars.join(_written(across, "near-open"), "lead").select(F.explode(F.array("rep", "lead")).alias("id")).distinct()
+    across = (stars.join(c.withColumnsRenamed({"id": "rep", "component": "c1"}), "rep")
+              .join(c.withColumnsRenamed({"id": "lead", "component": "c2"}), "lead").where("c1 <> c2"))
+    across = _written(across.select("lead", "c1", "c2"), "near-open")
+    some = stars.join(across.select("lead").distinct(), "lead").select(F.explode(F.array("rep", "lead")).alias("id")).distinct()
     some = _written(some, "near-open-ids")
+    family = _written(families(across.select("c1", "c2").distinct(), comp), "near-family")
 
     def factory():
         shingle = Shingler(width)
         return lambda texts: [[s.view(np.int64).tolist() for s in map(shingle, texts)]]
     texts = _texts(docs, some, classes).select("id", F.posexplode("texts").alias("part", "text"))
     sets = map_texts(texts, "text", "tokens array<bigint>", factory).select("id", "part", "tokens")
-    sets = _written(sets.join(c, "id", "left").withColumn("component", F.coalesce("component", "id")), "near-sets")
-    tokens = sets.select("id", "part", "component", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("often"), (F.min("component") != F.max("component")).alias("shared"))
-    # A shingle within one component only cannot be common to a pair across two: it ranks first and is not joined.
-    order = Window.partitionBy("id", "part").orderBy(F.when(F.col("shared"), F.col("often")).otherwise(0), "token")
-    least = F.ceil(F.col("n") * percent / 100)
-    prefix = (tokens.join(often, "token").withColumn("at", F.row_number().over(order))
-              .where(F.col("shared") & (F.col("at") <= F.col("n") - least + 1)).select("token", "id", "component", "n", "at"))
-    prefix = _written(prefix, "near-prefix")
-    x, y = (prefix.select("token", *[F.col(k).alias(f"{k}{s}") for k in ("id", "component", "n", "at")]) for s in "xy")
-    n, room = F.col("nx") + F.col("ny"), 1 + F.least(F.col("nx") - F.col("atx"), F.col("ny") - F.col("aty"))
-    allowed = ((F.col("componentx") < F.col("componenty")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-               & ((100 + percent) * room >= percent * n))
-    return x.join(y, "token").where(allowed).select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
+    sets = sets.join(c, "id").join(family, "component", "left").withColumn("family", F.coalesce("family", "component"))
+    sets = _written(sets, "near-sets")
+    n = F.size("tokens")
+    tokens = sets.select("id", "part", "component", "family", n.alias("n"), n.alias("size"), (2 * percent * n).cast("bigint").alias("h"),
+                         F.ceil(n * percent / 100).alias("least"), F.explode("tokens").alias("token"))
+    across = _joined(tokens.withColumnRenamed("token", "mark").withColumn("field", F.lit(0)), "family", percent)
+    return across.unionByName(_within_families(sets, tokens, percent)).distinct()
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -79,6 +79,28 @@ def test_open_pairs_find_what_stars_miss(spark):
     assert {tuple(sorted(p)) for p in got} == want
 
 
+def test_open_pairs_of_a_large_group_follow_its_links(spark, monkeypatch):
+    """Copies of one text, many of them near the threshold: few links are left open, and few pairs are looked at."""
+    rng = random.Random(4)
+    vocab = [f"v{i}" for i in range(3000)]
+    base, rows = [rng.choice(vocab) for _ in range(150)], []
+    for i in range(300):
+        words = list(base)
+        for _ in range(rng.choice([2, 8, 12, 13, 14, 15])):
+            words[rng.randrange(len(words))] = rng.choice(vocab)
+        rows.append((i, " ".join(words)))
+    find, looked = minhash.open_pairs, []
+
+    def pairs(*args):
+        found = minhash._written(find(*args), "counted")
+        looked.append(found.count())
+        return found
+    monkeypatch.setattr(minhash, "open_pairs", pairs)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width=2, percent=80).collect()
+    assert {r.id: r.component for r in got} == py_near(rows, 2, 80)
+    assert looked[0] < 5 * len(rows)
+
+
 def test_texts_of_one_id_are_never_gathered(spark, monkeypatch):
     """However many texts share an id (here: none), each is read and compared by itself."""
     rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, t) for i, t in near_corpus()]
