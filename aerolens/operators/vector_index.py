@@ -25,7 +25,7 @@ from typing import NamedTuple
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..session import materialise, scratch_path
+from ..session import bound_batches, materialise, scratch_path
 from ..settings import DEFAULT, Settings
 
 #: Bounds of what is broadcast and sampled.
@@ -82,6 +82,7 @@ def build_index(incidents: DataFrame, id_col: str = "id", vec_col: str = "embedd
     scratch folder). Vectors that are null, hold nulls or other than finite numbers, or are zero have no direction and are left out.
     ``groups`` defaults to the square root of the number of vectors over four."""
     spark = incidents.sparkSession
+    bound_batches(spark)
     src = incidents.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("v")).where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
     width = width or src.agg(F.max(F.size("v"))).first()[0] or 1
     src = src.where(F.size("v") == width)
@@ -242,7 +243,6 @@ def _scorer(sent, width: int, k: int, digits: int, id_type):
         place = {g: i for i, g in enumerate(number.tolist())}
         for batch in batches:
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            out = []
             for row in range(batch.num_rows):
                 units = col["units"].slice(row, 1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
                 least = col["least"].slice(row, 1).flatten().to_numpy(zero_copy_only=False)
@@ -263,9 +263,8 @@ def _scorer(sent, width: int, k: int, digits: int, id_type):
                 r, c = r[order], c[order]
                 keep = np.arange(len(c)) - np.searchsorted(c, c, side="left") < k
                 r, c = r[keep], c[keep]
-                out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(r), col["pack"][row].as_py(), np.int64)), pa.array(asked[c].astype(np.int32)),
-                                                       ids.take(pa.array(r)), pa.array(sims[r, c])], names=["pack", "at", "id", "raw"]))
-            yield from out
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), col["pack"][row].as_py(), np.int64)), pa.array(asked[c].astype(np.int32)),
+                                                  ids.take(pa.array(r)), pa.array(sims[r, c])], names=["pack", "at", "id", "raw"])
     return work
 
 
@@ -289,6 +288,7 @@ def top_k(index: VectorIndex, questions: DataFrame, k: int, settings: Settings =
     """(question_id, id, raw, rank) for ``questions`` (question_id, v): the k best scores at ``settings.rank_digits``, ties by id.
     A question whose vector is null, holds a null, has another width or no direction has no rows."""
     spark, width = questions.sparkSession, index.width
+    bound_batches(spark)  # a pack with a block is hundreds of KB: rows alone would let a batch reach gigabytes
     meta = index.groups.orderBy("group").toArrow()
     centres = _matrix(meta["centre"].combine_chunks(), width) if meta.num_rows else np.zeros((0, width))
     number, lo, hi, size = (meta[c].to_numpy() for c in ("group", "lo", "hi", "size"))

@@ -91,6 +91,20 @@ def test_small_blocks_packs_and_odd_vectors(spark, monkeypatch, groups):
     assert least == {n: [x for x in w if x[1] >= 0.999] for n, w in zip("ab", want)}
 
 
+def test_packs_and_blocks_reach_python_a_few_at_a_time(spark):
+    """A row holds a pack and a block of vectors, so batches are bounded by bytes, not by rows alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    had = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    try:
+        vectors = clustered(40, 4, 2, 5)
+        inc, q = tables(spark, vectors, vectors[:3])
+        vi.top_k(vi.build_index(inc), q, 4).collect()
+        assert int(spark.conf.get(key)) <= 16 << 20
+    finally:
+        spark.conf.unset(key) if had is None else spark.conf.set(key, had)
+
+
 def test_an_index_is_read_again_from_its_folder(spark, tmp_path):
     vectors = clustered(200, 4, 5, 4)
     inc, q = tables(spark, vectors, vectors[:3])
