@@ -135,8 +135,8 @@ def _written(df: DataFrame, name: str) -> DataFrame:
 
 
 def _texts(docs: DataFrame, reps: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, texts): one text of each class in ``reps`` (id, distinct), as an array; ``docs``: (r1, r2, text)."""
-    side = _written(classes.select(F.col("rep").alias("id"), "r1", "r2").join(reps, "id"), "near-rows")
+    """(id, texts): one text of each class in ``reps`` (id, repeated or not), as an array; ``docs``: (r1, r2, text)."""
+    side = _written(classes.select(F.col("rep").alias("id"), "r1", "r2").join(reps.distinct(), "id"), "near-rows")
     side = F.broadcast(side) if side.count() <= MAX_BROADCAST_IDS else side
     return docs.join(side, ["r1", "r2"]).groupBy("id").agg(F.collect_set("text").alias("texts"))
 
@@ -146,8 +146,7 @@ def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, p
     import pyarrow as pa
 
     bound_batches(docs.sparkSession)
-    ids = _written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
-    texts = _texts(docs, ids, classes)
+    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), classes)
     both = (pairs.join(texts.select(F.col("id").alias("a"), F.col("texts").alias("ta")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("texts").alias("tb")), "b").select("a", "b", "ta", "tb"))
 
@@ -172,54 +171,58 @@ def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, p
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component): for every node of the edges (a, b), the smallest node it reaches.
+    """(id, component): for every node of the edges (a, b), a written table, the smallest node it reaches.
 
     Each round hangs every node below its smallest neighbour, follows those links a few steps,
-    and contracts the edges; each round is written, so lineage stays short."""
-    edges = _written(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct(), "near-edges")
-    nodes = _written(edges.select(F.explode(F.array("hi", "lo")).alias("id")).distinct().withColumn("component", F.col("id")), "near-nodes")
+    and contracts the edges; each round is written, so lineage stays short. The only shuffle that a round cannot do
+    without is that of its edges to their nodes; repeated edges do no harm, so none are looked for."""
+    edges = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo")
+    nodes = None
     while not edges.isEmpty():
-        up = _written(edges.groupBy("hi").agg(F.min("lo").alias("up")), "near-up")
+        ends = edges.select(F.explode(F.array(F.struct("hi", "lo"), F.struct(F.col("lo").alias("hi"), "lo"))).alias("end")).select("end.*")
+        up = _written(ends.groupBy("hi").agg(F.min("lo").alias("up")), "near-up")
         for _ in range(2):
             above = up.select(F.col("hi").alias("up"), F.col("up").alias("next"))
-            up = _written(up.join(above, "up", "left").select("hi", F.coalesce("next", "up").alias("up")), "near-up")
+            up = _written(up.join(above, "up").select("hi", F.col("next").alias("up")), "near-up")
 
         def lift(df, column):
             m = up.select(F.col("hi").alias(column), F.col("up").alias("_up"))
             return df.join(m, column, "left").withColumn(column, F.coalesce("_up", column)).drop("_up")
         moved = lift(lift(edges, "hi"), "lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo"))
-        edges = _written(moved.where("hi <> lo").distinct(), "near-edges")
-        nodes = _written(lift(nodes, "component").select("id", "component"), "near-nodes")
-    return nodes
+        edges = _written(moved.where("hi <> lo"), "near-edges")
+        # The first round's table holds every node.
+        nodes = up.select(F.col("hi").alias("id"), F.col("up").alias("component")) if nodes is None else \
+            _written(lift(nodes, "component").select("id", "component"), "near-nodes")
+    return edges.select(F.col("hi").alias("id"), F.col("lo").alias("component")) if nodes is None else nodes
 
 
 def families(across: DataFrame, comp: DataFrame) -> DataFrame:
     """(component, family): the largest component (ties: the largest number) among each one of ``across`` (c1, c2) and its neighbours."""
-    both = _written(across.unionByName(across.select(F.col("c2").alias("c1"), F.col("c1").alias("c2"))).distinct(), "near-neighbours")
-    sizes = comp.groupBy("component").agg(F.count("*").alias("members"))
-    beside = both.unionByName(both.select("c1", F.col("c1").alias("c2")).distinct()).join(sizes.withColumnRenamed("component", "c2"), "c2")
-    return beside.groupBy(F.col("c1").alias("component")).agg(F.max(F.struct("members", "c2"))["c2"].alias("family"))
-
-
-def _joined(marks: DataFrame, apart: str, percent: int) -> DataFrame:
-    """(a, b): ids in different components, and with another ``apart``, whose marks may have the overlap that their h ask for:
-    2 * (100 + percent) * overlap >= hx + hy > 0. ``marks``: (field, mark, id, part, component, family, n, h, size, least), ``least``
-    being the smallest overlap that a partner may ask for. Prefix, size and position filters."""
-    often = marks.groupBy("field", "mark").agg(F.count("*").alias("often"), (F.min(apart) != F.max(apart)).alias("shared"))
-    # A mark within one component (family) only cannot be common to a pair across two: it ranks first and is not joined.
-    order = Window.partitionBy("id", "part").orderBy(F.when(F.col("shared"), F.col("often")).otherwise(0), "mark")
+    pair = lambda x, y: F.struct(F.col(x).alias("component"), F.col(y).alias("other"))
+    beside = across.select(F.explode(F.array(pair("c1", "c2"), pair("c2", "c1"), pair("c1", "c1"), pair("c2", "c2"))).alias("p")).select("p.*").distinct()
+    sizes = comp.groupBy(F.col("component").alias("other")).agg(F.count("*").alias("members"))
+    return beside.join(sizes, "other").groupBy("component").agg(F.max(F.struct("members", "other"))["other"].alias("family"))
+
+
+def _joined(marks: DataFrame, percent: int) -> DataFrame:
+    """(a, b), some repeated: ids in different components, and with another ``apart``, whose marks of one field may have the overlap that
+    their h ask for: 2 * (100 + percent) * overlap >= hx + hy > 0. ``marks``: (field, mark, id, part, component, apart, n, h, size, least),
+    ``least`` being the smallest overlap that a partner may ask for. Prefix, size and position filters."""
+    often = marks.groupBy("field", "mark").agg(F.count("*").alias("often"), (F.min("apart") != F.max("apart")).alias("shared"))
+    # A mark within one family (component) only cannot be common to a pair across two: it ranks first and is not joined.
+    order = Window.partitionBy("field", "id", "part").orderBy(F.when(F.col("shared"), F.col("often")).otherwise(0), "mark")
     prefix = (marks.join(often, ["field", "mark"]).withColumn("at", F.row_number().over(order))
-              .where(F.col("shared") & (F.col("at") <= F.col("size") - F.col("least") + 1)).select("field", "mark", "id", "component", "family", "n", "h", "size", "at"))
+              .where(F.col("shared") & (F.col("at") <= F.col("size") - F.col("least") + 1)).select("field", "mark", "id", "component", "apart", "n", "h", "size", "at"))
     prefix = _written(prefix, "near-prefix")
-    x, y = (prefix.select("field", "mark", *[F.col(k).alias(f"{k}{s}") for k in ("id", "component", "family", "n", "h", "size", "at")]) for s in "xy")
+    x, y = (prefix.select("field", "mark", *[F.col(k).alias(f"{k}{s}") for k in ("id", "component", "apart", "n", "h", "size", "at")]) for s in "xy")
     need, room = F.col("hx") + F.col("hy"), 1 + F.least(F.col("sizex") - F.col("atx"), F.col("sizey") - F.col("aty"))
-    allowed = ((F.col("componentx") < F.col("componenty")) & (F.col(f"{apart}x") != F.col(f"{apart}y")) & (need > 0)
+    allowed = ((F.col("componentx") < F.col("componenty")) & (F.col("apartx") != F.col("aparty")) & (need > 0)
                & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (2 * (100 + percent) * room >= need))
-    return x.join(y, ["field", "mark"]).where(allowed).select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
+    return x.join(y, ["field", "mark"]).where(allowed).select(F.col("idx").alias("a"), F.col("idy").alias("b"))
 
 
-def _within_families(sets: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of a family that may be linked although in different components.
+def _within_families(sets: DataFrame, tokens: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """For pairs of a family that may be linked although in different components: (a, b) of some of them, and marks to find the others by.
 
     Let c be the shingles that most sets of the family hold, x lack dx of them and have others. Then |x and y| = |c| - dx - dy
     + what the two lack or add alike. So sets are joined on what tells them from c, and those that are far from it must share much of that:
@@ -235,13 +238,13 @@ def _within_families(sets: DataFrame, tokens: DataFrame, percent: int) -> DataFr
     both, n = 100 + percent, F.size("tokens")
     apart = _written(apart.select("id", "part", "component", "family", n.alias("n"), F.concat("lacks", "adds").alias("marks"),
                                   (2 * percent * n + 2 * both * F.size("lacks") - both * F.size("base")).cast("bigint").alias("h")), "near-apart")
-    centre = apart.groupBy("family").agg(F.min(F.struct("h", "id", "component")).alias("centre"))
+    centre = _written(apart.groupBy("family").agg(F.min(F.struct("h", "id", "component")).alias("centre")), "near-centres")
     apart = apart.join(centre, "family")
     near = apart.where((F.col("h") + F.col("centre.h") <= 0) & (F.col("component") != F.col("centre.component")))
-    near = near.select(F.col("id").alias("a"), F.col("centre.id").alias("b")).distinct()
+    near = near.select(F.col("id").alias("a"), F.col("centre.id").alias("b"))
     least = F.greatest(F.lit(1), F.ceil((F.col("h") + F.col("centre.h")) / (2 * both)))
-    marks = apart.select(F.col("family").alias("field"), "id", "part", "component", "family", "n", "h", F.size("marks").alias("size"), least.alias("least"), F.explode("marks").alias("mark"))
-    return near.unionByName(_joined(marks, "component", percent))
+    return near, apart.select(F.col("family").alias("field"), "id", "part", "component", F.col("component").alias("apart"), "n", "h",
+                              F.size("marks").alias("size"), least.alias("least"), F.explode("marks").alias("mark"))
 
 
 def open_pairs(docs: DataFrame, classes: DataFrame, stars: DataFrame, comp: DataFrame, width: int, percent: int) -> DataFrame:
@@ -253,9 +256,8 @@ def open_pairs(docs: DataFrame, classes: DataFrame, stars: DataFrame, comp: Data
     across = (stars.join(c.withColumnsRenamed({"id": "rep", "component": "c1"}), "rep")
               .join(c.withColumnsRenamed({"id": "lead", "component": "c2"}), "lead").where("c1 <> c2"))
     across = _written(across.select("lead", "c1", "c2"), "near-open")
-    some = stars.join(across.select("lead").distinct(), "lead").select(F.explode(F.array("rep", "lead")).alias("id")).distinct()
-    some = _written(some, "near-open-ids")
-    family = _written(families(across.select("c1", "c2").distinct(), comp), "near-family")
+    some = stars.join(across.select("lead").distinct(), "lead").select(F.explode(F.array("rep", "lead")).alias("id"))
+    family = _written(families(across, comp), "near-family")
 
     def factory():
         shingle = Shingler(width)
@@ -265,10 +267,11 @@ def open_pairs(docs: DataFrame, classes: DataFrame, stars: DataFrame, comp: Data
     sets = sets.join(c, "id").join(family, "component", "left").withColumn("family", F.coalesce("family", "component"))
     sets = _written(sets, "near-sets")
     n = F.size("tokens")
-    tokens = sets.select("id", "part", "component", "family", n.alias("n"), n.alias("size"), (2 * percent * n).cast("bigint").alias("h"),
-                         F.ceil(n * percent / 100).alias("least"), F.explode("tokens").alias("token"))
-    across = _joined(tokens.withColumnRenamed("token", "mark").withColumn("field", F.lit(0)), "family", percent)
-    return across.unionByName(_within_families(sets, tokens, percent)).distinct()
+    # Families are numbers of classes, so -1 is none of them: the field where sets of different families meet by their shingles.
+    marks = sets.select(F.lit(-1).cast("bigint").alias("field"), "id", "part", "component", F.col("family").alias("apart"), n.alias("n"), n.alias("size"),
+                        (2 * percent * n).cast("bigint").alias("h"), F.ceil(n * percent / 100).alias("least"), F.explode("tokens").alias("mark"))
+    near, within = _within_families(sets, sets.select("family", F.explode("tokens").alias("token")), percent)
+    return near.unionByName(_joined(marks.unionByName(within), percent)).distinct()
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -291,7 +294,7 @@ def row_name(doc_id: Column, text: Column) -> dict[str, Column]:
 
 
 def _linked_classes(texts: DataFrame, classes: DataFrame, ties: DataFrame | None, width: int, percent: int) -> DataFrame:
-    """(rep, component): every class and the number of its component."""
+    """(rep, component, first): every class, the number of its component and its smallest id."""
     keys = table_keys(classes)
     lead = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").drop("last")
     stars = _written(keys.join(lead, "key").where("rep <> lead").select("rep", "lead").distinct(), "near-stars")
@@ -299,12 +302,16 @@ def _linked_classes(texts: DataFrame, classes: DataFrame, ties: DataFrame | None
     links = _written(links if ties is None else links.unionByName(ties), "near-links")
 
     def of_class(comp):
-        return _written(classes.select(F.col("rep").alias("id")).join(comp, "id", "left")
-                        .select("id", F.coalesce("component", "id").alias("component")), "near-class-components")
+        return _written(classes.select(F.col("rep").alias("id"), "first").join(comp, "id", "left")
+                        .select("id", F.coalesce("component", "id").alias("component"), "first"), "near-class-components")
     comp = of_class(components(links))
     more = _written(confirm(texts, classes, _written(open_pairs(texts, classes, stars, comp, width, percent), "near-open-pairs"), width, percent), "near-more-links")
     if not more.isEmpty():
-        comp = of_class(components(links.unionByName(more)))
+        # These links join components, so only those are gone through again.
+        ends = [comp.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
+        joins = _written(more.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")), "near-joins")
+        joined = components(joins).withColumnsRenamed({"component": "all", "id": "component"})
+        comp = _written(comp.join(joined, "component", "left").select("id", F.coalesce("all", "component").alias("component"), "first"), "near-joined")
     return comp.withColumnRenamed("id", "rep")
 
 
@@ -315,9 +322,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = _written(sig.join(classes.select("k1", "k2", "rep"), ["k1", "k2"], "left").select("id", "n", "rep"), "near-named")
     # An id whose rows fall into several classes ties those together.
     spread = named.where("rep IS NOT NULL").groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    ties = named.join(spread, "id").where("rep > low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
+    ties = named.join(_written(spread, "near-spread"), "id").where("rep > low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     comp = _linked_classes(texts, classes, ties, width, percent)
-    comp = comp.join(classes.select("rep", "first"), "rep")
     least = comp.groupBy("component").agg(F.min("first").alias("least"))
     by_class = _written(comp.join(least, "component").select("rep", "least"), "near-least")
     some = named.join(by_class, "rep").select("id", "n", "least")
@@ -334,7 +340,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(r1, r2, rows): the name (``row_name``) of the one row that stands for each group of near-duplicate texts, and how many rows have
     that name, being equal in id and text. It is the row with the group's smallest id. Rows without words stand for themselves."""
     texts, sig, classes = _classes(docs, id_col, text_col, width)
-    comp = _linked_classes(texts, classes, None, width, percent).join(classes.select("rep", "first", "r1", "r2"), "rep")
+    comp = _linked_classes(texts, classes, None, width, percent).join(classes.select("rep", "r1", "r2"), "rep")
     best = comp.groupBy("component").agg(F.min(F.struct("first", "r1", "r2")).alias("best")).select("best.r1", "best.r2")
     equal = sig.join(best, ["r1", "r2"], "left_semi").groupBy("r1", "r2").agg(F.count("*").alias("rows"))
     return equal.unionByName(sig.where("n = 0").groupBy("r1", "r2").agg(F.lit(1).cast("bigint").alias("rows")))

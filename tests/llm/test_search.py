@@ -101,6 +101,26 @@ def test_open_pairs_of_a_large_group_follow_its_links(spark, monkeypatch):
     assert looked[0] < 5 * len(rows)
 
 
+def test_links_found_late_join_components_with_few_shuffles(spark, monkeypatch):
+    """What open pairs add is gone through as links of components, not with all links again; a whole run has few shuffles."""
+    rows = near_corpus()
+    find, write, edges, shuffles = minhash.components, minhash._written, [], []
+
+    def components(links):
+        edges.append(links.where("a <> b").count())
+        return find(links)
+
+    def written(df, name):
+        shuffles.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return write(df, name)
+    monkeypatch.setattr(minhash, "components", components)
+    monkeypatch.setattr(minhash, "_written", written)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width=2, percent=80).collect()
+    assert {r.id: r.component for r in got} == py_near(rows, 2, 80)
+    assert len(edges) == 2 and 0 < edges[1] < edges[0]
+    assert sum(shuffles) < 40, sum(shuffles)
+
+
 def test_texts_of_one_id_are_never_gathered(spark, monkeypatch):
     """However many texts share an id (here: none), each is read and compared by itself."""
     rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, t) for i, t in near_corpus()]
