@@ -199,19 +199,33 @@ def _bucketed(df: DataFrame, text_col: str, dim: int) -> DataFrame:
     return df.withColumn("_tok", F.transform(tokens(text_col), bucket))
 
 
+def _counter(dim: int):
+    from pyspark.ml.feature import CountVectorizerModel
+
+    return CountVectorizerModel.from_vocabulary([str(i) for i in range(dim)], inputCol="_tok", outputCol="_tf")
+
+
+def count_terms(corpus: DataFrame, text_col: str, dim: int) -> DataFrame:
+    """The corpus with ``_tf`` (each text's tokens counted by bucket) instead of the text, written: ``fit_embedder`` and
+    ``embed`` take the counts from there, so the texts are read once."""
+    counted = _counter(dim).transform(_bucketed(corpus, text_col, dim).drop(text_col))
+    return materialise(counted.drop("_tok"), "term-counts")
+
+
 def fit_embedder(corpus: DataFrame, text_col: str, dim: int):
     """MD5 buckets of tokens -> term frequencies -> IDF ``ln((1 + n) / (1 + df))`` -> L2 norm, fitted on the corpus's
-    texts. One model embeds the corpus and the questions, so their vectors can be compared."""
+    texts (or their ``count_terms``). One model embeds the corpus and the questions, so their vectors can be compared."""
     from pyspark.ml import PipelineModel
-    from pyspark.ml.feature import CountVectorizerModel, IDF, Normalizer
+    from pyspark.ml.feature import IDF, Normalizer
 
-    counts = CountVectorizerModel.from_vocabulary([str(i) for i in range(dim)], inputCol="_tok", outputCol="_tf")
-    idf = IDF(inputCol="_tf", outputCol="_idf").fit(counts.transform(_bucketed(corpus, text_col, dim).select("_tok")))
+    counts = _counter(dim)
+    counted = corpus if "_tf" in corpus.columns else counts.transform(_bucketed(corpus, text_col, dim).select("_tok"))
+    idf = IDF(inputCol="_tf", outputCol="_idf").fit(counted.select("_tf"))
     return PipelineModel([counts, idf, Normalizer(inputCol="_idf", outputCol="_vec", p=2.0)])
 
 
 def embed(df: DataFrame, text_col: str, dim: int | None = None, out_col: str = "embedding", fn=None, model=None) -> DataFrame:
-    """Text to a unit vector.
+    """Text (or its ``count_terms``) to a unit vector.
 
     ``model`` is what ``fit_embedder`` gave for the corpus (all MLlib on the JVM). ``fn`` (a
     function from a list of texts to a list of vectors, e.g. a local model) runs in an
@@ -228,8 +242,12 @@ def embed(df: DataFrame, text_col: str, dim: int | None = None, out_col: str = "
         return df.withColumn(out_col, _embed(F.col(text_col)))
     if model is None:
         raise ValueError("embed needs the model that embedded the corpus (fit_embedder) or a function")
+    from pyspark.ml import PipelineModel
     from pyspark.ml.functions import vector_to_array
 
-    width = len(model.stages[0].vocabulary)
-    return (model.transform(_bucketed(df, text_col, width)).withColumn(out_col, vector_to_array("_vec", "float32"))
+    if "_tf" in df.columns:
+        df, model = df.withColumn("_tok", F.lit(None)), PipelineModel(model.stages[1:])
+    else:
+        df = _bucketed(df, text_col, len(model.stages[0].vocabulary))
+    return (model.transform(df).withColumn(out_col, vector_to_array("_vec", "float32"))
             .drop("_tok", "_tf", "_idf", "_vec"))

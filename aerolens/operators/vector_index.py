@@ -8,10 +8,16 @@ centre is at least ``max(lo - t, t - hi)`` away from every vector of the shell,
 bounds their scores from above.
 
 ``top_k`` packs questions that are near each other, reads for each pack the nearest
-groups that hold k vectors, takes each question's kth score from those, and then only
-the groups (and in them the shells) whose bound is not below it. Packs and groups are
-joined by Spark on the group; a large group is cut into sub-keys, so neither a hot
-group nor many questions meet in one task. No step depends on the number of questions.
+groups (a small share of the vectors, k at least), takes each question's kth score from those, and then only
+the groups (and in them the shells) whose bound is not below it. Packs and groups meet
+in cells of bounded size: a slice of the vectors (some groups, or a part of a large one)
+with a bundle of packs, cogrouped by Spark, so neither a hot group nor many questions
+meet in one task, and each vector is sent once a bundle and not once a pack. In a cell
+a product in single precision finds the pairs that may reach a question's kth score (its
+rounding is bounded, and allowed for); only those are scored, in double precision.
+
+Where bounds rule nothing out (directions that spread over many components), every
+question meets every vector: that work grows with the product of their numbers.
 
 Broadcast: the centres, at most ``MAX_GROUPS`` (and ``CENTRE_BYTES``). On the driver:
 the centres, the sample they are fitted on (``SAMPLE_BYTES``) and group numbers.
@@ -24,6 +30,7 @@ from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import bound_batches, materialise, scratch_path
 from ..settings import DEFAULT, Settings
@@ -32,14 +39,23 @@ from ..settings import DEFAULT, Settings
 MAX_GROUPS, CENTRE_BYTES, SAMPLE_BYTES = 4096, 32 << 20, 64 << 20
 #: Rounds of the centres' fit on the sample.
 FIT_ROUNDS = 4
-#: Vectors of a block, questions of a pack, blocks of a sub-key, sub-keys that a group's rows are dealt to when blocks are formed.
+#: Vectors of a block, questions of a pack, full blocks of a slice, sub-keys that a group's rows are dealt to when blocks are formed.
 BLOCK, PACK, SUB_BLOCKS, DEAL = 1024, 256, 64, 64
+#: Packs that the questions of a sub-key fill.
+DEAL_PACKS = 16
+#: Bytes of a cell's vectors, and of its questions.
+CELL_BYTES = 16 << 20
+#: Vectors that a pack is multiplied with at once (the product stays in the processor's cache; more while no kth score is known), pairs
+#: a question and k that a product may leave before the bar is raised, pairs held before they are cut to k.
+TILE, FIRST_TILE, OPEN_PAIRS, MOST_PAIRS = 1024, 4096, 2, 1 << 20
+#: Share of the vectors that a pack reads first: the better the kth scores known from there, the fewer pairs are scored later.
+FIRST_SHARE = 1 / 32
 #: What bounds allow for rounding: radians and score.
 SLACK, SCORE_SLACK = 1e-6, 1e-9
 
 
 class VectorIndex(NamedTuple):
-    """``groups``: (group, centre, lo, hi, size, blocks). ``blocks``: (group, block, lo, hi, ids, vectors), vectors one after the other."""
+    """``groups``: (group, centre, lo, hi, size, blocks). ``blocks``: (group, block, lo, hi, ids, vectors), vectors one after the other as bytes of floats."""
     groups: DataFrame
     blocks: DataFrame
     width: int
@@ -62,6 +78,11 @@ def _matrix(column, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
+def _rows(packed, kind: str, width: int) -> np.ndarray:
+    """The vectors of one packed value."""
+    return np.frombuffer(packed.as_buffer(), kind).reshape(-1, width)
+
+
 def fit_centres(sample: np.ndarray, n: int) -> np.ndarray:
     """At most ``n`` directions: of the sample's distinct rows every so many, then means of what is nearest, a few times."""
     units = np.unique(_units(sample)[0], axis=0) if len(sample) else sample
@@ -76,6 +97,15 @@ def fit_centres(sample: np.ndarray, n: int) -> np.ndarray:
     return centres
 
 
+def _chained(centres: np.ndarray) -> np.ndarray:
+    """The centres in an order in which each is followed by the nearest one left, so that near groups have near numbers."""
+    left, order = np.ones(len(centres), bool), []
+    while left.any():
+        order.append(int(np.argmax(np.where(left, centres @ centres[order[-1]] if order else 0.0, -np.inf))))
+        left[order[-1]] = False
+    return centres[order]
+
+
 def build_index(incidents: DataFrame, id_col: str = "id", vec_col: str = "embedding", groups: int | None = None,
                 width: int | None = None, path: str | None = None) -> VectorIndex:
     """Index the vectors of ``width`` components (default: the most that any has) and write it to ``path`` (default: the shared
@@ -85,17 +115,18 @@ def build_index(incidents: DataFrame, id_col: str = "id", vec_col: str = "embedd
     bound_batches(spark)
     src = incidents.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("v")).where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
     width = width or src.agg(F.max(F.size("v"))).first()[0] or 1
-    src = src.where(F.size("v") == width)
+    src = materialise(src.where(F.size("v") == width), "vectors")  # read three times; vectors may come from texts
     n = src.count()
     groups = max(1, min(groups or math.ceil(math.sqrt(n) / 4), MAX_GROUPS, CENTRE_BYTES // (8 * width)))
     wanted = max(groups, min(64 * groups, SAMPLE_BYTES // (8 * width)))
     sample = src.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // wanted))) == 0).orderBy("id").limit(2 * wanted).toArrow()
     centres = fit_centres(_matrix(sample["v"].combine_chunks(), width) if n else np.zeros((0, width)), groups)
+    centres = _chained(centres)
     path = path or scratch_path(spark, "vector-index")
     id_type = src.schema["id"].dataType.simpleString()
     near = src.mapInArrow(_assigner(spark.sparkContext.broadcast(centres), width), f"group int, angle double, id {id_type}, v array<float>")
     packed = near.repartition("group", F.pmod(F.xxhash64("id"), F.lit(DEAL))).sortWithinPartitions("group", "angle", "id") \
-        .mapInArrow(_block_packer(width, BLOCK), f"group int, block bigint, lo double, hi double, ids array<{id_type}>, vectors array<float>")
+        .mapInArrow(_block_packer(BLOCK), f"group int, block bigint, lo double, hi double, ids array<{id_type}>, vectors binary")
     packed.write.parquet(f"{path}/blocks")
     blocks = spark.read.parquet(f"{path}/blocks")
     held = blocks.groupBy("group").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum(F.size("ids")).alias("size"), F.count("*").alias("blocks"))
@@ -129,7 +160,7 @@ def _assigner(sent, width: int):
     return work
 
 
-def _block_packer(width: int, most: int):
+def _block_packer(most: int):
     """Consecutive rows of a group as blocks of at most ``most`` rows."""
     def work(batches):
         import pyarrow as pa
@@ -144,7 +175,7 @@ def _block_packer(width: int, most: int):
             return pa.RecordBatch.from_arrays(
                 [b.column(0).slice(0, 1), pa.array([seq], pa.int64()), angle.slice(0, 1), angle.slice(b.num_rows - 1, 1),
                  pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(2)),
-                 pa.ListArray.from_arrays(pa.array([0, b.num_rows * width], pa.int32()), b.column(3).flatten())],
+                 pa.array([b.column(3).flatten().to_numpy().astype("<f4").tobytes()], pa.binary())],
                 names=["group", "block", "lo", "hi", "ids", "vectors"])
 
         for batch in batches:
@@ -182,7 +213,7 @@ def _pack_nearest(sent, width: int):
     return work
 
 
-def _question_packer(width: int, most: int):
+def _question_packer(most: int):
     def work(batches):
         import pyarrow as pa
         from pyspark import TaskContext
@@ -192,14 +223,14 @@ def _question_packer(width: int, most: int):
             for i in range(0, batch.num_rows, most):
                 part = batch.slice(i, most)
                 n, seq = part.num_rows, seq + 1
-                yield pa.RecordBatch.from_arrays([pa.array([seq], pa.int64()), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), part.column(1)),
-                                                  pa.ListArray.from_arrays(pa.array([0, n * width], pa.int32()), part.column(2).flatten())],
-                                                 names=["pack", "question_ids", "units"])
+                yield pa.RecordBatch.from_arrays([pa.array([seq], pa.int64()), part.column(0).slice(0, 1), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), part.column(1)),
+                                                  pa.array([part.column(2).flatten().to_numpy().astype("<f8").tobytes()], pa.binary())],
+                                                 names=["pack", "near", "question_ids", "units"])
     return work
 
 
 def _first_groups(angles: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
-    """Which groups a pack reads first: for each question the nearest ones that together hold k vectors."""
+    """For each row of angles the nearest groups that together hold k vectors: which groups are among them for any."""
     order = angles.argsort(1, kind="stable")
     before = np.cumsum(size[order], 1) - size[order]
     first = np.zeros(angles.shape[1], bool)
@@ -221,9 +252,9 @@ def _router(sent, width: int, k: int, rest: bool):
         for batch in batches:
             packs, groups = [], []
             for row in range(batch.num_rows):
-                units = batch.column(1).slice(row, 1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                units = _rows(batch.column(1)[row], "<f8", width)
                 angles = _angles(units, centres)
-                open_ = _first_groups(angles, size, k)
+                open_ = _first_groups(angles, size, k) | _first_groups(-(units.sum(0) @ centres.T)[None, :], size, size.sum() * FIRST_SHARE)
                 if rest:
                     least = batch.column(2).slice(row, 1).flatten().to_numpy(zero_copy_only=False)
                     open_ = ~open_ & (_bound(angles, lo, hi) >= least[:, None] - SCORE_SLACK).any(0)
@@ -234,40 +265,147 @@ def _router(sent, width: int, k: int, rest: bool):
     return work
 
 
+def _first_copies(v: np.ndarray, by_id: np.ndarray, k: int) -> np.ndarray:
+    """Which rows stay if of more than k equal vectors only the k first by id can be among the k best."""
+    keep = np.ones(len(v), bool)
+    words = np.ascontiguousarray(v).view(np.uint32)
+    odd = np.random.default_rng(0).integers(0, 1 << 63, words.shape[1], np.uint64) * np.uint64(2) + np.uint64(1)
+    mark = np.zeros(len(v), np.uint64)
+    for j in range(words.shape[1]):
+        mark += words[:, j] * odd[j]
+    order = np.lexsort((by_id, mark))
+    cuts = np.flatnonzero(np.diff(mark[order])) + 1
+    starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(v)]])
+    for at in np.flatnonzero(ends - starts > k):
+        same = order[starts[at]:ends[at]]
+        if (words[same] == words[same[0]]).all():
+            keep[same[k:]] = False
+    return keep
+
+
+def _hits(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of what is true; little is, so eight are passed over at once."""
+    flat = hit.ravel()
+    whole = len(flat) - len(flat) % 8
+    at = (np.flatnonzero(flat[:whole].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    at = np.concatenate([at, np.arange(whole, len(flat))])
+    return np.divmod(at[flat[at]], hit.shape[1])
+
+
+def _cell_best(units: np.ndarray, least: np.ndarray, v: np.ndarray, norm: np.ndarray, near: np.ndarray, by_id: np.ndarray, k: int, digits: int):
+    """(question, row, score): for each of ``units`` the k best (ties by id) of the rows that score ``least`` or more. ``near``: ``v`` as
+    directions in single precision, whose product is off by less than ``slack`` and only says which pairs to score."""
+    slack = (units.shape[1] + 8) * 2.0 ** -23
+    small = units.astype(np.float32)
+    bar = (least - SCORE_SLACK - slack).astype(np.float32)
+    q, r, s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    new_q, new_r, waiting = [], [], 0
+
+    def cut():
+        nonlocal q, r, s, waiting
+        cq, cr = np.concatenate([np.empty(0, np.int64), *new_q]), np.concatenate([np.empty(0, np.int64), *new_r])
+        rows, of_row = np.unique(cr, return_inverse=True)
+        order, cs = np.argsort(of_row, kind="stable"), np.empty(len(cr))
+        ends = np.searchsorted(of_row, np.arange(0, len(rows) + TILE, TILE), sorter=order)
+        for i, a, b in zip(range(0, len(rows), TILE), ends, ends[1:]):
+            part, pairs = rows[i:i + TILE], order[a:b]
+            cs[pairs] = (v[part].astype(np.float64) @ units.T)[of_row[pairs] - i, cq[pairs]] / norm[part][of_row[pairs] - i]
+        cs = np.round(cs, digits)
+        ok = cs >= least[cq] - SCORE_SLACK
+        q, r, s = np.concatenate([q, cq[ok]]), np.concatenate([r, cr[ok]]), np.concatenate([s, cs[ok]])
+        order = np.lexsort((by_id[r], -s, q))
+        q, r, s = q[order], r[order], s[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+        at_k = place == k - 1
+        bar[q[at_k]] = np.maximum(bar[q[at_k]], (s[at_k] - SCORE_SLACK - slack).astype(np.float32))
+        q, r, s = q[place < k], r[place < k], s[place < k]
+        new_q.clear()
+        new_r.clear()
+        waiting = 0
+
+    tile = TILE if least.min() >= -1.0 else FIRST_TILE
+    for start in range(0, len(near), tile):
+        part = near[start:start + tile]
+        if not start or len(part) < tile:
+            sims, hit = np.empty((len(small), len(part)), np.float32), np.empty((len(small), len(part)), bool)
+        np.matmul(small, part.T, out=sims)
+        np.greater_equal(sims, bar[:, None], out=hit)
+        if len(part) > k and np.count_nonzero(hit) > OPEN_PAIRS * k * len(small):
+            kth = np.partition(sims, len(part) - k, axis=1)[:, len(part) - k]  # k rows score this or more, but for the slack
+            bar = np.maximum(bar, kth - np.float32(2 * slack + SCORE_SLACK))
+            np.greater_equal(sims, bar[:, None], out=hit)
+        found_q, found_r = _hits(hit)
+        new_q.append(found_q)
+        new_r.append(found_r + start)
+        waiting += len(found_q)
+        if waiting > MOST_PAIRS:
+            cut()
+    cut()
+    return q, r, s
+
+
 def _scorer(sent, width: int, k: int, digits: int, id_type):
-    """(pack, at, id, raw): of each block the k best (ties by id) for each question of the pack whose bound allows it."""
-    def work(batches):
+    """(pack, at, id, raw) of one cell: the k best (ties by id) for each question of its packs, among the blocks that the
+    pack reads and whose bound allows it. ``asked``: the packs, ``held``: the blocks."""
+    def work(asked, held):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         number, centres = sent.value[:2]
-        place = {g: i for i, g in enumerate(number.tolist())}
-        for batch in batches:
-            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            for row in range(batch.num_rows):
-                units = col["units"].slice(row, 1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-                least = col["least"].slice(row, 1).flatten().to_numpy(zero_copy_only=False)
-                angles = _angles(units, centres[place[col["group"][row].as_py()]][None, :])[:, 0]
-                asked = np.flatnonzero(_bound(angles, col["lo"][row].as_py(), col["hi"][row].as_py()) >= least - SCORE_SLACK)
-                if not len(asked):
+        ids = pa.concat_arrays([c.flatten() for c in held["ids"].chunks]) if held.num_rows else None
+        out = [[], [], [], []]
+        if held.num_rows and asked.num_rows:
+            v = np.concatenate([_rows(x, "<f4", width) for x in held["vectors"]])
+            of_block = np.repeat(np.arange(held.num_rows), pc.list_value_length(held["ids"]).to_numpy())
+            by_id = np.empty(len(v), np.int64)
+            by_id[pc.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(v))
+            keep = np.flatnonzero(_first_copies(v, by_id, k))
+            if len(keep) < len(v):
+                v, of_block, by_id, ids = v[keep], of_block[keep], by_id[keep], ids.take(pa.array(keep))
+            norm = np.linalg.norm(v.astype(np.float64), axis=1)
+            near = (v / norm[:, None]).astype(np.float32)
+            lo, hi, group = (held[c].to_numpy() for c in ("lo", "hi", "group"))
+            numbers, of_group = np.unique(group, return_inverse=True)
+            middle = centres[np.searchsorted(number, numbers)]
+            for row in range(asked.num_rows):
+                units = _rows(asked["units"][row], "<f8", width)
+                least = np.asarray(asked["least"][row].values.to_numpy(zero_copy_only=False), np.float64)
+                angles = _angles(units, middle)[:, of_group]
+                reach = np.arccos(np.clip(least - SCORE_SLACK, -1.0, 1.0)) + SLACK
+                open_ = np.maximum(lo - angles, angles - hi) <= reach[:, None]
+                open_ &= np.isin(group, asked["groups"][row].values.to_numpy())
+                at, blocks = np.flatnonzero(open_.any(1)), open_.any(0)
+                if not len(at):
                     continue
-                v = col["vectors"].slice(row, 1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
-                ids = col["ids"].slice(row, 1).flatten()
-                sims = np.round((v @ units[asked].T) / np.linalg.norm(v, axis=1)[:, None], digits)
-                by_id = np.empty(len(v), np.int64)
-                by_id[np.array(sorted(range(len(v)), key=ids.to_pylist().__getitem__))] = np.arange(len(v))
-                ok = sims >= least[asked] - SCORE_SLACK
-                if len(v) > k:
-                    ok &= sims >= -np.partition(-sims, k - 1, axis=0)[k - 1]
-                r, c = np.nonzero(ok)
-                order = np.lexsort((by_id[r], -sims[r, c], c))
-                r, c = r[order], c[order]
-                keep = np.arange(len(c)) - np.searchsorted(c, c, side="left") < k
-                r, c = r[keep], c[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), col["pack"][row].as_py(), np.int64)), pa.array(asked[c].astype(np.int32)),
-                                                  ids.take(pa.array(r)), pa.array(sims[r, c])], names=["pack", "at", "id", "raw"])
+                if blocks.all():
+                    q, r, s = _cell_best(units[at], least[at], v, norm, near, by_id, k, digits)
+                else:
+                    rows = np.flatnonzero(blocks[of_block])
+                    q, r, s = _cell_best(units[at], least[at], v[rows], norm[rows], near[rows], by_id[rows], k, digits)
+                    r = rows[r]
+                for column, found in zip(out, (np.full(len(q), asked["pack"][row].as_py(), np.int64), at[q].astype(np.int32), r, s)):
+                    column.append(found)
+        pack, at, r, s = (np.concatenate(c) if c else np.empty(0, t) for c, t in zip(out, (np.int64, np.int32, np.int64, np.float64)))
+        found = ids.take(pa.array(r)) if ids is not None else pa.array([], id_type)
+        return pa.Table.from_arrays([pa.array(pack), pa.array(at), found, pa.array(s)], names=["pack", "at", "id", "raw"])
     return work
 
 
+def _parts(sizes: list, most: int) -> list[tuple]:
+    """(key, first, parts) for (key, size): parts of at most ``most``, numbered from 0; small neighbours share one, a large key has several."""
+    out, part, held = [], 0, 0
+    for key, size in sizes:
+        wanted = math.ceil(size / most)
+        if held and (wanted > 1 or held + size > most):
+            part, held = part + 1, 0
+        out.append((key, part, max(1, wanted)))
+        if wanted > 1:
+            part += wanted
+        else:
+            held += size
+    return out
+
+
 def _ranked(rows: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("pack", "at").orderBy(F.desc("raw"), F.asc("id"))
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
@@ -298,23 +436,37 @@ def top_k(index: VectorIndex, questions: DataFrame, k: int, settings: Settings =
         return asked.select("question_id", F.lit(None).cast(ids).alias("id"), F.lit(0.0).alias("raw"), F.lit(1).alias("rank")).limit(0)
     sent = spark.sparkContext.broadcast((number, centres, lo, hi, size))
     near = asked.mapInArrow(_pack_nearest(spark.sparkContext.broadcast(centres), width), "near int, question_id string, v array<double>")
-    packs = materialise(near.repartition("near", F.pmod(F.xxhash64("question_id"), F.lit(DEAL))).sortWithinPartitions("near", "question_id")
-                        .mapInArrow(_question_packer(width, PACK), "pack bigint, question_ids array<string>, units array<double>"), "packs")
+    near = materialise(near, "asked")
+    asked_at = [tuple(r) for r in near.groupBy("near").count().orderBy("near").collect()]  # at most MAX_GROUPS rows
+    bundles = spark.createDataFrame(_parts(asked_at, max(PACK, CELL_BYTES // (8 * width))), "near int, first int, parts int")
+    # A near group's questions are dealt only as far as there are many, so that a pack has few near groups.
+    deals = spark.createDataFrame([(at, math.ceil(n / (DEAL_PACKS * PACK))) for at, n in asked_at], "near int, deals int")
+    dealt = near.join(deals, "near").select("near", "question_id", "v", F.pmod(F.xxhash64("question_id"), F.col("deals")).alias("deal"))
+    packs = materialise(dealt.repartition("near", "deal").drop("deal").sortWithinPartitions("near", "question_id")
+                        .mapInArrow(_question_packer(PACK), "pack bigint, near int, question_ids array<string>, units binary"), "packs")
     floor = -2.0 if settings.score_min is None else float(settings.score_min)
 
-    def scored(packs_with_least: DataFrame, route: DataFrame) -> DataFrame:
-        subs = index.groups.select("group", F.ceil(F.col("blocks") / SUB_BLOCKS).cast("int").alias("subs"))
-        parts = route.join(subs, "group").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).drop("subs").join(packs_with_least, "pack")
-        blocks = read_groups(index, route).join(subs, "group").withColumn("sub", F.pmod(F.xxhash64("block"), F.col("subs")).cast("int")).drop("subs")
-        joined = parts.join(blocks, ["group", "sub"]).select("pack", "units", "least", "group", "lo", "hi", "ids", "vectors")
-        return joined.mapInArrow(_scorer(sent, width, k, settings.rank_digits, ids), f"pack bigint, at int, id {ids.simpleString()}, raw double")
+    slices = spark.createDataFrame(_parts(list(zip(number.tolist(), size.tolist())), max(1, min(SUB_BLOCKS * BLOCK, CELL_BYTES // (4 * width)))),
+                                   "group int, first int, parts int")
+    packs = packs.join(bundles, "near").withColumn("bundle", (F.col("first") + F.pmod(F.xxhash64("pack"), F.col("parts"))).cast("int")).drop("near", "first", "parts")
+    cell = ["slice", "bundle"]
 
-    start = packs.select("pack", "units", F.transform("question_ids", lambda _: F.lit(floor)).alias("least"))
+    def scored(packs_with_least: DataFrame, route: DataFrame) -> DataFrame:
+        at = route.join(slices, "group").select("pack", "group", F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1)).alias("slice"))
+        at = at.groupBy("pack", "slice").agg(F.collect_list("group").alias("groups"))
+        parts = at.join(packs_with_least, "pack").select(*cell, "pack", "units", "least", "groups")
+        cells = at.join(packs.select("pack", "bundle"), "pack").select(*cell).distinct().toDF(*cell)
+        blocks = read_groups(index, route).join(slices, "group").withColumn("slice", (F.col("first") + F.pmod(F.xxhash64("block"), F.col("parts"))).cast("int"))
+        blocks = blocks.join(cells, "slice").select(*cell, "group", "lo", "hi", "ids", "vectors")
+        return parts.groupBy(*cell).cogroup(blocks.groupBy(*cell)).applyInArrow(
+            _scorer(sent, width, k, settings.rank_digits, to_arrow_type(ids)), f"pack bigint, at int, id {ids.simpleString()}, raw double")
+
+    start = packs.select("pack", "bundle", "units", F.transform("question_ids", lambda _: F.lit(floor)).alias("least"))
     first = materialise(_ranked(scored(start, routes(index, packs.select("pack", "units"), k, sent)), k), "first")
     kth = first.where(F.col("rank") == k).groupBy("pack").agg(F.map_from_entries(F.collect_list(F.struct("at", "raw"))).alias("kth"))
     least = F.transform("question_ids", lambda _, i: F.greatest(F.coalesce(F.try_element_at("kth", i), F.lit(floor)), F.lit(floor)))
-    bounded = packs.join(kth, "pack", "left").select("pack", "units", F.coalesce(least, F.transform("question_ids", lambda _: F.lit(floor))).alias("least"))
-    rest = scored(bounded, routes(index, bounded, k, sent))
+    bounded = packs.join(kth, "pack", "left").select("pack", "bundle", "units", F.coalesce(least, F.transform("question_ids", lambda _: F.lit(floor))).alias("least"))
+    rest = scored(bounded, routes(index, bounded.select("pack", "units", "least"), k, sent))
     both = _ranked(first.drop("rank").unionByName(rest), k).where(F.col("raw") >= floor)
     named = packs.select("pack", F.posexplode("question_ids").alias("at", "question_id"))
     return both.join(named, ["pack", "at"]).select("question_id", "id", "raw", "rank")

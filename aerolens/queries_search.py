@@ -294,13 +294,6 @@ def q_clean(spark, sf_dir):
         "question_id", fq.clean_question("question").alias("clean_question"))
 
 
-def text_model(spark, sf_dir):
-    """The documents as a corpus of narratives with vectors, and the model that embedded them."""
-    corpus = fixtures.incident_texts(spark, sf_dir)
-    model = similarity.fit_embedder(corpus, "full_narrative", 64)
-    return similarity.embed(corpus, "full_narrative", model=model), model
-
-
 #: Width of the registered text vectors.
 TEXT_DIM = 64
 #: The same model in SQL: ``vec`` holds the vector of every document ('d') and cleaned question ('q').
@@ -317,8 +310,9 @@ EMBED_SQL = f"""WITH {S.TXT}, {S.CONVQ},
 
 
 def text_model(spark, sf_dir):
-    """The documents as a corpus of narratives with vectors, and the model that embedded them."""
-    corpus = fixtures.incident_texts(spark, sf_dir)
+    """The documents as incidents with the vectors of their narratives, and the model that embedded them. The narratives
+    themselves are read once and left behind: matches would repeat them for every question."""
+    corpus = similarity.count_terms(fixtures.incident_texts(spark, sf_dir), "full_narrative", TEXT_DIM)
     model = similarity.fit_embedder(corpus, "full_narrative", TEXT_DIM)
     return similarity.embed(corpus, "full_narrative", model=model), model
 

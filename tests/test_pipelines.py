@@ -102,3 +102,15 @@ def test_ask_stream(spark):
     assert sorted(got) == ["1", "2"]
     assert all(r["count"] > 0 and r.claims for r in got.values())
     assert "R1" in got["1"].claims[0].citations and "R2" in got["2"].claims[0].citations
+
+
+def test_registered_narratives_are_tokenised_once(spark):
+    from aerolens import queries_search as qs
+
+    corpus, model = qs.text_model(spark, SF001)
+    plan = corpus._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "full_narrative" not in plan
+    texts = fixtures.incident_texts(spark, SF001)
+    again = similarity.embed(texts, "full_narrative", model=similarity.fit_embedder(texts, "full_narrative", qs.TEXT_DIM))
+    pair = again.select("doc_id", F.col("embedding").alias("e")).join(corpus, "doc_id")
+    assert pair.where("e = embedding").count() == texts.count()

@@ -151,3 +151,66 @@ def test_sweep_stops_once_the_sample_is_full(spark, monkeypatch):
             seen.add(report)
             first.append((p, r, i))
     assert got == first[:50]
+
+
+def test_vectors_are_computed_once_for_an_index(spark):
+    vectors = clustered(300, 4, 5, 8)
+    inc, q = tables(spark, vectors, vectors[:3])
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+    index = vi.build_index(inc.mapInArrow(counted, inc.schema), width=4)
+    assert read.value == 300
+    assert found(vi.top_k(index, q, 4).collect()) == {f"q{i}": w for i, w in enumerate(brute(vectors, vectors[:3], 4))}
+
+
+def test_a_vector_is_sent_once_a_bundle_of_packs(spark, monkeypatch):
+    monkeypatch.setattr(vi, "PACK", 8)
+    vectors = np.random.default_rng(9).normal(size=(2000, 32)).astype(np.float32)  # no bound rules a group out
+    inc, q = tables(spark, vectors, vectors[:400])
+    sent, real = spark.sparkContext.accumulator(0), vi._scorer
+
+    def spy(*a):
+        work = real(*a)
+
+        def counted(asked, held):
+            sent.add(held.num_rows)
+            return work(asked, held)
+        return counted
+    monkeypatch.setattr(vi, "_scorer", spy)
+    index = vi.build_index(inc)
+    got = found(vi.top_k(index, q, 5).collect())
+    want = brute(vectors, vectors[:400], 5)
+    assert all(got[f"q{i}"] == w for i, w in enumerate(want))
+    assert 0 < sent.value <= 2 * index.blocks.count()  # for the first groups and for the rest, not for each of 50 packs
+
+
+@pytest.mark.parametrize("most_pairs", [1 << 20, 50])
+def test_single_precision_only_picks_the_pairs_to_score(monkeypatch, most_pairs):
+    for name, value in (("MOST_PAIRS", most_pairs), ("TILE", 64), ("FIRST_TILE", 96)):
+        monkeypatch.setattr(vi, name, value)
+    rng = np.random.default_rng(10)
+    v = rng.normal(size=(700, 16)).astype(np.float32)
+    v[50:90] = v[3]  # ties, more than k
+    v[100:160] = v[4] * (1 + rng.normal(size=(60, 16)) * 1e-7)  # differ beyond single precision
+    units = vi._units(np.concatenate([v[3:9], rng.normal(size=(20, 16))]).astype(np.float64))[0]
+    norm = np.linalg.norm(v.astype(np.float64), axis=1)
+    near, by_id = (v / norm[:, None]).astype(np.float32), rng.permutation(len(v))
+    exact = np.round((v.astype(np.float64) @ units.T) / norm[:, None], 12)
+    want = [np.lexsort((by_id, -exact[:, j]))[:10].tolist() for j in range(len(units))]
+    kth = np.array([exact[w[-1], j] for j, w in enumerate(want)])
+    for least in (np.full(len(units), -2.0), kth, kth - 0.1):
+        q, r, s = vi._cell_best(units, least, v, norm, near, by_id, 10, 12)
+        assert [r[q == j].tolist() for j in range(len(units))] == want
+        assert np.array_equal(s, exact[r, q])
+    keep = vi._first_copies(v, by_id, 10)
+    copies = np.array([3, *range(50, 90)])
+    assert sorted(copies[keep[copies]]) == sorted(copies[by_id[copies].argsort()[:10]]) and keep.sum() == 700 - 41 + 10
+
+
+def test_parts_are_bounded_and_shared_by_neighbours():
+    sizes = [(0, 3), (1, 4), (2, 9), (3, 25), (4, 1), (5, 1)]
+    assert vi._parts(sizes, 10) == [(0, 0, 1), (1, 0, 1), (2, 1, 1), (3, 2, 3), (4, 5, 1), (5, 5, 1)]
