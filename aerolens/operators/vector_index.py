@@ -204,9 +204,10 @@ def _pack_nearest(sent, width: int):
 
         centres = sent.value
         for batch in batches:
-            units, ok = _units(_matrix(batch.column(1), width))
+            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            units, ok = _units(v.astype(np.float64))
             if len(units):
-                flat = pa.array(units.ravel())
+                flat = pa.array(v[ok].ravel())
                 yield pa.RecordBatch.from_arrays([pa.array((units @ centres.T).argmax(1).astype(np.int32)), batch.column(0).filter(pa.array(ok)),
                                                   pa.ListArray.from_arrays(pa.array(np.arange(len(units) + 1) * width, pa.int32()), flat)],
                                                  names=["near", "question_id", "v"])
@@ -224,8 +225,8 @@ def _question_packer(most: int):
                 part = batch.slice(i, most)
                 n, seq = part.num_rows, seq + 1
                 yield pa.RecordBatch.from_arrays([pa.array([seq], pa.int64()), part.column(0).slice(0, 1), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), part.column(1)),
-                                                  pa.array([part.column(2).flatten().to_numpy().astype("<f8").tobytes()], pa.binary())],
-                                                 names=["pack", "near", "question_ids", "units"])
+                                                  pa.array([part.column(2).flatten().to_numpy().tobytes()], pa.binary())],
+                                                 names=["pack", "near", "question_ids", "asked"])
     return work
 
 
@@ -243,7 +244,7 @@ def _bound(angles: np.ndarray, lo, hi) -> np.ndarray:
     return np.cos(np.maximum(np.maximum(lo - angles, angles - hi) - SLACK, 0.0))
 
 
-def _router(sent, width: int, k: int, rest: bool):
+def _router(sent, width: int, k: int, rest: bool, kind: str):
     """(pack, group): the groups that a pack reads first, or (``rest``) those that its questions' kth scores leave open."""
     def work(batches):
         import pyarrow as pa
@@ -252,7 +253,7 @@ def _router(sent, width: int, k: int, rest: bool):
         for batch in batches:
             packs, groups = [], []
             for row in range(batch.num_rows):
-                units = _rows(batch.column(1)[row], "<f8", width)
+                units = _units(_rows(batch.column(1)[row], kind, width).astype(np.float64))[0]
                 angles = _angles(units, centres)
                 open_ = _first_groups(angles, size, k) | _first_groups(-(units.sum(0) @ centres.T)[None, :], size, size.sum() * FIRST_SHARE)
                 if rest:
@@ -344,7 +345,7 @@ def _cell_best(units: np.ndarray, least: np.ndarray, v: np.ndarray, norm: np.nda
     return q, r, s
 
 
-def _scorer(sent, width: int, k: int, digits: int, id_type):
+def _scorer(sent, width: int, k: int, digits: int, id_type, kind: str):
     """(pack, at, id, raw) of one cell: the k best (ties by id) for each question of its packs, among the blocks that the
     pack reads and whose bound allows it. ``asked``: the packs, ``held``: the blocks."""
     def work(asked, held):
@@ -368,7 +369,7 @@ def _scorer(sent, width: int, k: int, digits: int, id_type):
             numbers, of_group = np.unique(group, return_inverse=True)
             middle = centres[np.searchsorted(number, numbers)]
             for row in range(asked.num_rows):
-                units = _rows(asked["units"][row], "<f8", width)
+                units = _units(_rows(asked["asked"][row], kind, width).astype(np.float64))[0]
                 least = np.asarray(asked["least"][row].values.to_numpy(zero_copy_only=False), np.float64)
                 angles = _angles(units, middle)[:, of_group]
                 reach = np.arccos(np.clip(least - SCORE_SLACK, -1.0, 1.0)) + SLACK
@@ -411,9 +412,10 @@ def _ranked(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def routes(index: VectorIndex, packs: DataFrame, k: int, sent) -> DataFrame:
-    """(pack, group) still to read, written; ``packs`` has (pack, units) for the first groups, and ``least`` for the others."""
-    return materialise(packs.mapInArrow(_router(sent, index.width, k, "least" in packs.columns), "pack bigint, group int"), "routes")
+def routes(index: VectorIndex, packs: DataFrame, k: int, sent, kind: str) -> DataFrame:
+    """(pack, group) still to read, written; ``packs`` has (pack, asked) for the first groups, and ``least`` for the others.
+    ``kind``: the NumPy type of the numbers in ``asked``."""
+    return materialise(packs.mapInArrow(_router(sent, index.width, k, "least" in packs.columns, kind), "pack bigint, group int"), "routes")
 
 
 def read_groups(index: VectorIndex, route: DataFrame) -> DataFrame:
@@ -431,19 +433,20 @@ def top_k(index: VectorIndex, questions: DataFrame, k: int, settings: Settings =
     centres = _matrix(meta["centre"].combine_chunks(), width) if meta.num_rows else np.zeros((0, width))
     number, lo, hi, size = (meta[c].to_numpy() for c in ("group", "lo", "hi", "size"))
     ids = index.blocks.schema["ids"].dataType.elementType
-    asked = questions.select("question_id", F.col("v").cast("array<double>").alias("v")).where((F.size("v") == width) & ~F.exists("v", lambda x: x.isNull()))
+    number_type, kind = ("float", "<f4") if questions.schema["v"].dataType.simpleString() == "array<float>" else ("double", "<f8")
+    asked = questions.select("question_id", F.col("v").cast(f"array<{number_type}>").alias("v")).where((F.size("v") == width) & ~F.exists("v", lambda x: x.isNull()))
     if not len(centres):
         return asked.select("question_id", F.lit(None).cast(ids).alias("id"), F.lit(0.0).alias("raw"), F.lit(1).alias("rank")).limit(0)
     sent = spark.sparkContext.broadcast((number, centres, lo, hi, size))
-    near = asked.mapInArrow(_pack_nearest(spark.sparkContext.broadcast(centres), width), "near int, question_id string, v array<double>")
+    near = asked.mapInArrow(_pack_nearest(spark.sparkContext.broadcast(centres), width), f"near int, question_id string, v array<{number_type}>")
     near = materialise(near, "asked")
     asked_at = [tuple(r) for r in near.groupBy("near").count().orderBy("near").collect()]  # at most MAX_GROUPS rows
-    bundles = spark.createDataFrame(_parts(asked_at, max(PACK, CELL_BYTES // (8 * width))), "near int, first int, parts int")
+    bundles = spark.createDataFrame(_parts(asked_at, max(PACK, CELL_BYTES // (np.dtype(kind).itemsize * width))), "near int, first int, parts int")
     # A near group's questions are dealt only as far as there are many, so that a pack has few near groups.
     deals = spark.createDataFrame([(at, math.ceil(n / (DEAL_PACKS * PACK))) for at, n in asked_at], "near int, deals int")
     dealt = near.join(deals, "near").select("near", "question_id", "v", F.pmod(F.xxhash64("question_id"), F.col("deals")).alias("deal"))
     packs = materialise(dealt.repartition("near", "deal").drop("deal").sortWithinPartitions("near", "question_id")
-                        .mapInArrow(_question_packer(PACK), "pack bigint, near int, question_ids array<string>, units binary"), "packs")
+                        .mapInArrow(_question_packer(PACK), "pack bigint, near int, question_ids array<string>, asked binary"), "packs")
     floor = -2.0 if settings.score_min is None else float(settings.score_min)
 
     slices = spark.createDataFrame(_parts(list(zip(number.tolist(), size.tolist())), max(1, min(SUB_BLOCKS * BLOCK, CELL_BYTES // (4 * width)))),
@@ -454,19 +457,19 @@ def top_k(index: VectorIndex, questions: DataFrame, k: int, settings: Settings =
     def scored(packs_with_least: DataFrame, route: DataFrame) -> DataFrame:
         at = route.join(slices, "group").select("pack", "group", F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1)).alias("slice"))
         at = at.groupBy("pack", "slice").agg(F.collect_list("group").alias("groups"))
-        parts = at.join(packs_with_least, "pack").select(*cell, "pack", "units", "least", "groups")
+        parts = at.join(packs_with_least, "pack").select(*cell, "pack", "asked", "least", "groups")
         cells = at.join(packs.select("pack", "bundle"), "pack").select(*cell).distinct().toDF(*cell)
         blocks = read_groups(index, route).join(slices, "group").withColumn("slice", (F.col("first") + F.pmod(F.xxhash64("block"), F.col("parts"))).cast("int"))
         blocks = blocks.join(cells, "slice").select(*cell, "group", "lo", "hi", "ids", "vectors")
         return parts.groupBy(*cell).cogroup(blocks.groupBy(*cell)).applyInArrow(
-            _scorer(sent, width, k, settings.rank_digits, to_arrow_type(ids)), f"pack bigint, at int, id {ids.simpleString()}, raw double")
+            _scorer(sent, width, k, settings.rank_digits, to_arrow_type(ids), kind), f"pack bigint, at int, id {ids.simpleString()}, raw double")
 
-    start = packs.select("pack", "bundle", "units", F.transform("question_ids", lambda _: F.lit(floor)).alias("least"))
-    first = materialise(_ranked(scored(start, routes(index, packs.select("pack", "units"), k, sent)), k), "first")
+    start = packs.select("pack", "bundle", "asked", F.transform("question_ids", lambda _: F.lit(floor)).alias("least"))
+    first = materialise(_ranked(scored(start, routes(index, packs.select("pack", "asked"), k, sent, kind)), k), "first")
     kth = first.where(F.col("rank") == k).groupBy("pack").agg(F.map_from_entries(F.collect_list(F.struct("at", "raw"))).alias("kth"))
     least = F.transform("question_ids", lambda _, i: F.greatest(F.coalesce(F.try_element_at("kth", i), F.lit(floor)), F.lit(floor)))
-    bounded = packs.join(kth, "pack", "left").select("pack", "bundle", "units", F.coalesce(least, F.transform("question_ids", lambda _: F.lit(floor))).alias("least"))
-    rest = scored(bounded, routes(index, bounded.select("pack", "units", "least"), k, sent))
+    bounded = packs.join(kth, "pack", "left").select("pack", "bundle", "asked", F.coalesce(least, F.transform("question_ids", lambda _: F.lit(floor))).alias("least"))
+    rest = scored(bounded, routes(index, bounded.select("pack", "asked", "least"), k, sent, kind))
     both = _ranked(first.drop("rank").unionByName(rest), k).where(F.col("raw") >= floor)
     named = packs.select("pack", F.posexplode("question_ids").alias("at", "question_id"))
     return both.join(named, ["pack", "at"]).select("question_id", "id", "raw", "rank")
